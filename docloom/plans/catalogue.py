@@ -1,15 +1,530 @@
-"""Named queries over the driver's tables and their SQL."""
+"""Named queries over the driver's tables, one or more for each operator family."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from docloom import conf
+from docloom.conf import ChunkConfig
+from docloom.functions import evidence as E
+from docloom.functions import text as T
+from docloom.operators import chunking as C
+from docloom.operators import html as H
+from docloom.operators import patterns as P
+from docloom.operators import placeholders as PH
+from docloom.operators import retrieval as R
+from docloom.operators import review as V
+from docloom.operators import section_chunks as SC
+from docloom.plans.oracles import oracle_sql
+from docloom.sources import files, html as S
+from docloom.sources import sinks as K
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+__all__ = ["entry_query", "oracle_sql", "queries"]
 
+LINES = ChunkConfig(max_size=1000, overlap=200, paragraph="\n", header=False, sentences=False)
+ENDS = ChunkConfig(max_size=1000, min_size=100, overlap=200, header=False)
+RATIO = 0.1
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def _query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- sources ---
+
+
+@_query
+def doc_count_per_page(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", S.count_documents(F.col("html")).alias("n_docs"))
+
+
+@_query
+def flatten_multi_html(spark, sf):
+    flat = S.flattened(F.concat("html", F.lit("\n"), "html"))
+    return _t(spark, sf, "pages").select("page_id", F.md5(flat.cast("binary")).alias("digest"), F.length(flat).alias("n_chars"))
+
+
+@_query
+def split_multi_html(spark, sf):
+    twice = _t(spark, sf, "pages").select("page_id", F.concat(F.lit("lost "), "html", F.lit("\n "), "html").alias("html"))
+    return S.content_documents(S.split_documents(twice)).select("page_id", "total_documents", "doc_index", F.length("html").alias("n_chars"))
+
+
+@_query
+def undoctyped(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", F.md5(S.without_doctype(F.col("html")).cast("binary")).alias("digest"))
+
+
+# --- markup patterns ---
+
+
+def _tags(spark, sf):
+    return P.tag_elements(_t(spark, sf, "pages").select("page_id", "html"))
+
+
+@_query
+def tag_freq(spark, sf):
+    return _tags(spark, sf).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@_query
+def class_freq(spark, sf):
+    return _tags(spark, sf).select(F.explode(P.classes_of(F.col("attributes"))).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@_query
+def attr_freq(spark, sf):
+    names = F.regexp_extract_all("attributes", F.lit(r"\s([a-zA-Z-]+)\s*="), F.lit(1))
+    return P.top_patterns(_tags(spark, sf).select(F.explode(names).alias("pattern_id")).groupBy("pattern_id").agg(F.count("*").alias("frequency")), 50)
+
+
+def _counts(spark, sf, where=None):
+    rows = P.pattern_rows(_tags(spark, sf), tags=True)
+    return P.pattern_counts(rows if where is None else rows.where(where))
+
+
+@_query
+def top_tags(spark, sf):
+    return P.top_patterns(_counts(spark, sf), 5)
+
+
+@_query
+def pattern_tiers(spark, sf):
+    return P.with_value(_counts(spark, sf)).select("pattern_id", "frequency", "tier")
+
+
+@_query
+def high_value_patterns(spark, sf):
+    return P.with_value(_counts(spark, sf)).where("high_value").select("pattern_id", "frequency")
+
+
+@_query
+def id_patterns(spark, sf):
+    made = F.concat(F.lit("sec"), F.col("o_orderkey").cast("string"), F.lit("-"), F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 12))
+    return _t(spark, sf, "orders").select("o_orderkey", T.generalise_id(made).alias("id_pattern"))
+
+
+def _sampled(spark, sf):
+    return _counts(spark, sf, F.col("page_id") % 10 == 0)
+
+
+@_query
+def hash_sample_scan(spark, sf):
+    return _sampled(spark, sf).select("pattern_id", E.scaled(F.col("frequency"), RATIO).alias("frequency"))
+
+
+def _found(spark, sf):
+    """Valuable patterns in full, the rest from the sample; those of two letters stay unknown, so that something is missing."""
+    rows = P.pattern_rows(_tags(spark, sf), tags=True)
+    valuable = P.with_value(P.pattern_counts(rows)).where("high_value and pattern_id rlike '[^_]{3,}$'")
+    return P.combine_scans(P.pattern_counts(rows.join(valuable.select("pattern_id"), "pattern_id", "left_semi")), _sampled(spark, sf).where("not pattern_id rlike '_..$'"), RATIO)
+
+
+@_query
+def combine_scans(spark, sf):
+    return _found(spark, sf)
+
+
+@_query
+def coverage_overall(spark, sf):
+    return P.coverage(_counts(spark, sf), _found(spark, sf)).select(F.round("overall_coverage", 6).alias("overall_coverage"), "n_baseline", "n_found")
+
+
+@_query
+def coverage_by_tier(spark, sf):
+    return P.coverage(_counts(spark, sf), _found(spark, sf)).select(*[F.round(f"{t}_coverage", 6).alias(f"{t}_coverage") for t in ("high", "medium", "low")])
+
+
+@_query
+def coverage_by_type(spark, sf):
+    return P.coverage_by_type(_counts(spark, sf), _found(spark, sf)).select("content_type", F.round("coverage", 6).alias("coverage"))
+
+
+@_query
+def missing_patterns(spark, sf):
+    return P.missing_patterns(_counts(spark, sf), _found(spark, sf))
+
+
+def _scored(spark, sf, where=None):
+    """Tags as if they were classes; their sample is the title of their first page."""
+    pages = _t(spark, sf, "pages") if where is None else _t(spark, sf, "pages").where(where)
+    titled = pages.select("page_id", "html", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"))
+    rows = titled.select("page_id", "text", F.explode(P.opening_tags(F.col("html"))).alias("raw")).select("page_id", "text", F.concat(F.lit("class_"), F.lower(F.regexp_extract("raw", r"<([a-zA-Z0-9]+)", 1))).alias("pattern_id"))
+    return P.candidates(P.pattern_counts(rows), P.first_samples(rows, "page_id"))
+
+
+@_query
+def evidence_scores(spark, sf):
+    return _scored(spark, sf).select("pattern_id", "selector_type", "selector_value", "frequency", F.round("evidence_score", 6).alias("evidence_score"))
+
+
+@_query
+def suggested_types(spark, sf):
+    return _scored(spark, sf).select("pattern_id", "suggested_type")
+
+
+@_query
+def top_candidates(spark, sf):
+    return P.top_candidates(P.frequent_candidates(_scored(spark, sf)), 8).select("pattern_id", F.round("evidence_score", 6).alias("evidence_score"))
+
+
+@_query
+def review_merge(spark, sf):
+    """Even pages were reviewed before, but for tags of one letter."""
+    old = _scored(spark, sf, F.col("page_id") % 2 == 0).where("length(selector_value) > 1").withColumns({"human_decision": F.lit("skip"), "notes": F.lit("seen")})
+    return V.merge_review(_scored(spark, sf), old).select("pattern_id", "frequency", "priority", "human_decision", "notes", F.round("evidence_score", 6).alias("evidence_score"))
+
+
+def _decisions(spark, sf):
+    part = _t(spark, sf, "part")
+    return part.select(
+        F.concat(F.lit("class_"), "p_brand").alias("pattern_id"), F.lit("class").alias("selector_type"), F.col("p_brand").alias("selector_value"),
+        F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, "code_content").otherwise("table_content").alias("human_decision"), F.col("p_partkey").alias("version"),
+    )
+
+
+@_query
+def decision_breakdown(spark, sf):
+    return V.decision_breakdown(_decisions(spark, sf))
+
+
+@_query
+def latest_decision(spark, sf):
+    return files.latest_decisions(_decisions(spark, sf)).select("selector_value", "human_decision", "version")
+
+
+@_query
+def rules_compiled(spark, sf):
+    return V.compile_rules(files.latest_decisions(_decisions(spark, sf))).select("content_type", "selector_type", "selector_value", "rule_ord", "type_ord")
+
+
+@_query
+def classify_elements(spark, sf):
+    rows = _tags(spark, sf).select("page_id", "pos", "tag", P.classes_of(F.col("attributes")).alias("classes"), F.create_map(F.lit("href"), F.lit("")).alias("attrs"))
+    rules = files.rules_frame(spark, files.default_rules() | {"navigation_content": [{"tag": "nav"}, {"class": "ad"}]})
+    return V.classify(rows, rules, "tag").groupBy("tag", "label").agg(F.count("*").alias("n"))
+
+
+# --- trees ---
+
+
+@_query
+def parser_cross_check(spark, sf):
+    pages = _t(spark, sf, "pages").select("page_id", "html")
+    return P.cross_check(H.html_nodes(pages), pages)
+
+
+@_query
+def class_depth_stats(spark, sf):
+    return P.class_depths(H.html_nodes(_t(spark, sf, "pages").select("page_id", "html")))
+
+
+@_query
+def page_sections(spark, sf):
+    found = H.sections(_t(spark, sf, "pages").select("page_id", "html"))
+    return found.select("page_id", "pos", "id", "title", "level", F.length("content").alias("n_chars"))
+
+
+@_query
+def heading_titles(spark, sf):
+    return H.sections(_t(spark, sf, "pages").select("page_id", "html")).groupBy("level").agg(F.count("*").alias("n"))
+
+
+def _section_chunks(strategy):
+    def run(spark, sf):
+        found = H.with_paths(H.with_parents(H.sections(_t(spark, sf, "pages").select("page_id", "html")), "page_id"), "page_id", depth=2)
+        return SC.chunk_sections(found, strategy, "page_id", config=conf.PRESETS["qa"]).select("page_id", "section_id", "chunk_index", "chunk_type", "strategy", F.length("content").alias("n_chars"), F.round("quality_score", 6).alias("quality_score"))
+
+    return run
+
+
+for _name in ("section_based", "code_aware", "hierarchical", "hybrid"):
+    _QUERIES[f"{_name}_section_chunks"] = _section_chunks(_name)
+
+
+def _tree(spark, sf):
+    """Regions, nations and customers as a tree of dotted ids."""
+    region, nation, customer = (_t(spark, sf, t) for t in ("region", "nation", "customer"))
+    r = region.select((F.col("r_regionkey") + 1).cast("string").alias("id"), F.col("r_name").alias("title"), F.lit(1).alias("level"))
+    n = nation.select(F.concat_ws(".", (F.col("n_regionkey") + 1).cast("string"), (F.col("n_nationkey") + 1).cast("string")).alias("id"), F.col("n_name").alias("title"), F.lit(2).alias("level"))
+    c = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 20 = 0")
+    c = c.select(F.concat_ws(".", (F.col("n_regionkey") + 1).cast("string"), (F.col("n_nationkey") + 1).cast("string"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("title"), F.lit(3).alias("level"))
+    return H.with_parents(r.unionByName(n).unionByName(c))
+
+
+@_query
+def section_hierarchy(spark, sf):
+    return _tree(spark, sf).select("id", "level", "parent_id")
+
+
+@_query
+def section_paths(spark, sf):
+    return H.with_paths(_tree(spark, sf), depth=2).select("id", "path")
+
+
+@_query
+def section_children(spark, sf):
+    return H.with_children(_tree(spark, sf)).select("id", "n_children")
+
+
+@_query
+def leaf_sections(spark, sf):
+    return H.with_children(_tree(spark, sf)).where("is_leaf").select("id", "title")
+
+
+@_query
+def section_siblings(spark, sf):
+    return H.siblings(_tree(spark, sf).where("level < 3")).select("id", "sibling")
+
+
+@_query
+def section_descendants(spark, sf):
+    return H.descendants(_tree(spark, sf), depth=3).groupBy("ancestor").agg(F.count("*").alias("n"), F.max("distance").alias("deepest"))
+
+
+@_query
+def sections_by_level(spark, sf):
+    return H.sections_at_level(_tree(spark, sf), 2).select("id", "title")
+
+
+@_query
+def ordered_ids(spark, sf):
+    return _tree(spark, sf).select("id", F.row_number().over(W.orderBy(H.id_order(F.col("id")), "id")).alias("place"))
+
+
+@_query
+def level_hierarchy(spark, sf):
+    docs = _t(spark, sf, "documents").select("lang", F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), (1 + F.col("doc_id") * 7 % 4).cast("int").alias("level"))
+    return H.with_level_parents(docs, "lang").select("id", "parent_id")
+
+
+@_query
+def breadcrumb_asof(spark, sf):
+    """The last long document before each, in its source."""
+    before = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
+    return _t(spark, sf, "documents").select("doc_id", F.coalesce(F.last(F.when(F.col("n_chars") > 3000, F.col("doc_id")), ignorenulls=True).over(before), F.lit(-1)).alias("crumb"))
+
+
+# --- chunking ---
+
+
+def _chunked(kind, config, mode="clean", prepare=lambda c: c):
+    def run(spark, sf):
+        docs = _t(spark, sf, "documents").select("doc_id", prepare(F.col("text")).alias("text"))
+        made = C.chunk_documents(docs, "text", kind, config, mode=mode)
+        return made.select("doc_id", "chunk_index", "total_chunks", "start_char", "end_char", "char_count", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+    return run
+
+
+_QUERIES["fixed_chunks"] = _chunked("fixed_size", LINES)
+_QUERIES["fixed_chunks_at_sentences"] = _chunked("fixed_size", ENDS)
+_QUERIES["paragraph_chunks"] = _chunked("paragraph_based", LINES)
+_QUERIES["sentence_chunks"] = _chunked("sentence_based", ENDS)
+_QUERIES["sentence_chunks_paired"] = _chunked("sentence_based", ENDS, "paired")
+_QUERIES["text_chunks"] = _chunked("text", ENDS)
+_QUERIES["advanced_text_chunks"] = _chunked("advanced_text", LINES, prepare=lambda c: F.replace(c, F.lit("\n"), F.lit("\n\n")))
+
+
+def _paragraphs(spark, sf, *more):
+    return C.chunk_documents(_t(spark, sf, "documents").select("doc_id", *more, "text"), "text", "paragraph_based", LINES)
+
+
+@_query
+def chunk_overlap(spark, sf):
+    made = C.chunk_documents(_t(spark, sf, "documents").select("doc_id", "text"), "text", "fixed_size", LINES)
+    return C.with_overlaps(made, "doc_id").select("doc_id", "chunk_index", "overlap_previous", "overlap_next")
+
+
+@_query
+def paragraph_chunks_by_lang(spark, sf):
+    return _paragraphs(spark, sf, "lang").groupBy("lang").agg(F.count("*").alias("n_chunks"), F.round(F.avg("char_count"), 6).alias("avg_chars"), F.max("char_count").alias("max_chars"))
+
+
+@_query
+def chunk_ids(spark, sf):
+    return _paragraphs(spark, sf, "source").select("doc_id", "chunk_index", C.chunk_id(F.col("source"), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), F.col("content")).alias("chunk_id"))
+
+
+@_query
+def chunk_sizes(spark, sf):
+    return _paragraphs(spark, sf).select("doc_id", "chunk_index", "char_count", "word_count")
+
+
+@_query
+def chunk_quality_size(spark, sf):
+    return _paragraphs(spark, sf).select("doc_id", "chunk_index", T.size_score(F.col("char_count")).alias("score"))
+
+
+@_query
+def chunk_completeness(spark, sf):
+    return _paragraphs(spark, sf).select("doc_id", "chunk_index", T.completeness_score(F.col("content")).alias("score"))
+
+
+@_query
+def chunk_coherence(spark, sf):
+    return _paragraphs(spark, sf).select("doc_id", "chunk_index", F.round(T.coherence_score(F.col("content")), 6).alias("score"))
+
+
+@_query
+def chunk_context(spark, sf):
+    made = _paragraphs(spark, sf, "lang", "source").select("doc_id", "chunk_index", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("path"), F.when(F.col("doc_id") % 3 == 0, "text").otherwise("mixed").alias("kind"))
+    return made.select("doc_id", "chunk_index", F.round(T.context_score(F.col("lang"), F.col("path"), F.col("kind")), 6).alias("score"), C.context_string(F.lit("f"), F.coalesce("path", F.lit("")), F.col("lang")).alias("context"))
+
+
+# --- scalar functions ---
+
+
+def _scalar(**columns):
+    def run(spark, sf):
+        return _t(spark, sf, "documents").select("doc_id", *[f(F.col("text")).alias(name) for name, f in columns.items()])
+
+    return run
+
+
+_QUERIES["detect_code_language"] = _scalar(language=T.detect_code_language)
+_QUERIES["clean_text"] = _scalar(digest=lambda t: F.md5(T.clean_text(t).cast("binary")), n_chars=lambda t: F.length(T.clean_text(t)))
+_QUERIES["slug_ids"] = _scalar(slug=lambda t: T.slug(F.substring(t, 1, 60)))
+_QUERIES["readability"] = _scalar(score=lambda t: F.round(T.readability(t), 6))
+_QUERIES["tech_density"] = _scalar(density=lambda t: F.round(T.technical_density(t), 6))
+_QUERIES["text_flags"] = _scalar(lists=T.has_lists, formulas=T.has_formulas, references=T.has_references)
+_QUERIES["enough_content"] = _scalar(enough=lambda t: C.normalised(t).isNotNull())
+
+
+@_query
+def code_titles(spark, sf):
+    names = _t(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "PY").when(F.col("doc_id") % 5 == 1, "C#").when(F.col("doc_id") % 5 == 2, "Bash").when(F.col("doc_id") % 5 == 3, "text").otherwise(F.col("lang")).alias("name"))
+    return names.select("doc_id", T.normalise_language(F.col("name")).alias("language"), T.code_title(T.normalise_language(F.col("name"))).alias("title"))
+
+
+def _typed(spark, sf):
+    """Documents as sections: a third of them with code of a tenth to half their size."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text", (1 + F.col("doc_id") % 4).cast("int").alias("level"), (F.col("doc_id") % 6 / 10.0).alias("code_ratio"), (F.col("doc_id") % 5 / 10.0).alias("table_ratio"), F.col("n_chars"))
+    density = T.technical_density(F.col("text"))
+    docs = docs.withColumn("content_type", T.content_type(1 - F.col("code_ratio"), F.col("code_ratio"), F.col("table_ratio"), F.col("level"), density))
+    complexity = T.structure_complexity(F.col("level"), (F.col("code_ratio") * 10).cast("int"), F.lit(0), F.col("text"))
+    return docs.withColumn("complexity", complexity).withColumn("strategy", T.strategy(F.col("content_type"))).withColumn("confidence", T.confidence(F.col("content_type"), complexity, F.col("code_ratio"), F.col("n_chars")))
+
+
+@_query
+def content_type(spark, sf):
+    return _typed(spark, sf).select("doc_id", "content_type", "strategy", F.round("complexity", 6).alias("complexity"), F.round("confidence", 6).alias("confidence"))
+
+
+@_query
+def strategy_vote(spark, sf):
+    votes = _typed(spark, sf).groupBy("strategy").agg(F.count("*").alias("votes"), F.round(F.count("*") * F.avg("confidence"), 4).alias("weight"))
+    return votes.select("strategy", "votes", "weight")
+
+
+@_query
+def section_complexity(spark, sf):
+    docs = _t(spark, sf, "documents")
+    score = T.section_complexity(F.col("n_chars"), F.col("doc_id") % 7, F.col("doc_id") % 4, F.col("doc_id") % 12, F.col("text"))
+    small, large = F.col("n_chars") <= 800, F.col("n_chars") > 2000
+    return docs.select("doc_id", F.round(score, 6).alias("score"), small.alias("is_small"), large.alias("is_large"))
+
+
+@_query
+def config_for_title(spark, sf):
+    title = F.substring("text", 1, 200)
+    return _t(spark, sf, "documents").select("doc_id", T.config_for_title(title).alias("preset"), T.config_for_file(F.concat(F.when(F.col("doc_id") % 3 == 0, "Research-").when(F.col("doc_id") % 3 == 1, "a-lean-cli-").otherwise("x"), F.lit(".html"))).alias("by_file"))
+
+
+def _tables(spark, sf):
+    """Orders as ragged tables of strings."""
+    lines = _t(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.array(F.col("l_partkey").cast("string"), F.col("l_returnflag"))).otherwise(F.array(F.col("l_partkey").cast("string"), F.col("l_returnflag"), F.col("l_linestatus"), F.lit("x"))).alias("row"))
+    made = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "row"))), lambda x: x["row"]).alias("rows"))
+    return made.select("l_orderkey", F.array(F.lit("part"), F.lit("flag"), F.lit("status")).alias("headers"), "rows", F.when(F.col("l_orderkey") % 20 == 0, F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"))).alias("caption"))
+
+
+@_query
+def table_markdown(spark, sf):
+    return _tables(spark, sf).select("l_orderkey", T.table_markdown(F.col("headers"), F.col("rows"), F.col("caption")).alias("markdown"))
+
+
+@_query
+def table_sizes(spark, sf):
+    args = [F.col(c) for c in ("headers", "rows", "caption")]
+    return _tables(spark, sf).select("l_orderkey", T.table_chars(*args).alias("with_separators"), T.table_chars(*args, 0).alias("chars"))
+
+
+# --- placeholders, retrieval, caches ---
+
+
+@_query
+def patched_placeholders(spark, sf):
+    """Each part's page names its brand and its type; brands ending in 1 to 3 are known in Python, in 3 and 4 in C#."""
+    part = _t(spark, sf, "part")
+    pages = part.select("p_partkey", F.concat(F.lit('<p>a</p><div data-tree="'), "p_brand", F.lit('">gone</div><DIV data-tree=\''), "p_type", F.lit("'/>")).alias("html"))
+    brands = part.select(F.col("p_brand").alias("name")).distinct().select("name", F.explode(F.array(F.lit("python"), F.lit("csharp"))).alias("language")).where("(language = 'python' and name rlike '[123]$') or (language = 'csharp' and name rlike '[34]$')")
+    types = PH.rendered(brands.withColumn("response", F.to_json(F.struct(F.col("name").alias("type-name"), F.lit("d").alias("description")))))
+    return PH.patch(pages, types, "p_partkey").select("p_partkey", "n_found", "n_patched", "n_failed", "status", F.contains("html", F.lit("gone")).alias("unpatched"))
+
+
+@_query
+def resolution_stats(spark, sf):
+    part = _t(spark, sf, "part").select(F.col("p_brand").alias("value"), F.when(F.col("p_brand").rlike("[123]$"), F.lit("x")).alias("content"))
+    return PH.resolution_stats(part).select("total", "successful", "failed", F.round("rate", 6).alias("rate"))
+
+
+@_query
+def vector_topk(spark, sf):
+    vectors = _t(spark, sf, "embeddings")
+    query = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.top_k(vectors, query, 5).select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+@_query
+def vector_topk_filtered(spark, sf):
+    vectors = _t(spark, sf, "embeddings")
+    query = vectors.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.top_k(vectors, query, 3, F.col("label") == 1).select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+@_query
+def stale_files(spark, sf):
+    """Orders as files, cached as of a fixed day."""
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"))
+    cache = orders.where("path % 3 > 0").select("path", F.to_timestamp(F.lit("1996-01-01")).alias("cached_mtime"))
+    return files.stale_files(orders, cache).select("path")
+
+
+@_query
+def cache_stats(spark, sf):
+    orders = _t(spark, sf, "orders").select((F.col("o_orderkey") * 1000).alias("size"), F.col("o_orderdate").alias("cached_mtime"))
+    return files.cache_stats(orders).select("n_files", "mb", F.date_format("oldest", "yyyy-MM-dd").alias("oldest"), F.date_format("newest", "yyyy-MM-dd").alias("newest"))
+
+
+@_query
+def upserted(spark, sf):
+    from docloom.streaming.incremental import upsert
+
+    events = _t(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id"], "event_id")
+
+
+@_query
+def batch_totals(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("source").alias("source_file"), F.col("lang").alias("doc_index"), F.array().cast("array<struct<language:string,content:string>>").alias("code_blocks"), F.array().cast("array<string>").alias("tables"))
+    return K.batch_summary(docs).select("files", "documents_processed", "total_sections")
+
+
+def entry_query(spark: SparkSession, sf: str) -> DataFrame:
+    return paragraph_chunks_by_lang(spark, sf)
