@@ -76,10 +76,13 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each row the index of its first word (with the total at the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, members: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each row the index of its first word (with the total at the end).
+
+    members: for each byte, whether it is part of a word (not 0).
+    """
     flags = np.zeros(len(data) + 2, np.int8)
-    flags[1:-1] = _WORD[data] != 0
+    flags[1:-1] = members[data] != 0
     change = np.diff(flags)
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     inner = offsets[1:-1]

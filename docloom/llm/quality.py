@@ -1,6 +1,6 @@
 """Quality rules with thresholds that follow each language and source.
 
-The measures of a text are computed in the JVM and summarised, for every (lang, source), in quantile sketches with
+The measures of a text are computed by whole Arrow batches and summarised, for every (lang, source), in quantile sketches with
 relative-error buckets: how often ceil(ln(1 + 1000 x) / ln gamma) takes each value. Sketches merge by adding counts:
 partial sums are made before the shuffle, a group of fewer than LEAST_GROUP texts goes by the merged sketch of its
 language and, if that is small too, by that of the whole table, and the result is the same in any order. A rule's
@@ -13,11 +13,19 @@ or rejected alike. An empty table gives an empty table. All columns are kept as
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docloom.llm._shared import null_safe_columns, written
+from docloom.llm._text import raw_bytes, text_slices, word_hashes, word_spans
 
 GAMMA = 1.02
 FENCE = 3.0
@@ -30,23 +38,73 @@ _NOT_LETTERS = r"[^A-Za-zÀ-ÖØ-öø-ÿ]+"
 _BLANK = r"[ \t\n\r]+"
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The measures of RULES, 0 where they have nothing to measure; mean_word is null if there are no words."""
-    words = F.filter(F.split(text, _BLANK), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    n = F.nullif(F.size(words), F.lit(0))
-    left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    share = lambda part, whole: F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
-    again = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b), lambda same: same))
+def _table(characters: str, inside: bool = True) -> np.ndarray:
+    out = np.full(256, 0 if inside else 1, np.uint8)
+    out[list(characters.encode())] = 1 if inside else 0
+    return out
+
+
+_SYMBOL, _CAPITAL = _table("#$%&*|~^<>{}=+!@"), _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LETTER = _CAPITAL | _table("abcdefghijklmnopqrstuvwxyz")
+_VISIBLE, _LINE = _table(" \t\n\r", False), _table("\n", False)
+_INNER = np.zeros(256, np.uint8)
+_INNER[0x80:0xC0] = 1  # bytes of a character after its first
+
+
+def measures(text: pa.Array) -> dict[str, np.ndarray]:
+    """The measures of RULES, 0 where they have nothing to measure; mean_word is nan without words or text."""
+    data, offsets = raw_bytes(text.cast(pa.large_string()))
+
+    def total(flags: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
+
+    def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.where(whole > 0, part / np.maximum(whole, 1), 0.0)
+
+    first = _INNER[data] == 0
+    after = np.zeros(len(data), np.uint8)  # of a character that begins with C3, its second byte
+    after[:-1] = np.where(data[:-1] == 0xC3, data[1:], 0) if len(data) else 0
+    capital = (_CAPITAL[data] != 0) | ((after >= 0x80) & (after <= 0x9E) & (after != 0x97))
+    letter = (_LETTER[data] != 0) | ((after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7))
+    starts, ends, at = word_spans(data, offsets, _VISIBLE)
+    n = np.diff(at)
+    hashes = word_hashes(data, starts, ends)
+    same = np.zeros(len(starts) + 1, np.int64)
+    if len(starts):
+        row = np.repeat(np.arange(len(n)), n)
+        np.cumsum((hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1]), out=same[2:])
+    begin, end, line_at = word_spans(data, offsets, _LINE)
+    lines = np.diff(line_at)
+    row = np.repeat(np.arange(len(lines)), lines)
+    hashes = word_hashes(data, begin, end)
+    order = np.lexsort([hashes, row])
+    new = np.ones(len(order), bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    distinct = np.bincount(row[order][new], minlength=len(lines))
+    visible = total(first & (_VISIBLE[data] != 0))
     return {
-        "symbol_share": share(left(_NOT_SYMBOLS), F.length(text)),
-        "upper_share": share(left(_NOT_UPPER), left(_NOT_LETTERS)),
-        "mean_word": F.length(F.regexp_replace(text, _BLANK, "")) / n,
-        "repeated_lines": share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
-        "repeated_words": share(again, F.size(words)),
+        "symbol_share": share(total(_SYMBOL[data]), total(first)),
+        "upper_share": share(total(capital), total(letter)),
+        "mean_word": np.where(n > 0, visible / np.maximum(n, 1), np.nan),
+        "repeated_lines": share(lines - distinct, lines),
+        "repeated_words": share(same[at[1:]] - same[at[:-1]], n),
     }
 
 
+def with_measures(docs: DataFrame) -> DataFrame:
+    """docs and, for each rule, column __dl_<rule>; null where it can't be measured."""
+    schema = StructType([*docs.schema.fields, *[StructField(f"__dl_{r}", DoubleType()) for r in RULES]])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                for rule, values in measures(part.column(part.schema.get_field_index("text"))).items():
+                    part = part.append_column(f"__dl_{rule}", pa.array(values, mask=np.isnan(values)))
+                yield part
+
+    return docs.mapInArrow(measure, schema)
+
+
 def bucket(x: Column) -> Column:
     return F.ceil(F.log(1 + 1000 * x) / F.log(F.lit(GAMMA))).cast("int")
 
@@ -58,8 +116,8 @@ def middle(b: Column) -> Column:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """lang, source, rule, bucket, n: the sketches of all groups."""
-    own = null_safe_columns(docs, {"lang": "string", "source": "string", "text": "string"})
-    values = own.select("lang", "source", F.posexplode(F.array(*measures(F.col("text")).values())).alias("rule", "x")).where("x is not null")
+    own = with_measures(null_safe_columns(docs, {"lang": "string", "source": "string", "text": "string"}).where("text is not null"))
+    values = own.where("__dl_mean_word is not null").select("lang", "source", F.posexplode(F.array(*[f"__dl_{r}" for r in RULES])).alias("rule", "x"))
     return values.groupBy("lang", "source", "rule", bucket(F.col("x")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -88,15 +146,14 @@ def limits(docs: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that break no rule; see the module."""
     rows = limits(docs).groupBy("lang", "source").pivot("rule", list(range(len(RULES)))).agg(F.first("limit"))
-    rows = rows.select(F.col("lang").alias("__dl_lang"), F.col("source").alias("__dl_source"), *[F.col(str(i)).alias(f"__dl_{r}") for i, r in enumerate(RULES)])
+    rows = rows.select(F.col("lang").alias("__dl_lang"), F.col("source").alias("__dl_source"), *[F.col(str(i)).alias(f"__dl_most_{r}") for i, r in enumerate(RULES)])
     rows = written(rows, "quality-limits")
-    text = docs["text"].cast("string")
-    same = F.lit(True)
+    measured = with_measures(docs)
+    within = reduce(and_, [F.col(f"__dl_{r}") <= F.col(f"__dl_most_{r}") for r in RULES])
     for name in ("lang", "source"):
-        same = same & (docs[name].cast("string") if name in docs.columns else F.lit(None).cast("string")).eqNullSafe(rows[f"__dl_{name}"])
-    for rule, value in measures(text).items():
-        same = same & (value <= rows[f"__dl_{rule}"])
-    return docs.join(rows, same, "left_semi")
+        own = F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
+        within = within & own.eqNullSafe(F.col(f"__dl_{name}"))
+    return measured.join(rows, within, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _duck_measures() -> str:
