@@ -98,12 +98,12 @@ class _Shard:
             out += [(start + s, start + e, mark[0]) for s, e, mark in spans]
             own.add(data)
             at = 0
-            for s, e, _ in spans:
-                if s > at or at == 0 and s > 0:
-                    new.append(tokens[max(0, at - self.least + 1) : s + self.least - 1])
+            for s, e in [*((s, e) for s, e, _ in spans), (n + 1, n)]:
+                # windows of least words that lie in no match, the one before included where matches overlap by less
+                begin, end = max(0, at - self.least + 1), min(n, s + self.least - 1)
+                if end - begin >= self.least:
+                    new.append(tokens[begin:end])
                 at = max(at, e)
-            if at < n:
-                new.append(tokens[max(0, at - self.least + 1) :])
         for tokens in new:
             self.automaton.add(tokens, doc)
         for data in own:
