@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from a bounded sample of labelled rows. A text is compressed
+Each language has a zstandard raw-content dictionary cut from a bounded sample of labelled rows. A text, in lower case, is compressed
 under every dictionary, whole, in blocks of BLOCK bytes (each block meets the dictionary afresh, so that a long text
 doesn't outgrow it), and the language of the smallest sum is chosen, unless the runner-up is within MARGIN of it.
 
@@ -27,8 +27,8 @@ SAMPLE_ROWS = 200
 DICTIONARY_BYTES = 64 << 10
 MOST_LANGUAGES = 400
 BLOCK = 8 << 10
-LEVEL = 3
-MARGIN = 0.02
+LEVEL = 9
+MARGIN = 0.01
 
 
 def fit_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -43,7 +43,7 @@ def fit_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary
     for row in parts:
         have = out.get(row["lang"], b"")
         if len(have) < dictionary_bytes:
-            out[row["lang"]] = (have + b"\n" + row["text"].encode())[:dictionary_bytes]
+            out[row["lang"]] = (have + b"\n" + row["text"].lower().encode())[:dictionary_bytes]
     if len(out) > MOST_LANGUAGES:
         raise ValueError(f"{len(out)} languages; at most {MOST_LANGUAGES} dictionaries are sent to the workers")
     return dict(sorted(out.items()))
@@ -75,14 +75,14 @@ def identify_language(docs: DataFrame, dictionaries: Mapping[str, bytes] | None
         for batch in batches:
             languages, margins, best, raw = [], [], [], []
             for value in batch.column(1):
-                text = None if not value.is_valid else value.as_py().encode()
-                raw.append(None if text is None else len(text))
+                text = None if not value.is_valid else value.as_py()
+                raw.append(None if text is None else len(text.encode()))
                 if not names or not text:
                     languages.append(None)
                     margins.append(None if text is None else 0.0)
                     best.append(None if text is None else 0)
                     continue
-                sizes = compressed_sizes(text, compressors)
+                sizes = compressed_sizes(text.lower().encode(), compressors)
                 order = np.argsort(sizes, kind="stable")
                 gap = None if len(names) == 1 else float(sizes[order[1]] - sizes[order[0]]) / float(sizes[order[0]])
                 languages.append(names[order[0]] if gap is None or (gap >= margin and gap > 0) else None)
