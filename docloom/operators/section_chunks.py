@@ -133,9 +133,10 @@ def section_chunks(s: dict, c: ChunkConfig, mode: str = "paired") -> list[dict]:
 
 # --- code-aware ---
 
-_PY_CLASS, _PY_DEF = re.compile(r"^(\s*)class\s+(\w+)\s*[:\(]", re.M), re.compile(r"^(\s*)def\s+(\w+)\s*\(", re.M)
+# indentation is blanks alone: taking in line breaks would hide what follows an empty line
+_PY_CLASS, _PY_DEF = re.compile(r"^([ \t]*)class\s+(\w+)\s*[:\(]", re.M), re.compile(r"^([ \t]*)def\s+(\w+)\s*\(", re.M)
 _PY_BREAK = re.compile(r"\s*#.*$|(?:from\s+\S+\s+)?import\s+.*$")
-_CS_CLASS = re.compile(r"^(\s*)(?:public|private|internal|protected)?\s*(?:static|abstract|sealed)?\s*class\s+(\w+)", re.M)
+_CS_CLASS = re.compile(r"^([ \t]*)(?:public|private|internal|protected)?\s*(?:static|abstract|sealed)?\s*class\s+(\w+)", re.M)
 _CS_SPACE = re.compile(r"^namespace\s+(\w+(?:\.\w+)*)", re.M)
 
 

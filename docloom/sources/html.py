@@ -10,9 +10,9 @@ _DOCTYPE = r"<!DOCTYPE\s+html[^>]*>"
 
 def read_html(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """source_file and html of every file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    return reader.text(path).select(F.input_file_name().alias("source_file"), F.col("value").alias("html"))
+    return reader.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), F.col("value").alias("html"))
 
 
 def count_documents(html: Column) -> Column:
