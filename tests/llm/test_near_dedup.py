@@ -60,8 +60,8 @@ def test_candidate_recall_of_tensored_keys():
     rnd = np.random.default_rng(3)
     n, met = 300, 0
     for _ in range(n):
-        both = rnd.integers(0, 2**63, 700).astype(np.uint64)
-        a, b = (np.concatenate([both, rnd.integers(0, 2**63, 150).astype(np.uint64)]) for _ in range(2))
+        both = rnd.integers(0, 2**63, 600).astype(np.uint64)
+        a, b = (np.concatenate([both, rnd.integers(0, 2**63, 200).astype(np.uint64)]) for _ in range(2))
         keys = [nd.half_keys(nd.minima(x, np.array([0, len(x)]), 2 * nd.WIDTH * nd.HALVES), nd.WIDTH, nd.HALVES)[0] for x in (a, b)]
         same = keys[0] == keys[1]
         met += bool(same[: nd.HALVES].any() and same[nd.HALVES :].any())
