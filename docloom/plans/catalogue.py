@@ -526,5 +526,73 @@ def batch_totals(spark, sf):
     return K.batch_summary(docs).select("files", "documents_processed", "total_sections")
 
 
+@_query
+def purged_cache(spark, sf):
+    import datetime
+
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("cached_mtime"))
+    return files.purge_cache(orders, 30, datetime.datetime(1996, 3, 1)).select("path")
+
+
+@_query
+def fresh_answers(spark, sf):
+    import datetime
+
+    answers = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("question"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("source_version"))
+    return files.fresh_answers(answers, datetime.datetime(1996, 3, 1), 240, "1-URGENT").select("question")
+
+
+@_query
+def sampling_ratio(spark, sf):
+    tags = _tags(spark, sf)
+    return tags.agg(F.round(F.try_divide(F.count_if(F.col("page_id") % 10 == 0), F.count("*")), 6).alias("ratio"))
+
+
+@_query
+def class_text_stats(spark, sf):
+    """Titles of pages as the text of each of their tags."""
+    pages = _t(spark, sf, "pages").select("page_id", "html", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"))
+    nodes = pages.select("text", F.explode(P.opening_tags(F.col("html"))).alias("raw")).select("text", F.array(F.lower(F.regexp_extract("raw", r"<([a-zA-Z0-9]+)", 1))).alias("classes"))
+    return P.class_texts(nodes, 300).select("class", F.round("avg_length", 6).alias("avg_length"), "max_length", F.round("content_share", 6).alias("content_share"), "n")
+
+
+@_query
+def class_tags(spark, sf):
+    """Sources of documents as classes, languages as tags."""
+    nodes = _t(spark, sf, "documents").select(F.array("source").alias("classes"), F.col("lang").alias("tag"), "text", (F.col("doc_id") % 2 == 0).alias("has_children"))
+    out = P.class_characteristics(nodes)
+    return out.select("class", F.round("avg_text_length", 6).alias("avg_text_length"), F.round("children_share", 6).alias("children_share"), F.array_join("top_tags", ",").alias("top_tags"))
+
+
+@_query
+def languages_of_sources(spark, sf):
+    docs = _t(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
+    return docs
+
+
+@_query
+def chunk_statistics(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    made = C.chunk_documents(docs.where("length(text) > 500"), "text", "paragraph_based", LINES).select(F.col("doc_id").alias("section_id"), "content")
+    return K.chunk_statistics(made, docs.select(F.col("doc_id").alias("id"))).select("sections_processed", "sections_skipped", "chunks", "chars", F.round("avg_chars", 6).alias("avg_chars"))
+
+
+@_query
+def event_windows(spark, sf):
+    """The batch form of the stream's counts."""
+    from docloom.streaming.incremental import event_counts
+
+    out = event_counts(_t(spark, sf, "events"))
+    return out.select(F.date_format(F.col("window.start"), "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_query
+def table_rows_for_export(spark, sf):
+    tables = _tables(spark, sf).select("l_orderkey", F.array(F.struct("headers", "rows", "caption")).alias("tables"))
+    made = tables.select("l_orderkey", F.lit("i").alias("id"), F.lit("t").alias("title"), F.lit(1).alias("level"), F.lit("c").alias("content"), F.lit("b").alias("breadcrumb"), F.array().cast("array<struct<language:string,content:string>>").alias("code_blocks"), "tables")
+    cut = K.rag_rows(made, "l_orderkey", most_rows=3)
+    return cut.select("l_orderkey", F.size(F.col("tables")[0]["rows"]).alias("n_rows"), F.array_join(F.flatten(F.col("tables")[0]["rows"]), "|").alias("cells"))
+
+
 def entry_query(spark: SparkSession, sf: str) -> DataFrame:
     return paragraph_chunks_by_lang(spark, sf)

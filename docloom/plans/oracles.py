@@ -249,5 +249,16 @@ def oracle_sql() -> dict[str, str]:
         "stale_files": "select o_orderkey path from orders where o_orderkey % 3 = 0 or o_orderdate >= timestamp '1996-01-01'",
         "cache_stats": "select count(*) n_files, round(sum(o_orderkey * 1000) / 1048576, 2) mb, strftime(min(o_orderdate), '%Y-%m-%d') oldest, strftime(max(o_orderdate), '%Y-%m-%d') newest from orders",
         "upserted": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
+        "purged_cache": "select o_orderkey path from orders where o_orderdate >= timestamp '1996-03-01' - interval 30 day",
+        "fresh_answers": "select o_orderkey question from orders where o_orderdate >= timestamp '1996-03-01' - interval 240 hour and o_orderpriority = '1-URGENT'",
+        "sampling_ratio": f"with {_TAGS} select round(count(*) filter (page_id % 10 = 0) / count(*), 6) ratio from tags",
+        "class_text_stats": f"""with {_TAGS}, t as (select page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) k from pages)
+            select tag as class, round(avg(k), 6) avg_length, max(k) max_length, round(avg((k > 10)::int), 6) content_share, count(*) n from tags join t using (page_id) group by tag having count(*) >= 300""",
+        "class_tags": """with c as (select source, lang, count(*) k from documents group by all), t as (select *, row_number() over (partition by source order by k desc, lang) place from c)
+            select source as class, round(a, 6) avg_text_length, round(h, 6) children_share, top_tags from (select source, avg(length(text)) a, avg((doc_id % 2 = 0)::int) h from documents group by source) join (select source, string_agg(lang, ',' order by place) top_tags from t where place <= 3 group by source) using (source)""",
+        "languages_of_sources": "select source, string_agg(distinct lang, ',' order by lang) languages from documents group by source",
+        "chunk_statistics": f"with recursive {_PARAGRAPHS}, k as (select * from chunks join documents using (doc_id) where length(text) > 500) select count(distinct doc_id) sections_processed, (select count(*) from documents) - count(distinct doc_id) sections_skipped, count(*) chunks, sum(length(content))::bigint chars, round(avg(length(content)), 6) avg_chars from k",
+        "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) n, round(sum(value), 4) total from events group by all",
+        "table_rows_for_export": f"with {_TABLE} select l_orderkey, len(rows_[1:3]) n_rows, array_to_string(flatten(rows_[1:3]), '|') cells from lines",
         "batch_totals": "select count(distinct source) files, count(distinct source || lang) documents_processed, count(*) total_sections from documents",
     }
