@@ -28,7 +28,7 @@ from docloom.llm._text import text_slices, words_of
 
 EXAMPLES = 2000
 MOST_TERMS = 2000
-LEAST_RATIO = 12.0
+LEAST_RATIO = 20.0
 LEAST_DOCUMENTS = 3
 NEIGHBOURS = 15
 BLOCK = 32
