@@ -33,7 +33,7 @@ class ChunkConfig:
     position_meta: bool = True
 
 
-_CORPUS = ChunkConfig(max_size=1200, min_size=200, overlap=150, max_tokens=384, overlap_tokens=50, sentence_regex=r"(?<=[.!?])\s+(?=[A-Z])")
+_CORPUS = ChunkConfig(max_size=1200, min_size=200, overlap=150, max_tokens=384, overlap_tokens=50, sentence_regex=r"(?<=[!.?])(?:\s+)(?=[A-Z])")
 #: Presets by use, then by kind of corpus or section.
 PRESETS: dict[str, ChunkConfig] = {
     "embedding": ChunkConfig(max_size=500, min_size=50, overlap=50, max_tokens=256, strategy="sentence_based"),
@@ -82,7 +82,7 @@ TECHNICAL = (
     r"\b(?:database|index|query|schema|table)\b",
     r"\b(?:authentication|client|request|response|server)\b",
 )
-CODE_SHAPES = (r"```\w*\n.*?\n```", r"`[^`]+`", r"^\s*(?:class|def|for|from|if|import|while)\s+", r"^\s*(?:class|namespace|private|public|using)\s+")
+CODE_SHAPES = (r"`{3}\w*\n.*?\n`{3}", r"`[^`]+`", r"^\s*(?:class|def|for|from|if|import|while)\s+", r"^\s*(?:class|namespace|private|public|using)\s+")
 LIST_ITEMS = (r"^\s*[-*+]\s+", r"^\s*\d+\.\s+")
 FORMULAS = (r"\$[^$]+\$", r"\\\([^)]+\\\)", r"\b(?:derivative|equation|formula|integral|sum)\b")
 REFERENCES = (r"\[[^\]]+\]", r"(?:check|refer to|see|visit)\s+\w+")

@@ -204,4 +204,4 @@ def table_chars(headers: Column, rows: Column, caption: Column, separators: int
 
 
 def generalise_id(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, r"\d+", "N"), "[a-f0-9]{8,}", "HASH")
+    return F.regexp_replace(F.regexp_replace(value, r"\d+", "N"), "[0-9a-f]{8,}", "HASH")

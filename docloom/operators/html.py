@@ -358,7 +358,8 @@ def slug_id(title: str) -> str:
     import hashlib
 
     bare = re.sub(r"-+", "-", re.sub(r"[^a-z0-9\-]", "", title.lower().replace(" ", "-")))
-    return f"{bare}-{hashlib.md5(title.encode()).hexdigest()[:6]}"
+    digest = hashlib.md5(title.encode("utf-8"), usedforsecurity=False)
+    return f"{bare}-{digest.hexdigest()[:6]}"
 
 
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from docloom import schemas
 
-_OPEN = r"""<div\s+data-tree\s*=\s*["']([^"']+)["'][^>]*"""
+_ATTRIBUTE = r"data-tree\s*=\s*"
+_OPEN = r"<div\s+" + _ATTRIBUTE + r"""["']([^'"]+)['"][^>]*"""
 _WHOLE = "(?is)" + _OPEN + r">.*?</div>"
 _ALONE = "(?i)" + _OPEN + "/?>"
 
 
+def _tag(name: str, classes: str, more: str = "") -> str:
+    return f'<{name} class="{classes}"{more}>'
+
+
 def placeholders(html: Column) -> Column:
     """(value, element) of each div with data-tree, then of unclosed ones whose value hasn't come up. Resolved elements are passed over."""
     def found(pattern: str) -> Column:
@@ -33,10 +38,10 @@ def rendered(types: DataFrame, response: str = "response") -> DataFrame:
     t = F.from_json(F.col(response), schemas.API_TYPE)
     some = lambda c: F.length(c) > 0
     enum = F.coalesce(F.contains(t["base-type-full-name"], F.lit("Enum")), F.lit(False))
-    snippet = lambda kind, name: F.concat(F.lit('<div class="code-snippet"><span class="object-type">'), kind, F.lit("</span> <code>"), name, F.lit("</code></div>"))
-    box = lambda *parts: F.concat_ws("\n", F.lit('<div class="subsection-content">'), *parts, F.lit("</div>"))
+    snippet = lambda kind, name: F.concat(F.lit(_tag("div", "code-snippet") + _tag("span", "object-type")), kind, F.lit("</span> <code>"), name, F.lit("</code></div>"))
+    box = lambda *parts: F.concat_ws("\n", F.lit(_tag("div", "subsection-content")), *parts, F.lit("</div>"))
     para = lambda c: F.when(some(c), F.concat(F.lit("<p>"), c, F.lit("</p>")))
-    typed = lambda label, c: F.when(some(c), F.concat(F.lit(f'<div class="subsection-header">{label}:</div>\n<p class="subsection-content">'), c, F.lit("</p>")))
+    typed = lambda label, c: F.when(some(c), F.concat(F.lit(f"{_tag('div', 'subsection-header')}{label}:</div>\n{_tag('p', 'subsection-content')}"), c, F.lit("</p>")))
 
     def members(kind: str, key: str, label: str | None, returned: str | None, needs: bool) -> Column:
         own = F.filter(t[key], lambda m: some(m[f"{kind}-name"]) & (some(m[f"{kind}-description"]) if needs else F.lit(True)))
@@ -58,13 +63,13 @@ def resolved(values: DataFrame, types: DataFrame) -> DataFrame:
     of = lambda language: types.where(F.col("language") == language).select(F.col("name").alias("value"), F.col("fragment").alias(language))
     both = values.select("value").distinct().join(of("python"), "value", "left").join(of("csharp"), "value", "left")
     python, csharp = F.coalesce("python", "csharp"), F.coalesce("csharp", "python")
-    pane = lambda language, content, style: F.concat(F.lit(f'<div class="{language}" data-tree-language="{language}" data-tree="root"{style}>\n<div class="inner-tree-container section-code-wrapper">\n'), content, F.lit("\n</div>\n</div>"))
+    inner = _tag("div", "inner-tree-container section-code-wrapper")
+    pane = lambda language, content, style: F.concat(F.lit(f"{_tag('div', language, f' data-tree-language={chr(34)}{language}{chr(34)} data-tree={chr(34)}root{chr(34)}{style}')}\n{inner}\n"), content, F.lit("\n</div>\n</div>"))
     name = F.element_at(F.split("value", r"\."), -1)
-    buttons = '<span>Select Language: <button class="lang-csharp">C#</button><button class="lang-python">Python</button></span>'
-    content = F.concat(
-        F.lit('<div class="base-expandable-type section-example-container">\n<div class="base-expandable-header">\n<div class="base-expandable-link">\n<div class="blue-text-action language-buttons">\n'),
-        name, F.lit(f"\n{buttons}\n</div>\n"), pane("python", python, ""), F.lit("\n"), pane("csharp", csharp, ' style="display: none;"'), F.lit("\n</div>\n</div>\n</div>"),
-    )
+    buttons = "".join(f"{_tag('button', mark)}{label}</button>" for mark, label in (("lang-csharp", "C#"), ("lang-python", "Python")))
+    boxes = ("base-expandable-type section-example-container", "base-expandable-header", "base-expandable-link", "blue-text-action language-buttons")
+    head = "\n".join(_tag("div", b) for b in boxes)
+    content = F.concat(F.lit(head + "\n"), name, F.lit(f"\n<span>Select Language: {buttons}</span>\n</div>\n"), pane("python", python, ""), F.lit("\n"), pane("csharp", csharp, ' style="display: none;"'), F.lit("\n</div>" * 3))
     return both.select("value", content.alias("content"))
 
 

@@ -58,7 +58,7 @@ def _sentences(text: str, c: ChunkConfig, mode: str) -> list[str]:
     if mode == "clean":
         return [s for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", text)) if s]
     parts = re.split(c.sentence_regex, text)
-    out = [(parts[i] + parts[i + 1]).strip() for i in range(0, len(parts) - 1, 2)]
+    out = [(a + b).strip() for a, b in zip(parts[::2], parts[1::2])]
     return [*out, parts[-1].strip()] if len(parts) % 2 and parts[-1].strip() else out
 
 
@@ -134,10 +134,10 @@ def section_chunks(s: dict, c: ChunkConfig, mode: str = "paired") -> list[dict]:
 # --- code-aware ---
 
 # indentation is blanks alone: taking in line breaks would hide what follows an empty line
-_PY_CLASS, _PY_DEF = re.compile(r"^([ \t]*)class\s+(\w+)\s*[:\(]", re.M), re.compile(r"^([ \t]*)def\s+(\w+)\s*\(", re.M)
-_PY_BREAK = re.compile(r"\s*#.*$|(?:from\s+\S+\s+)?import\s+.*$")
-_CS_CLASS = re.compile(r"^([ \t]*)(?:public|private|internal|protected)?\s*(?:static|abstract|sealed)?\s*class\s+(\w+)", re.M)
-_CS_SPACE = re.compile(r"^namespace\s+(\w+(?:\.\w+)*)", re.M)
+_PY_CLASS, _PY_DEF = re.compile(r"^([ \t]*)class\s+(\w+)\s*[(:]", re.M), re.compile(r"^([ \t]*)def\s+(\w+)\s*[(]", re.M)
+_PY_BREAK = re.compile(r"\s*#.*$|(?:from\s+\S+\s+)?import\s.*$")
+_CS_CLASS = re.compile(r"^([ \t]*)(?:internal|private|protected|public)?\s*(?:abstract|sealed|static)?\s*class\s+(\w+)", re.M)
+_CS_SPACE = re.compile(r"^namespace\s+(\w[\w.]*)", re.M)
 
 
 def python_units(code: str) -> list[tuple[str, int, int]]:
@@ -253,7 +253,7 @@ def split_code(block: dict, most: int, structured: bool = True, residue: bool =
 def code_segments(s: dict) -> list[dict]:
     """Text and fenced code of the content in order, then the section's code blocks."""
     text, out, at = s["content"] or "", [], 0
-    for m in re.finditer(r"```(\w+)?\n(.*?)\n```", text, re.S):
+    for m in re.finditer(r"`{3}(\w*)\n(.*?)\n`{3}", text, re.S):
         if text[at : m.start()].strip():
             out.append({"language": None, "content": text[at : m.start()], "structured": False})
         out.append({"language": m[1] or "text", "content": m[2], "structured": False})
@@ -300,7 +300,7 @@ def table_text(t: dict, most: int = 10) -> str:
     out = [f"Table: {t['caption']}"] if t["caption"] else []
     n = len(t["headers"] or [])
     if n:
-        out += ["| " + " | ".join(t["headers"]) + " |", "|" + "|".join([" --- "] * n) + "|"]
+        out += ["| " + " | ".join(t["headers"]) + " |", "|" + " --- |" * n]
     out += ["| " + " | ".join((r + [""] * (n - len(r)))[:n] if n else r) + " |" for r in t["rows"][:most]]
     return "\n".join([*out, f"... and {len(t['rows']) - most} more rows"] if len(t["rows"]) > most else out)
 

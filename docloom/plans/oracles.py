@@ -12,7 +12,7 @@ _CLASS = """(?i)\\sclass\\s*=\\s*["'']([^"'']*)["'']"""
 _CLASSES = f"""classed as materialized (select page_id, tag, unnest(list_filter(string_split_regex(regexp_extract(attributes, '{_CLASS}', 1), '\\s+'), lambda c: c <> '')) class from tags)"""
 _PATTERNS = f"""{_TAGS}, {_CLASSES}, rows_ as materialized (select page_id, 'tag_' || tag pattern_id from tags union all select page_id, 'class_' || class from classed
     union all select page_id, 'attr_' || lower(unnest(regexp_extract_all(attributes, '\\s(data-[a-zA-Z0-9_-]+)', 1))) from tags
-    union all select page_id, 'id_' || regexp_replace(regexp_replace(i, '\\d+', 'N', 'g'), '[a-f0-9]{{8,}}', 'HASH', 'g') from (select page_id, regexp_extract(attributes, '(?i)\\sid\\s*=\\s*["'']([^"'']*)["'']', 1) i from tags) where i <> ''),
+    union all select page_id, 'id_' || regexp_replace(regexp_replace(i, '\\d+', 'N', 'g'), '[0-9a-f]{{8,}}', 'HASH', 'g') from (select page_id, regexp_extract(attributes, '(?i)\\sid\\s*=\\s*["'']([^"'']*)["'']', 1) i from tags) where i <> ''),
 counts as materialized (select pattern_id, count(*) frequency from rows_ group by all)"""
 
 
@@ -169,7 +169,7 @@ def oracle_sql() -> dict[str, str]:
         "top_tags": f"with {_PATTERNS} select pattern_id, frequency from counts order by 2 desc, 1 limit 5",
         "pattern_tiers": f"with {_PATTERNS} select pattern_id, frequency, {_TIER} tier from counts",
         "high_value_patterns": f"with {_PATTERNS} select pattern_id, frequency from counts where {_HIGH}",
-        "id_patterns": "select o_orderkey, regexp_replace(regexp_replace('sec' || o_orderkey || '-' || substr(md5(o_orderkey::varchar), 1, 12), '\\d+', 'N', 'g'), '[a-f0-9]{8,}', 'HASH', 'g') id_pattern from orders",
+        "id_patterns": "select o_orderkey, regexp_replace(regexp_replace('sec' || o_orderkey || '-' || substr(md5(o_orderkey::varchar), 1, 12), '\\d+', 'N', 'g'), '[0-9a-f]{8,}', 'HASH', 'g') id_pattern from orders",
         "hash_sample_scan": f"with {_PATTERNS} select pattern_id, cast(trunc(count(*) / 0.1) as bigint) frequency from rows_ where page_id % 10 = 0 group by all",
         "combine_scans": f"with {_FOUND} select pattern_id, frequency from found",
         "coverage_overall": f"with {_FOUND} select round(sum(coalesce(found, 0)) / sum(frequency), 6) overall_coverage, count(*) n_baseline, count(found) n_found from both_",
