@@ -28,8 +28,8 @@ def _remove_local(folder: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder, with its file system's scheme."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}")
+    """A path in the application's own part of the shared folder, with its file system's scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
     whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 

@@ -97,7 +97,8 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, width: int = WIDTH, halv
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard index of threshold or more, with it."""
-    members = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
+    # written first: when the pairs turn out few, their known size lets the join spare the texts' shuffle
+    members = written(pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct()), "members")
     own = null_safe_columns(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id is not null")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +157,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     fields = F.struct("same1", "same2", "left", "right")
     own = signed.groupBy("doc_id").agg(F.min(fields).alias("s"), F.count("*").alias("n_rows")).select("doc_id", "n_rows", "s.*")
     own = written(own, "signatures")
-    first = own.where("same1 is not null").groupBy("same1", "same2").agg(F.min(F.struct("doc_id", "left", "right")).alias("s")).select(F.col("s.doc_id").alias("rep"), "s.left", "s.right")
+    first = own.where("same1 is not null").groupBy("same1", "same2").agg(F.min(F.struct("doc_id", "left", "right")).alias("s")).select("same1", "same2", F.col("s.doc_id").alias("rep"), "s.left", "s.right")
     tables = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
     by_key = W.partitionBy("key")
     met = first.select("rep", F.explode(F.array_distinct(tables)).alias("key")).withColumn("least", F.min("rep").over(by_key)).withColumn("most", F.max("rep").over(by_key))
@@ -176,8 +177,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     drop_written(mixed)
     drop_written(met)
 
-    alike = W.partitionBy(F.coalesce("same1", F.xxhash64("doc_id")), "same2")  # documents without words don't meet
-    groups = own.select("doc_id", "n_rows", F.when(F.col("same1").isNull(), F.col("doc_id")).otherwise(F.min("doc_id").over(alike)).alias("rep"))
+    # a join, not a window: copies of one text may be any number, and a join's skewed side can be split. No words: no partner
+    groups = own.select("doc_id", "n_rows", "same1", "same2").join(first.select("same1", "same2", "rep"), ["same1", "same2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     joined = groups.join(labels, groups["rep"] == labels["node"], "left").withColumn("group_id", F.coalesce("label", "rep"))
     return joined.select("doc_id", "group_id", (F.col("doc_id") != F.col("group_id")).alias("duplicate"), "n_rows")
 

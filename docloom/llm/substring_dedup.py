@@ -8,7 +8,9 @@ can't lie in a repeated passage. An anchor's shard is the first document that ha
 each such shard the stretches within LEAST_WORDS words of the shard's anchors, and no others. A shard's automaton starts with its
 first document; the others are streamed past it in order of doc_id for matching statistics, and add to it what was new in them. So every
 passage is held against all earlier ones that could equal it. What the automata hold grows with the corpus, so shards are
-sent to the task that streams their documents (a shuffle) and not to all executors (a broadcast).
+sent to the task that streams their documents (a shuffle) and not to all executors (a broadcast). A shard of more than SHARD_STRETCHES stretches
+(a passage that very many documents share) is cut into parts by hash of document: a part's automaton takes in the part's documents only, and all of the shard's
+documents are streamed past it, so that neither memory nor a task grows with such a passage.
 
 Passages within one document don't count, nor between rows of one doc_id and text (repeated rows); different texts of one doc_id
 are different documents. Rows with a null doc_id or text are kept as they are and are no reference. Texts of fewer
@@ -33,6 +35,8 @@ from docloom.llm.decontaminate import without
 
 LEAST_WORDS = 50
 ANCHOR = 12
+#: Stretches whose novelties one automaton holds at most; a larger shard has several, and its documents are streamed past each.
+SHARD_STRETCHES = 5000
 _PLACE_BITS = np.uint64(24)
 
 
@@ -84,8 +88,8 @@ class _Shard:
     def __init__(self, least: int) -> None:
         self.least, self.automaton, self.seen = least, SuffixAutomaton(), {}
 
-    def document(self, doc: tuple, stretches: list[tuple[int, bytes]]) -> list[tuple[int, int, int]]:
-        """(first word, end, earlier doc_id) of the document's repeated passages; then adds what was new."""
+    def document(self, doc: tuple, stretches: list[tuple[int, bytes]], adds: bool = True) -> list[tuple[int, int, int]]:
+        """(first word, end, earlier doc_id) of the document's repeated passages; adds: then takes in what was new."""
         out, new, own = [], [], set()
         for start, data in stretches:
             before = self.seen.get(data)
@@ -96,6 +100,8 @@ class _Shard:
             tokens = np.frombuffer(data, "<u4").tolist()
             spans = [(s, e, self.automaton.mark[q]) for s, e, q in self.long_matches(tokens)]
             out += [(start + s, start + e, mark[0]) for s, e, mark in spans]
+            if not adds:
+                continue
             own.add(data)
             at = 0
             for s, e in [*((s, e) for s, e, _ in spans), (n + 1, n)]:
@@ -133,7 +139,7 @@ class _Shard:
         return out
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, anchor: int = ANCHOR) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, anchor: int = ANCHOR, shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
     """doc_id, text_hash, start, end (words) and earlier (doc_id) of each maximal repeated passage."""
     own = null_safe_columns(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id is not null and text is not null").withColumn("text_hash", F.xxhash64("text"))
     anchor = min(anchor, least_words)
@@ -166,16 +172,20 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, anchor: i
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names)
 
     joined = own.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "places", "shards")
-    sent = joined.mapInArrow(send, "shard_id bigint, shard_hash bigint, doc_id bigint, text_hash bigint, start int, words binary")
+    keys = ["shard_id", "shard_hash"]
+    sent = written(joined.mapInArrow(send, "shard_id bigint, shard_hash bigint, doc_id bigint, text_hash bigint, start int, words binary"), "stretches")
+    large = sent.groupBy(*keys).count().where(F.col("count") > shard_stretches).select(*keys, F.ceil(F.col("count") / shard_stretches).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    sent = sent.join(large, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("adds", F.pmod(F.xxhash64("doc_id", "text_hash"), parts) == F.col("part"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, doc, stretches = None, None, []
+        now, doc, adds, stretches = None, None, True, []
         shard = _Shard(least_words)
         out: list[list] = [[] for _ in range(5)]
 
         def finish() -> None:
             if doc is not None:
-                for s, e, earlier in shard.document(doc, stretches):
+                for s, e, earlier in shard.document(doc, stretches, adds):
                     for column, value in zip(out, (*doc, s, e, earlier)):
                         column.append(value)
 
@@ -183,12 +193,12 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, anchor: i
             return pa.record_batch([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["doc_id", "text_hash", "start", "end", "earlier"])
 
         for batch in batches:
-            for shard_id, shard_hash, doc_id, text_hash, start, data in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if (doc_id, text_hash) != doc or (shard_id, shard_hash) != now:
+            for shard_id, shard_hash, part, doc_id, text_hash, start, data, takes in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if (doc_id, text_hash) != doc or (shard_id, shard_hash, part) != now:
                     finish()
-                    doc, stretches = (doc_id, text_hash), []
-                    if (shard_id, shard_hash) != now:
-                        now, shard = (shard_id, shard_hash), _Shard(least_words)
+                    doc, adds, stretches = (doc_id, text_hash), takes, []
+                    if (shard_id, shard_hash, part) != now:
+                        now, shard = (shard_id, shard_hash, part), _Shard(least_words)
                 if not stretches or stretches[-1][0] != start:  # else a repeated row
                     stretches.append((start, data))
             if len(out[0]) > 100_000:
@@ -197,7 +207,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, anchor: i
         finish()
         yield flushed()
 
-    by_shard = sent.repartition("shard_id", "shard_hash").sortWithinPartitions("shard_id", "shard_hash", "doc_id", "text_hash", "start")
+    order = [*keys, "part", "doc_id", "text_hash", "start"]
+    by_shard = sent.select(*order, "words", "adds").repartition(*keys, "part").sortWithinPartitions(*order)
     return by_shard.mapInArrow(stream, "doc_id bigint, text_hash bigint, start int, end int, earlier bigint")
 
 
