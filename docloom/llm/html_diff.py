@@ -188,4 +188,5 @@ def extract_by_difference(pages: DataFrame, range_pages: int = RANGE_PAGES) -> D
             yield pa.RecordBatch.from_pylist([one(before, page, None)], schema)
 
     laid = own.mapInArrow(lay_out, "p int, key string, own boolean, page_id bigint, url string, lines string")
-    return laid.repartition("p").sortWithinPartitions("p", "key", "lines").mapInArrow(difference, PAGES)
+    # a task a range: ranges that met in a task by their hash would make it several times as large
+    return laid.repartitionById(len(cuts) + 1, "p").sortWithinPartitions("p", "key", "lines").mapInArrow(difference, PAGES)
