@@ -142,6 +142,12 @@ def first_samples(rows: DataFrame, *order: str, most: int = 200) -> DataFrame:
     return rows.where(F.length(text) > 0).groupBy("pattern_id").agg(F.min_by(text, F.struct(*order)).alias("sample_content"))
 
 
+def pattern_scan(rows: DataFrame, *order: str, most: int = 200) -> DataFrame:
+    """pattern_counts() and first_samples() in one aggregation."""
+    text = F.trim(F.substring("text", 1, most))
+    return rows.groupBy("pattern_id").agg(F.count("*").alias("frequency"), F.min_by(text, F.when(F.length(text) > 0, F.struct(*order))).alias("sample_content"))
+
+
 def snapshot(nodes: DataFrame, ratio: float = conf.SAMPLE_RATIO, seed: int = 0) -> dict[str, DataFrame]:
     """Counts, depths, texts and a sample of nodes (doc, node, tag, classes, attrs, depth, text)."""
     rows = pattern_rows(nodes, tags=True)
@@ -152,11 +158,14 @@ def snapshot(nodes: DataFrame, ratio: float = conf.SAMPLE_RATIO, seed: int = 0)
 
 
 def candidates(counts: DataFrame, samples: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """Patterns but for tags as scored candidates. samples: pattern_id, sample_content; lengths: pattern_id, avg_text_length."""
+    """Patterns but for tags as scored candidates. samples: pattern_id, sample_content (else counts' own); lengths: pattern_id, avg_text_length."""
     kind = F.when(F.startswith("pattern_id", F.lit("class_")), "class").when(F.startswith("pattern_id", F.lit("attr_")), "attr").when(F.startswith("pattern_id", F.lit("id_")), "id_pattern")
     value = F.regexp_replace("pattern_id", "^(?:class|attr|id)_", "")
     out = counts.withColumn("selector_type", kind).where("selector_type is not null").withColumn("selector_value", value)
-    out = out.join(samples, "pattern_id", "left") if samples is not None else out.withColumn("sample_content", F.lit(None).cast("string"))
+    if samples is not None:
+        out = out.join(samples, "pattern_id", "left")
+    elif "sample_content" not in out.columns:
+        out = out.withColumn("sample_content", F.lit(None).cast("string"))
     out = out.join(lengths, "pattern_id", "left") if lengths is not None else out.withColumn("avg_text_length", F.lit(0.0))
     out = out.withColumn("sample_content", F.coalesce("sample_content", F.lit(""))).withColumn("avg_text_length", F.coalesce("avg_text_length", F.lit(0.0)))
     out = out.withColumn("evidence_score", E.evidence_score(F.col("selector_value"), F.col("frequency"), F.col("sample_content"), F.col("avg_text_length")))

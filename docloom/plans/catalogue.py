@@ -131,9 +131,8 @@ def hash_sample_scan(spark, sf):
 
 def _found(spark, sf):
     """Valuable patterns in full, the rest from the sample; those of two letters stay unknown, so that something is missing."""
-    rows = P.pattern_rows(_tags(spark, sf), tags=True)
-    valuable = P.with_value(P.pattern_counts(rows)).where("high_value and pattern_id rlike '[^_]{3,}$'")
-    return P.combine_scans(P.pattern_counts(rows.join(valuable.select("pattern_id"), "pattern_id", "left_semi")), _sampled(spark, sf).where("not pattern_id rlike '_..$'"), RATIO)
+    full = P.with_value(_counts(spark, sf)).where("high_value and pattern_id rlike '[^_]{3,}$'")
+    return P.combine_scans(full, _sampled(spark, sf).where("not pattern_id rlike '_..$'"), RATIO)
 
 
 @_query
@@ -166,7 +165,7 @@ def _scored(spark, sf, where=None):
     pages = _t(spark, sf, "pages") if where is None else _t(spark, sf, "pages").where(where)
     titled = pages.select("page_id", "html", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"))
     rows = titled.select("page_id", "text", F.explode(P.opening_tags(F.col("html"))).alias("raw")).select("page_id", "text", F.concat(F.lit("class_"), F.lower(F.regexp_extract("raw", r"<([a-zA-Z0-9]+)", 1))).alias("pattern_id"))
-    return P.candidates(P.pattern_counts(rows), P.first_samples(rows, "page_id"))
+    return P.candidates(P.pattern_scan(rows, "page_id"))
 
 
 @_query
