@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from docloom import conf
 
+BROADCAST_QUERIES = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,9 +22,11 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, query: DataFrame, k: int = conf.TOP_K, where: Column | None = None, key: str = "vec_id") -> DataFrame:
     """The k nearest vectors to each query (query_id, vector), by exact cosine; ties: the smaller key. where: a filter on metadata, applied first.
 
-    Queries are the few side and are broadcast; the ranking keeps k rows a query in each task before its shuffle.
+    Up to BROADCAST_QUERIES queries are broadcast; more meet the vectors in blocks of a partitioned product. The ranking keeps k rows a query in each
+    task before its shuffle.
     """
     kept = vectors if where is None else vectors.where(where)
-    scored = kept.crossJoin(F.broadcast(query)).select("query_id", key, cosine(F.col("embedding"), F.col("vector")).alias("similarity"))
+    few = query.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    scored = kept.crossJoin(F.broadcast(query) if few else query).select("query_id", key, cosine(F.col("embedding"), F.col("vector")).alias("similarity"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), key))
     return scored.withColumn("rank", place).where(F.col("rank") <= k)

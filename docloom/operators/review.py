@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from docloom import conf
 from docloom.functions import evidence as E
 
+MAP_RULES = 20_000
+
 
 def merge_review(scored: DataFrame, decisions: DataFrame) -> DataFrame:
     """Candidates beside earlier decisions. priority 1: new; 2: changed much, to be decided again; 3: as before, its decision kept.
@@ -62,14 +64,16 @@ def rules_by_type(rules: DataFrame) -> DataFrame:
 def classify(nodes: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
     """keys and label of each node (tag, classes, attrs): SKIP, or the type of the first rule that fits, else the default.
 
-    A selector lookup of the rules, a table as small as people can review, turns the containment test into an equi-join's probe: each node
-    probes a map of (selector, order), so nodes aren't shuffled.
+    Up to MAP_RULES rules become one broadcast map of selectors that each node probes, so nodes aren't shuffled; more are joined to the nodes' selectors by hash.
+    keys identify a node in the second case.
     """
     order = F.struct("type_ord", "rule_ord", "content_type")
     by_selector = rules.groupBy(F.concat_ws("\0", "selector_type", F.when(F.col("selector_type") == "tag", F.lower("selector_value")).otherwise(F.col("selector_value"))).alias("selector")).agg(F.min(order).alias("rule"))
-    lookup = by_selector.agg(F.map_from_entries(F.collect_list(F.struct("selector", "rule"))).alias("lookup"))
     selectors = F.concat(F.transform("classes", lambda c: F.concat(F.lit("class\0"), c)), F.transform(F.map_keys("attrs"), lambda a: F.concat(F.lit("attr\0"), a)), F.array(F.concat(F.lit("tag\0"), F.lower("tag"))))
-    first = F.array_min(F.transform(selectors, lambda s: F.element_at(F.col("lookup"), s)))
-    joined = nodes.crossJoin(F.broadcast(lookup)).withColumn("rule", first)
+    if rules.limit(MAP_RULES + 1).count() <= MAP_RULES:
+        lookup = by_selector.agg(F.map_from_entries(F.collect_list(F.struct("selector", "rule"))).alias("lookup"))
+        joined = nodes.crossJoin(F.broadcast(lookup)).withColumn("rule", F.array_min(F.transform(selectors, lambda s: F.element_at(F.col("lookup"), s))))
+    else:
+        joined = nodes.select(*keys, F.explode(selectors).alias("selector")).join(by_selector, "selector", "left").groupBy(*keys).agg(F.min("rule").alias("rule"))
     kind = F.col("rule.content_type")
     return joined.select(*keys, F.when(kind == "skip_content", "SKIP").otherwise(F.coalesce(kind, F.lit(conf.DEFAULT_TYPE))).alias("label"))

@@ -73,6 +73,14 @@ def test_classification(spark, tag, classes, label):
     assert V.classify(df, files.rules_frame(spark, {})).first()["label"] == conf.DEFAULT_TYPE
 
 
+def test_many_rules(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "div", ["csharp", "x"], {"href": ""}), (2, "img", ["python"], {}), (3, "p", [], {})], "k int, tag string, classes array<string>, attrs map<string,string>")
+    rules = files.rules_frame(spark, files.default_rules())
+    few = {(r["k"], r["label"]) for r in V.classify(df, rules, "k").collect()}
+    monkeypatch.setattr(V, "MAP_RULES", 5)
+    assert {(r["k"], r["label"]) for r in V.classify(df, rules, "k").collect()} == few == {(1, "tutorial_content"), (2, "SKIP"), (3, "documentation_text")}
+
+
 def test_default_rules_are_all_there():
     rules = files.default_rules()
     assert {k: len(v) for k, v in rules.items()} == {"skip_content": 69, "api_reference": 15, "navigation_content": 14, "table_content": 10, "code_content": 6, "tutorial_content": 8, "documentation_text": 8}
