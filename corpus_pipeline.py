@@ -7,31 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontaminate, mixing, near_dedup, quality, token_output
-from docloom.llm._shared import written
+from docloom.llm._shared import small_batches, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that break a rule."""
+    small_batches(spark)
     return quality.filter_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without passages of the benchmark."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fill each source's budget."""
+    small_batches(spark)
     return mixing.mix_sources(docs)
 
 
 def token_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequency-ranked ids, and the vocabulary's row."""
+    small_batches(spark)
     return token_output.encode_tokens(docs)
 
 

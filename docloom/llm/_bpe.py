@@ -21,7 +21,7 @@ from docloom.llm._text import _powers, mix, raw_bytes
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = os.environ.get("DOCLOOM_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Distinct pieces that a worker remembers; beyond it, the memory is emptied and filled anew.
-REMEMBERED_PIECES = 1_000_000
+REMEMBERED_PIECES = 300_000
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -54,6 +54,13 @@ def drop_written(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of most bytes at most for the session (Spark's own default is 64 MB): what a worker holds follows them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > most:
+        spark.conf.set(name, str(most))
+
+
 def null_safe_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """df's wanted columns, cast; a column that is missing is null. Other columns, whatever their names, stay out."""
     from pyspark.sql import functions as F

@@ -19,13 +19,14 @@ for _c in range(128, 256):
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
-SLICE_BYTES = 1 << 20
+#: Bytes of text worked on at once; arrays of 8 bytes a character hang on it.
+SLICE_BYTES = 400_000
 
 
 def _powers(n: int, base: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = 1 << max(19, int(n - 1).bit_length())
         have = np.empty(size, np.uint64)
         have[0] = 1
         filled = 1
@@ -33,7 +34,7 @@ def _powers(n: int, base: int) -> np.ndarray:
             step = np.uint64(pow(base, filled, 1 << 64))
             have[filled : 2 * filled] = have[:filled] * step
             filled *= 2
-        if size <= 1 << 24:
+        if size <= 1 << 21:
             _POWERS[base] = have
     return have[:n]
 

@@ -103,47 +103,54 @@ def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> li
     return [*shards, tuple(now)] if now else shards
 
 
-def _with_spans(docs: DataFrame, benchmark: DataFrame, max_words: int, coverage: float, least_words: int, shard_words: int) -> DataFrame:
-    """docs and, in __dl_spans, first word and end of each passage, one after the other."""
-    docs = docs.withColumn("__dl_spans", F.array().cast("array<int>"))
-    for shard in benchmark_shards(benchmark, shard_words):
-        sent = docs.sparkSession.sparkContext.broadcast(shard)
+def _find_in(batch: pa.RecordBatch, spans: list[list[int]], shard: tuple, max_words: int, coverage: float, least_words: int) -> None:
+    """Adds first word and end of each passage of shard to the rows' spans."""
+    text_at, base = batch.schema.get_field_index("text"), 0
+    for part in text_slices(batch):
+        words, first = words_of(part.column(text_at))
+        for row, s, e in found_passages(words, first, shard, max_words, coverage, least_words) if len(words) else []:
+            spans[base + row] = [*spans[base + row], s, e]
+        base += part.num_rows
 
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                text_at = batch.schema.get_field_index("text")
-                spans_at = batch.schema.get_field_index("__dl_spans")
-                spans = batch.column(spans_at).to_pylist() if pc.sum(pc.list_value_length(batch.column(spans_at))).as_py() else [[]] * batch.num_rows
-                base = 0
-                for part in text_slices(batch):
-                    words, first = words_of(part.column(text_at))
-                    for row, s, e in found_passages(words, first, sent.value, max_words, coverage, least_words) if len(words) else []:
-                        spans[base + row] = [*spans[base + row], s, e]
-                    base += part.num_rows
-                yield batch.set_column(spans_at, batch.schema.field(spans_at), pa.array(spans, batch.schema.field(spans_at).type))
 
-        docs = docs.mapInArrow(find, docs.schema)
-    return docs
+def _spans_of(batch: pa.RecordBatch) -> list[list[int]]:
+    column = batch.column(batch.schema.get_field_index("__dl_spans"))
+    return column.to_pylist() if pc.sum(pc.list_value_length(column)).as_py() else [[]] * batch.num_rows
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, shard_words: int = SHARD_WORDS, flag: str | None = None) -> DataFrame:
     """docs with the passages cut out of text; flag: name of a column to add, the number of words removed."""
-    found = _with_spans(docs.withColumn("text", F.col("text").cast("string")), benchmark, max_words, coverage, least_words, shard_words)
+    shards = benchmark_shards(benchmark, shard_words) or [()]
+    limits = (max_words, coverage, least_words)
+    found = docs.withColumn("text", F.col("text").cast("string")).withColumn("__dl_spans", F.array().cast("array<int>"))
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    for shard in shards[:-1]:
+
+        def find(batches: Iterator[pa.RecordBatch], sent=broadcast(shard)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, spans = batch.schema.get_field_index("__dl_spans"), _spans_of(batch)
+                _find_in(batch, spans, sent.value, *limits)
+                yield batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
+
+        found = found.mapInArrow(find, found.schema)
     count = isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) if "n_chars" in docs.columns else False
     schema = T.StructType([f for f in found.schema if f.name != "__dl_spans"] + ([T.StructField(flag, T.LongType())] if flag else []))
+    last = broadcast(shards[-1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text_at, spans_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("__dl_spans")
-            hit = np.flatnonzero(pc.list_value_length(batch.column(spans_at)).to_numpy(zero_copy_only=False))
+            spans = _spans_of(batch)
+            if last.value:
+                _find_in(batch, spans, last.value, *limits)
+            hit = [i for i, x in enumerate(spans) if x]
             out, removed = batch, np.zeros(batch.num_rows, np.int64)
-            if len(hit):
+            if hit:
                 texts = batch.column(text_at).to_pylist()
-                for i in hit.tolist():
-                    flat = batch.column(spans_at)[i].as_py()
-                    spans = list(zip(flat[::2], flat[1::2]))
-                    removed[i] = len({w for s, e in spans for w in range(s, e)})
-                    texts[i] = without(texts[i].encode(), spans).decode()
+                for i in hit:
+                    pairs = list(zip(spans[i][::2], spans[i][1::2]))
+                    removed[i] = len({w for s, e in pairs for w in range(s, e)})
+                    texts[i] = without(texts[i].encode(), pairs).decode()
                 new = pa.array(texts, batch.schema.field(text_at).type)
                 out = out.set_column(text_at, batch.schema.field(text_at), new)
                 if count:
