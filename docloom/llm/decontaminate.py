@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._automaton import SuffixAutomaton
-from docloom.llm._text import lowered, raw_bytes, text_slices, word_hashes, word_spans, words_of
+from docloom.llm._text import text_slices, word_spans, words_of
 
 MAX_WORDS = 13
 COVERAGE = 0.5
