@@ -97,8 +97,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, width: int = WIDTH, halv
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard index of threshold or more, with it."""
-    # written first: when the pairs turn out few, their known size lets the join spare the texts' shuffle
-    members = written(pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct()), "members")
+    members = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
     own = null_safe_columns(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id is not null")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +128,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, sh
                     j_out.append(index)
             yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(j_out, pa.float64())], ["a", "b", "jaccard"])
 
-    texts = members.join(own, members["b"] == own["doc_id"]).select("a", "b", "text")
+    # a merge join at every size: one plan, whose shuffle follows the input
+    texts = members.hint("merge").join(own, members["b"] == own["doc_id"]).select("a", "b", "text")
     by_centre = texts.mapInArrow(sets, "a bigint, b bigint, shingles binary").repartition("a").sortWithinPartitions("a", F.col("a") != F.col("b"), "b", "shingles")
     return by_centre.mapInArrow(compare, "a bigint, b bigint, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
@@ -188,7 +188,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     groups = written(near_duplicates(docs, **options), "near-duplicates")
     lost = groups.where("duplicate").select(F.col("doc_id").alias("__dl_id"))
     own = docs["doc_id"].cast("bigint")
-    kept = docs.join(lost, own == lost["__dl_id"], "left_anti")
+    kept = docs.join(lost.hint("merge"), own == lost["__dl_id"], "left_anti")  # as above
     again = groups.where("n_rows > 1").select(F.col("doc_id").alias("__dl_id"))
     if not again.limit(1).count():
         return kept
