@@ -1,11 +1,13 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The classifier is fitted on a bounded sample of labelled rows (EXAMPLES of each class, by seeded hash). Its terms are the
-words whose presence goes with the label (log-likelihood ratio of at least LEAST_RATIO, MOST_TERMS at most). The
+The classifier is fitted on a bounded sample of labelled rows (EXAMPLES of each class, by seeded hash). Every word of the
+examples is a term of the index, whatever its count; IDF is multiplied by how strongly the word's presence goes with the label, a
+shrunk log-odds ratio (see association) that no word is too rare for, so that words of a small language count as well. The
 examples' unit vectors lie in an inverted index cut into blocks, with the greatest weight of every term in every block; a
-query visits blocks by falling upper bound and stops when no bound reaches its NEIGHBOURS-th best cosine, so its neighbours are
+query visits the blocks of highest upper bound, then those whose bound reaches its NEIGHBOURS-th best cosine, so its neighbours are
 those of a full scan. Their votes, weighted by similarity, become a probability by isotonic regression of the examples' own
-leave-one-out votes, weighted back to the classes' true shares.
+votes, weighted back to the classes' true shares. Those votes are of an index whose associations don't know the example's
+label (FOLDS folds), so chance associations of rare words can't raise the calibrated probability.
 
 Result: doc_id, toxicity (probability), toxic (0.5 or more) and evidence (the neighbours by falling cosine, ties: the smaller
 doc_id; never the document itself) of every row, repeated rows included. Null text: toxicity, toxic and evidence null. A text
@@ -27,11 +29,11 @@ from docloom.llm._shared import null_safe_columns
 from docloom.llm._text import text_slices, words_of
 
 EXAMPLES = 2000
-MOST_TERMS = 2000
-LEAST_RATIO = 20.0
-LEAST_DOCUMENTS = 3
 NEIGHBOURS = 15
 BLOCK = 32
+FOLDS = 5
+LEAST_ASSOCIATION = 0.01
+FIRST_BLOCKS = 8
 SCORES = "doc_id bigint, toxicity double, toxic boolean, evidence array<struct<doc_id:bigint,similarity:double,toxic:boolean>>"
 
 
@@ -46,17 +48,49 @@ def _counts(words: np.ndarray, first: np.ndarray, terms: np.ndarray) -> tuple[np
     return pairs // len(terms), pairs % len(terms), counts
 
 
-class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples (ids, labels) in blocks."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... of sizes[0] places, then those of the next."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def association(with_term: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How strongly each term's presence goes with the label: the log-odds ratio, shrunk by its own variance, never 0.
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray, block: int = BLOCK) -> None:
-        """vectors: terms x examples; those without a term are left out."""
-        some = np.flatnonzero(vectors.any(0))
-        order = some[np.lexsort([ids[some], vectors[:, some].argmax(0) if len(some) else some])]  # alike ones in one block
+    with_term: examples of the two classes (rows) that have each term; size: of the classes.
+    """
+    seen, other = with_term + 0.5, size[:, None] - with_term + 0.5
+    ratio = np.log(seen[1] / other[1]) - np.log(seen[0] / other[0])
+    variance = (1 / seen + 1 / other).sum(0)
+    return LEAST_ASSOCIATION + np.abs(ratio) * ratio**2 / (ratio**2 + variance)
+
+
+class BlockMaxIndex:
+    """Unit TF-IDF vectors of examples (ids, labels) in blocks, as postings by term and block."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray], block: int = BLOCK) -> None:
+        """vectors: terms x examples, whole or as (term, example, weight) of what isn't 0; examples without a term are left out."""
+        if not isinstance(vectors, tuple):
+            t, x = np.nonzero(vectors)
+            vectors = t, x, vectors[t, x]
+        term, example, weight = vectors
+        top = np.zeros(len(ids), np.int64)  # each example's term of most weight
+        by_weight = np.argsort(weight, kind="stable")
+        top[example[by_weight]] = term[by_weight]
+        some = np.unique(example)
+        order = some[np.lexsort([ids[some], top[some]])]  # alike ones in one block
         self.ids, self.labels, self.terms, self.idf, self.block = ids[order], labels[order], terms, idf, block
-        self.vectors = np.ascontiguousarray(vectors[:, order])
-        n = -(-len(order) // block)
-        self.peaks = np.stack([self.vectors[:, i * block : (i + 1) * block].max(1) for i in range(n)], 1) if n else np.zeros((len(terms), 0))
+        place = np.zeros(len(ids), np.int64)
+        place[order] = np.arange(len(order))
+        place = place[example]
+        by_term = np.lexsort([place, term])
+        term, self.places, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
+        self.n_blocks = -(-len(order) // block)
+        group = term * max(1, self.n_blocks) + self.places // block
+        self.posting = np.flatnonzero(np.diff(group, prepend=-1))  # first of each term and block
+        self.peak = np.maximum.reduceat(self.weight, self.posting) if len(group) else np.zeros(0)
+        self.in_block = (self.places[self.posting] // block).astype(np.int32)
+        self.first = np.searchsorted(term[self.posting], np.arange(len(terms) + 1))
+        self.posting = np.append(self.posting, len(group))
 
     def weights(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[at]
@@ -64,19 +98,25 @@ class BlockMaxIndex:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a term in common, exactly; but: a doc_id to pass over."""
-        bounds = w @ self.peaks[at]
-        queue = np.argsort(-bounds, kind="stable")
-        queue = queue[bounds[queue] > 0]
-        places, cosines, worst, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
-        while len(queue) and bounds[queue[0]] * (1 + 1e-9) >= worst:
-            now, queue = queue[:step], queue[step:]
-            some = (now[:, None] * self.block + np.arange(self.block)).reshape(-1)
-            some = some[some < len(self.ids)]
-            near = np.round(w @ self.vectors[at[:, None], some], 9)
-            keep = near > 0
+        n = self.first[at + 1] - self.first[at]
+        runs, w = _ranges(self.first[at], n), np.repeat(w, n)
+        in_block = self.in_block[runs]
+        bounds = np.bincount(in_block, w * self.peak[runs], self.n_blocks)
+        left = bounds > 0
+        places, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for first in (True, False):  # the blocks of highest bound, then all that can still matter at once
+            now = np.zeros(self.n_blocks, bool)
+            now[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS] if first else bounds + 1e-9 >= worst] = True
+            now, left = now & left, left & ~now
+            mine = np.flatnonzero(now[in_block])
+            a, b = self.posting[runs[mine]], self.posting[runs[mine] + 1]
+            hits = _ranges(a, b - a)
+            near = np.round(np.bincount(self.places[hits], np.repeat(w[mine], b - a) * self.weight[hits], len(self.ids)), 9)
+            keep = near > worst - 1e-12 if worst else near > 0
             if but is not None:
-                keep &= self.ids[some] != but
-            places, cosines = np.concatenate([places, some[keep]]), np.concatenate([cosines, near[keep]])
+                keep &= self.ids != but
+            keep = np.flatnonzero(keep)
+            places, cosines = np.concatenate([places, keep]), np.concatenate([cosines, near[keep]])
             best = np.lexsort([self.ids[places], -cosines])[:k]
             places, cosines = places[best], cosines[best]
             worst = cosines[-1] if len(cosines) == k else 0.0
@@ -101,44 +141,42 @@ class ToxicityModel:
     def __init__(self, ids: list[int], texts: list[str], labels: list[int], shares: tuple[float, float], neighbours: int = NEIGHBOURS) -> None:
         """shares: of the two classes among all labelled rows."""
         self.neighbours = neighbours
-        y = np.array(labels, np.int64)
+        y, ids_ = np.array(labels, np.int64), np.array(ids, np.int64)
         words, first = words_of(pa.array(texts, pa.string()))
+        terms, at = np.unique(words, return_inverse=True)
         row = np.repeat(np.arange(len(texts)), np.diff(first))
-        vocabulary, at = np.unique(words, return_inverse=True)
-        pair = np.unique(row * max(1, len(vocabulary)) + at)
-        row, at = pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary))
-        with_term = np.stack([np.bincount(at[y[row] == c], minlength=len(vocabulary)) for c in (0, 1)]).astype(float)
-        size = np.array([(y == 0).sum(), (y == 1).sum()], float)[:, None]
-        df = with_term.sum(0)
-        ratio = np.zeros(len(vocabulary))
-        for seen, among in ((with_term, df), (size - with_term, size.sum() - df)):
-            expected = among * size / max(1.0, size.sum())
-            ratio += 2 * np.where(seen > 0, seen * np.log(np.where(seen > 0, seen, 1) / np.where(expected > 0, expected, 1)), 0).sum(0)
-        chosen = np.flatnonzero((ratio >= LEAST_RATIO) & (df >= LEAST_DOCUMENTS))
-        chosen = np.sort(chosen[np.lexsort([vocabulary[chosen], -ratio[chosen]])][:MOST_TERMS])
-        terms = vocabulary[chosen]
-        idf = np.log((1 + len(texts)) / (1 + df[chosen])) + 1
-        r, t, n = _counts(words, first, terms)
-        vectors = np.zeros((len(terms), len(texts)), np.float64)
-        vectors[t, r] = (1 + np.log(np.maximum(n, 1))) * idf[t]
-        norm = np.sqrt((vectors**2).sum(0))
-        vectors /= np.where(norm > 0, norm, 1)
-        self.index = BlockMaxIndex(np.array(ids, np.int64), y, terms, idf, vectors)
-        weight = np.array([s / max(1.0, n) for s, n in zip(shares, size[:, 0])])[y]
-        bare = norm == 0
+        pair, n = np.unique(row * max(1, len(terms)) + at, return_counts=True)
+        row, at = pair // max(1, len(terms)), pair % max(1, len(terms))
+        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+        idf = np.log((1 + len(texts)) / (1 + np.bincount(at, minlength=len(terms)))) + 1
+
+        def index(known: np.ndarray) -> BlockMaxIndex:
+            """Of all examples, weighted by the association with the labels of the known ones."""
+            use = known[row]
+            with_term = np.stack([np.bincount(at[use & (y[row] == c)], minlength=len(terms)) for c in (0, 1)]).astype(float)
+            weight = idf * association(with_term, np.array([(y[known] == c).sum() for c in (0, 1)], float))
+            vector = (1 + np.log(n)) * weight[at]
+            norm = np.sqrt(np.bincount(row, vector * vector, len(texts)))
+            return BlockMaxIndex(ids_, y, terms, weight, (at, row, vector / norm[row]))
+
+        self.index = index(np.ones(len(texts), bool))
+        weight = np.array([s / max(1, (y == c).sum()) for c, s in enumerate(shares)])[y]
+        bare = np.diff(cuts) == 0
         self.bare = float((weight * y)[bare].sum() / weight[bare].sum()) if bare.any() else (shares[1] / max(1e-300, sum(shares)))
-        votes, own = [], []
-        for i in np.flatnonzero(~bare).tolist():
-            at = np.flatnonzero(vectors[:, i])
-            near = self.index.nearest(at, vectors[at, i], neighbours, ids[i])
-            votes.append(self.vote(*near))
-            own.append(i)
-        votes_, own_ = np.array(votes), np.array(own, np.int64)
-        known = ~np.isnan(votes_) if len(own_) else np.zeros(0, bool)
-        self.knots, self.values = _isotonic(votes_[known], y[own_[known]].astype(float), weight[own_[known]]) if known.any() else (np.zeros(0), np.zeros(0))
-
-    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        return float((cosines * self.index.labels[places]).sum() / cosines.sum()) if len(places) else float("nan")
+        votes = np.full(len(texts), np.nan)
+        fold = np.zeros(len(texts), np.int64)
+        for c in (0, 1):  # folds of both classes alike
+            fold[y == c] = np.arange((y == c).sum()) % FOLDS
+        for f in range(FOLDS):
+            blind = index(fold != f)
+            for i in np.flatnonzero((fold == f) & ~bare).tolist():
+                own = slice(cuts[i], cuts[i + 1])
+                votes[i] = self.vote(*blind.nearest(at[own], blind.weights(at[own], n[own]), neighbours, ids[i]), blind)
+        known = ~np.isnan(votes)
+        self.knots, self.values = _isotonic(votes[known], y[known].astype(float), weight[known]) if known.any() else (np.zeros(0), np.zeros(0))
+
+    def vote(self, places: np.ndarray, cosines: np.ndarray, index: BlockMaxIndex | None = None) -> float:
+        return float((cosines * (index or self.index).labels[places]).sum() / cosines.sum()) if len(places) else float("nan")
 
     def score(self, doc_id: int | None, at: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
         if not len(at):

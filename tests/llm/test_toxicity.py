@@ -88,3 +88,18 @@ def test_edges(spark):
     assert all(e["doc_id"] != i for i, r in by.items() if i is not None for e in r["evidence"] or [])
     assert tx.score_toxicity(docs(spark, []), _labels(spark, labels)).count() == 0
     assert tx.score_toxicity(docs(spark, rows), _labels(spark, [])).where("toxicity is null").count() == 200
+
+
+def test_words_of_a_small_language_count(spark):
+    rows, labels = _rows(600)
+    foreign = "connard salaud ordure".split()
+    for i in range(1000, 1030):  # six toxic texts of another language, far fewer than those that set the label's words
+        words = prose(i, 40).replace("w", "mot").split()
+        toxic = int(i % 5 == 0)
+        rows.append((i, " ".join(words + foreign * toxic)))
+        labels.append((i, 1, toxic))
+    model = tx.fit(docs(spark, rows), _labels(spark, labels))
+    assert len(model.index.terms) == len({w for _, t in rows for w in t.split()})
+    new = [(5000 + i, prose(5000 + i, 40).replace("w", "mot") + " connard salaud ordure" * (i % 2)) for i in range(40)]
+    got = {r["doc_id"]: r["toxic"] for r in tx.score_toxicity(docs(spark, new), _labels(spark, labels), model=model).collect()}
+    assert sum(got[5001 + i] for i in range(0, 40, 2)) >= 18 and sum(got[5000 + i] for i in range(0, 40, 2)) <= 1
