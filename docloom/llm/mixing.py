@@ -4,8 +4,10 @@ Documents are counted by exact token length within each source. A source's budge
 over its lengths; a bounded-knapsack dynamic programme over the counts left then makes up the rest, so that no
 selection comes nearer to the budget from below. Of each length, the documents of smallest seeded hash are taken.
 
-Weights default to a temperature over what the sources hold: tokens ** temperature. Without a budget, the total is
-the largest at which no source has to give more than it has.
+Weights default to a temperature over what the sources hold: tokens ** temperature. A source that cannot fill its share gives all it
+has, and the others share what it leaves, by weight. Without a budget, the total of the default weights is the largest at which such
+sources lack at most SHORTFALL of the total together, so that sources of next to no weight don't bound the corpus; but no less than
+LEAST_KEPT of all tokens, however uneven the sources. With weights given it is the largest at which no source has to give more than it has.
 
 Rows of one doc_id and source stand or fall together, at the sum of their lengths (repeated rows). A null source
 is a source of its own. Rows with a null doc_id, or without tokens (null or empty text), are not selected. A source
@@ -28,6 +30,8 @@ from docloom.llm._shared import null_safe_columns, written
 from docloom.llm._text import text_slices
 
 TEMPERATURE = 0.7
+SHORTFALL = 0.0005
+LEAST_KEPT = 0.6
 SEED = 17
 _NO_SOURCE = "\0none"
 _LAST_STEP = 4096
@@ -107,15 +111,41 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         step *= 8
 
 
+def _total(held: Mapping[str, int], share: Mapping[str, float]) -> float:
+    """The largest total at which the sources lack SHORTFALL of it at most, or LEAST_KEPT of what they hold."""
+    whole = sum(held[s] for s in share)
+    bound, short, lacking = 0.0, 0.0, 0  # shares and tokens of the sources that give all they have
+    for s in sorted(share, key=lambda s: held[s] / share[s]):
+        if short > SHORTFALL and lacking / (short - SHORTFALL) <= held[s] / share[s]:
+            break
+        bound, short, lacking = held[s] / share[s], short + share[s], lacking + held[s]
+    if short > SHORTFALL:
+        bound = max(bound, lacking / (short - SHORTFALL))
+    return min(whole, max(bound, LEAST_KEPT * whole))
+
+
 def budgets(held: Mapping[str, int], weights: Mapping[str, float] | None, temperature: float, budget: int | None) -> dict[str, int]:
     """Tokens to take from each source."""
     weight = {s: (n**temperature if weights is None else float(weights.get(s, 0))) for s, n in held.items()}
     whole = sum(weight.values())
     if not whole:
         return dict.fromkeys(held, 0)
-    share = {s: w / whole for s, w in weight.items()}
-    total = min((n / share[s] for s, n in held.items() if share[s] > 0), default=0) if budget is None else budget
-    return {s: min(held[s], int(total * share[s] + 1e-6)) for s in held}
+    share = {s: w / whole for s, w in weight.items() if w > 0}
+    if budget is not None:
+        total = budget
+    else:
+        total = _total(held, share) if weights is None else min(held[s] / w for s, w in share.items())
+    out, left = dict.fromkeys(held, 0), 1.0  # left: shares of the sources that aren't filled
+    for s in sorted(share, key=lambda s: (held[s] / share[s], s)):
+        out[s] = min(held[s], int(total * min(1.0, share[s] / left) + 1e-6))
+        if out[s] == held[s]:
+            total -= held[s]
+            left -= share[s]
+        else:
+            break
+    else:
+        return out
+    return {s: n if n else min(held[s], int(total * min(1.0, share.get(s, 0) / left) + 1e-6)) for s, n in out.items()}
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

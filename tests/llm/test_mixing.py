@@ -78,3 +78,19 @@ def test_edges(spark):
     assert mx.mix_sources(docs(spark, [])).count() == 0
     assert mx.mix_sources(docs(spark, rows), {None: 1.0}, budget=100).count() == 2
     assert mx.mix_sources(docs(spark, rows), budget=0).count() == 0
+
+
+def test_a_tiny_source_does_not_bound_the_others():
+    big = {f"s{i}": 10**9 for i in range(20)}
+    aim = mx.budgets(big | {"tiny": 1000, mx._NO_SOURCE: 10}, None, mx.TEMPERATURE, None)
+    assert aim["tiny"] == 1000 and aim[mx._NO_SOURCE] == 10 and all(aim[s] >= 0.99 * n for s, n in big.items())
+    skewed = {"hot": 19_000_000, "small": 10**6}
+    aim = mx.budgets(skewed, None, mx.TEMPERATURE, None)
+    assert abs(sum(aim.values()) - mx.LEAST_KEPT * sum(skewed.values())) <= len(aim) and all(aim[s] <= n for s, n in skewed.items())
+    assert mx.budgets({"a": 10, "b": 1000, "c": 1000}, {"a": 1, "b": 1, "c": 2}, 1, 910) == {"a": 10, "b": 300, "c": 600}
+
+
+def test_tiny_and_null_sources_leave_the_corpus_whole(spark):
+    rows = [(i, prose(i, 60), "en", f"s{i % 4}") for i in range(400)] + [(1000, "a", "en", "tiny"), (1001, "b", "en", None)]
+    kept = [r["doc_id"] for r in mx.mix_sources(docs(spark, rows)).collect()]
+    assert len(kept) > 230 and {1000, 1001} <= set(kept)
