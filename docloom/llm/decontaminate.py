@@ -1,9 +1,9 @@
 """Benchmark decontamination by a generalised suffix automaton of the normalised test items.
 
 Words (lower case, without punctuation) of every document are streamed through the automaton, which tracks at each
-word the longest passage ending there that some item holds. A maximal passage is removed from the text, from its
+word the longest passage ending there that some item holds. A passage is removed from the text, from its
 first to its last word, if it has MAX_WORDS words or more, or if it covers at least COVERAGE of an item that holds it
-and has LEAST_WORDS words or more. Runs of words that no item holds are passed over in whole arrays.
+and has LEAST_WORDS words or more, whether or not it lies within a longer passage that meets no limit. Runs of words that no item holds are passed over in whole arrays.
 
 The automaton holds the items, not the corpus, and is broadcast; items of more than SHARD_WORDS words together are
 split into shards, streamed past one after the other, so that what is sent at once is bounded.
@@ -45,8 +45,20 @@ def _index(shard: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, SuffixAutoma
     return vocabulary, automaton, automaton.least_over_occurrences({i: len(x) for i, x in items.items()}, items.items())
 
 
+@lru_cache(2)
+def _best(shard: tuple, coverage: float, least_words: int) -> list[int]:
+    """Of each state, the words of the longest of its and its suffix links' longest factors that meets the coverage; 0 if none does."""
+    _, automaton, least_item = _index(shard)
+    best = [0] * len(automaton.link)
+    for q in sorted(range(1, len(best)), key=automaton.longest.__getitem__):
+        n = automaton.longest[q]
+        best[q] = n if n >= least_words and n >= coverage * least_item[q] else best[automaton.link[q]]
+    return best
+
+
 def found_passages(words: np.ndarray, first: np.ndarray, shard: tuple, max_words: int, coverage: float, least_words: int) -> list[tuple[int, int, int]]:
-    """(row, first word, word after the last) of each maximal passage beyond a limit."""
+    """(row, first word, word after the last) of each passage beyond a limit that no other such passage with the same end or start holds."""
+    best = _best(shard, coverage, least_words)
     vocabulary, automaton, least_item = _index(shard)
     place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
     known = vocabulary[place] == words
@@ -65,12 +77,16 @@ def found_passages(words: np.ndarray, first: np.ndarray, shard: tuple, max_words
     out = []
     for row, s, e in zip(rows.tolist(), starts.tolist(), ends.tolist()):
         at, base = s, int(first[row])
-        before = (0, 0)
+        last = 0  # words of the passage that ends at the word before
         for length, state in [*automaton.matches(place[s:e].tolist()), (0, 0)]:
-            n, q = before
-            if n >= shortest and length <= n and (n >= max_words or (n >= least_words and n >= coverage * least_item[q])):
-                out.append((row, at - n - base, at - base))
-            before = (length, state)
+            # the longest passage beyond a limit that ends here: the match itself, or one of the longest factors of its suffix links
+            if length >= max_words or (length >= least_words and length >= coverage * least_item[state]):
+                n = length
+            else:
+                n = best[automaton.link[state]] if length >= shortest else 0
+            if last and n != last + 1:
+                out.append((row, at - last - base, at - base))
+            last = n
             at += 1
     return out
 

@@ -88,3 +88,36 @@ def test_automaton_matches_all_factors():
             if n:
                 with_it = [k for k, s in enumerate(sequences) if holds(s, text[at - n : at])]
                 assert automaton.mark[state] == with_it[0] and least[state] == min(len(sequences[k]) for k in with_it)
+
+
+def test_items_that_share_passages(spark):
+    a = "one two three four five six seven eight"
+    b = f"x {a} " + prose(3, 20)
+    rows, rnd = [(0, f"Before x {a} after."), (1, f"Before {a} after.")], random.Random(8)
+    items = [a, b, *(f"{prose(50 + k, 6, 20)} {a.rsplit(' ', k)[0]} {prose(60 + k, 15, 20)}" for k in range(3))]
+    for i in range(2, 80):
+        words = prose(i, 30, 20).split()
+        for item in rnd.choices(items, k=2):
+            item = item.split()
+            s, at = rnd.randrange(len(item)), rnd.randrange(len(words))
+            words[at:at] = item[s : s + rnd.randint(4, 12)]
+        rows.append((i, " ".join(words)))
+
+    def whole(text):
+        """Every run of words against every item and every length."""
+        words, gone = re.findall(r"\w+", text), set()
+        for i in range(len(words)):
+            for item in (x.split() for x in items):
+                for j in range(len(item)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(item) and words[i + n].lower() == item[j + n]:
+                        n += 1
+                    if n >= dc.MAX_WORDS or (n >= dc.LEAST_WORDS and n >= dc.COVERAGE * len(item)):
+                        gone |= set(range(i, i + n))
+        return [w for k, w in enumerate(words) if k not in gone]
+
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    for shard in (dc.SHARD_WORDS, 10):
+        got = {r["doc_id"]: r["text"] for r in dc.decontaminate(docs(spark, rows), bench, shard_words=shard).collect()}
+        assert [i for i, t in rows if re.findall(r"\w+", got[i]) != whole(t)] == []
+    assert a not in got[0] and sum(got[i] != t for i, t in rows) > 20
