@@ -1,21 +1,23 @@
 """HTML extraction by differencing a page with the page of the nearest URL on its host.
 
-Pages are put in order of (host, path, page_id) and each is paired with the neighbour before or after it whose path
-shares more leading segments, then more leading characters, with its own (ties: the one before). Both pages' lines of visible text are
-aligned by a longest common subsequence, and the lines in it, which the site's frame has put there, are deleted. A neighbour of the very same
-lines tells nothing: the other neighbour is taken, and without one the page stays whole.
+Pages are put in order of (host, path, page_id); consecutive pages of the very same lines are a run, and empty pages are passed over.
+All pages of a run have the same two neighbours: the host's last page before the run and its first after it. The one whose path
+shares more leading segments, then more leading characters, with a page's own is taken (ties: the one before). Both pages' lines of visible
+text are aligned by a longest common subsequence, and the lines in it, which the site's frame has put there, are deleted. Without a page
+of other lines on its host a page stays whole.
 
 The order is cut into ranges of about RANGE_PAGES pages, whatever the hosts' sizes, from a sample of URLs; every range also gets the
-page before its first and the page after its last, found in a pass that reads URLs alone, so the result doesn't depend on the cuts.
-Texts are shuffled once.
+two pages of different lines before its first and after its last, found in a pass over keys and hashes of lines, so the result doesn't
+depend on the cuts. Texts are shuffled once.
 
-Null or empty html gives empty text. A null or unreadable url has no host and stays whole, as does a host's only page. Rows with a null page_id and repeated rows are pages like others (repeated rows
-are neighbours of the very same lines). An empty table gives an empty table. Result: page_id, url, neighbour_id, text, n_lines and n_shared of every
+Null or empty html gives empty text and has no neighbour. A null or unreadable url has no host and stays whole, as does a host's only page. Rows with a null page_id and repeated rows are pages like others (repeated rows
+are a run). An empty table gives an empty table. Result: page_id, url, neighbour_id, text, n_lines and n_shared of every
 row; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from bisect import bisect_right
@@ -109,6 +111,20 @@ def _packed(key: tuple[str, str, int]) -> str:
     return f"{key[0]}\0{key[1]}\0{key[2] + 2**63:020d}"
 
 
+def _hash(lines: str) -> str:
+    return hashlib.blake2b(lines.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if lines else ""
+
+
+def _outer(pages: list[tuple[str, str]], last: bool) -> list[tuple[str, str]]:
+    """Of (key, hash) the last (or first) and the one nearest to it with another hash."""
+    edge = max if last else min
+    if not pages:
+        return []
+    one = edge(pages)
+    others = [x for x in pages if x[1] != one[1]]
+    return [one, edge(others)] if others else [one]
+
+
 def extract_by_difference(pages: DataFrame, range_pages: int = RANGE_PAGES) -> DataFrame:
     """See the module."""
     own = null_safe_columns(pages, {"page_id": "bigint", "url": "string", "html": "string"})
@@ -126,24 +142,36 @@ def extract_by_difference(pages: DataFrame, range_pages: int = RANGE_PAGES) -> D
         cuts = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
     sent_cuts = own.sparkSession.sparkContext.broadcast(cuts)
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_packed(_key(u, i)), _hash("\n".join(text_lines(h)))) for i, u, h in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            rows = [(bisect_right(sent_cuts.value, key), key, h) for key, h in rows if h]
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.string()))], ["p", "key", "hash"])
+
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, str] = {}
-        most: dict[int, str] = {}
+        held: dict[int, list[tuple[str, str]]] = {}
         for batch in batches:
-            for key in batch.column(0).to_pylist():
-                p = bisect_right(sent_cuts.value, key)
-                if p not in least or key < least[p]:
-                    least[p] = key
-                if p not in most or key > most[p]:
-                    most[p] = key
-        yield pa.record_batch([pa.array(least, pa.int32()), pa.array(least.values(), pa.string()), pa.array([most[p] for p in least], pa.string())], ["p", "least", "most"])
-
-    # three values a range
-    edges = sorted((r["p"], r["least"], r["most"]) for r in urls.mapInArrow(ends, "p int, least string, most string").groupBy("p").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect())
-    also: dict[str, list[int]] = {}
-    for before, after in zip(edges, edges[1:]):
-        also.setdefault(before[2], []).append(after[0])
-        also.setdefault(after[1], []).append(before[0])
+            for p, key, h in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                mine = held.setdefault(p, [])
+                mine.append((key, h))
+                if len(mine) > 64:
+                    held[p] = [*_outer(mine, True), *_outer(mine, False)]
+        rows = [(p, *x) for p, mine in held.items() for x in sorted({*_outer(mine, True), *_outer(mine, False)})]
+        yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.string()))], ["p", "key", "hash"])
+
+    # four values a range
+    kind = "p int, key string, hash string"
+    edges: dict[int, list[tuple[str, str]]] = {}
+    if cuts:
+        for r in own.mapInArrow(hashed, kind).mapInArrow(ends, kind).repartition("p").mapInArrow(ends, kind).collect():
+            edges.setdefault(r["p"], []).append((r["key"], r["hash"]))
+    also: dict[tuple[str, str], list[int]] = {}
+    for last, order in ((True, range(len(cuts) + 1)), (False, range(len(cuts), -1, -1))):
+        carried: list[tuple[str, str]] = []
+        for p in order:
+            for page in carried:
+                also.setdefault(page, []).append(p)
+            carried = _outer([*carried, *edges.get(p, ())], last)
     sent = own.sparkSession.sparkContext.broadcast(also)
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +179,11 @@ def extract_by_difference(pages: DataFrame, range_pages: int = RANGE_PAGES) -> D
             rows = []
             for page_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 key = _packed(_key(url, page_id))
-                row = {"key": key, "page_id": page_id, "url": url, "lines": "\n".join(text_lines(html))}
+                lines = "\n".join(text_lines(html))
+                row = {"key": key, "hash": _hash(lines), "page_id": page_id, "url": url, "lines": lines}
                 rows.append(row | {"p": bisect_right(sent_cuts.value, key), "own": True})
-                rows += [row | {"p": p, "own": False} for p in sent.value.get(key, ())]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("p", pa.int32()), ("key", pa.string()), ("own", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.string())]))
+                rows += [row | {"p": p, "own": False} for p in sent.value.get((key, row["hash"]), ())]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("p", pa.int32()), ("key", pa.string()), ("hash", pa.string()), ("own", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()), ("lines", pa.string())]))
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("neighbour_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int32()), ("n_shared", pa.int32())])
@@ -164,7 +193,7 @@ def extract_by_difference(pages: DataFrame, range_pages: int = RANGE_PAGES) -> D
             host, path = page["key"].split("\0")[:2]
             found = []
             for place, other in enumerate((before, after)):
-                if host and other is not None and other["p"] == page["p"] and other["lines"] != page["lines"]:
+                if host and other is not None and page["lines"] and other["p"] == page["p"]:
                     their_host, their_path = other["key"].split("\0")[:2]
                     if their_host == host:
                         near = nearness(path, their_path)
@@ -176,17 +205,22 @@ def extract_by_difference(pages: DataFrame, range_pages: int = RANGE_PAGES) -> D
                 row |= {"neighbour_id": other["page_id"], "text": "\n".join(x for x, s in zip(lines, shared) if not s), "n_shared": sum(shared)}
             return row
 
-        before = page = None
+        before, run = None, []  # the last page before the run, and the run
         for batch in batches:
             out = []
-            for after in batch.to_pylist():
-                if page is not None and page["own"]:
-                    out.append(one(before, page, after))
-                before, page = page, after
+            for page in batch.to_pylist():
+                if not page["lines"]:
+                    if page["own"]:
+                        out.append(one(None, page, None))
+                    continue
+                host = page["key"].partition("\0")[0]
+                if run and (run[-1]["p"], run[-1]["key"].partition("\0")[0], run[-1]["lines"]) != (page["p"], host, page["lines"]):
+                    out += [one(before, x, page) for x in run if x["own"]]
+                    before, run = run[-1], []
+                run.append(page | {"lines": run[0]["lines"]} if run else page)
             yield pa.RecordBatch.from_pylist(out, schema)
-        if page is not None and page["own"]:
-            yield pa.RecordBatch.from_pylist([one(before, page, None)], schema)
+        yield pa.RecordBatch.from_pylist([one(before, x, None) for x in run if x["own"]], schema)
 
-    laid = own.mapInArrow(lay_out, "p int, key string, own boolean, page_id bigint, url string, lines string")
+    laid = own.mapInArrow(lay_out, "p int, key string, hash string, own boolean, page_id bigint, url string, lines string")
     # a task a range: ranges that met in a task by their hash would make it several times as large
-    return laid.repartitionById(len(cuts) + 1, "p").sortWithinPartitions("p", "key", "lines").mapInArrow(difference, PAGES)
+    return laid.repartitionById(len(cuts) + 1, "p").sortWithinPartitions("p", "key", "hash").mapInArrow(difference, PAGES)

@@ -77,3 +77,30 @@ def test_edges(spark):
 def test_text_lines():
     html = "<p>a &amp; b<br>c</p><script>var x = '<p>no</p>';</script><!-- <p>no</p> --><div><b>d</b>e<p>f"
     assert hd.text_lines(html) == ["a & b", "c", "de", "f"] and hd.text_lines("<script>never closed") == []
+
+
+def test_pages_of_equal_lines_share_their_neighbours(spark):
+    frame = ["menu", "imprint"]
+    page = lambda i, body: (i, f"http://host/p{i:03d}", _page([*frame, *body]))
+    rows = [page(i, ["same"]) for i in range(25)] + [page(25, ["other"]), (26, "http://host/p026", None), page(27, ["third"])]
+    rows += [(50 + i, f"http://twin/{i}", _page(["menu", "copy" if i < 2 else "end"])) for i in range(3)]
+    for size in (4000, 7, 3):
+        got = {r["page_id"]: (r["neighbour_id"], r["text"]) for r in hd.extract_by_difference(_pages(spark, rows), size).collect()}
+        assert all(got[i] == (25, "same") for i in range(25)) and got[25] == (24, "other") and got[27] == (25, "third")
+        assert got[26] == (None, "") and got[50] == got[51] == (52, "copy")
+
+
+def test_runs_equal_brute_force_whatever_the_ranges(spark):
+    rnd, rows = random.Random(4), []
+    for i in range(200):
+        host = rnd.choice(["hot.example"] * 4 + [f"h{k}.example" for k in range(8)])
+        rows.append((i, f"http://{host}/{rnd.choice('ab')}/{rnd.randrange(40)}", rnd.choice([None, "", *[_page([f"{host} menu", f"body {k}"]) for k in (1, 1, 1, 1, 2)]])))
+    keyed = sorted((*hd.url_key(u), i, "\n".join(hd.text_lines(h))) for i, u, h in rows)
+    expected = {}
+    for k, (host, path, i, lines) in enumerate(keyed):
+        differs = lambda o: o[0] == host and o[3] not in ("", lines)  # noqa: B023, E731
+        sides = [next(filter(differs, side), None) for side in (keyed[:k][::-1], keyed[k + 1 :])]
+        found = [(*(-x for x in hd.nearness(path, o[1])), place, o[2]) for place, o in enumerate(sides) if o and lines]
+        expected[i] = min(found)[3] if found else None
+    for size in (4000, 20, 5):
+        assert {r["page_id"]: r["neighbour_id"] for r in hd.extract_by_difference(_pages(spark, rows), size).collect()} == expected
