@@ -3,10 +3,13 @@
 Words (lower case, without punctuation) of every document are streamed through the automaton, which tracks at each
 word the longest passage ending there that some item holds. A passage is removed from the text, from its
 first to its last word, if it has MAX_WORDS words or more, or if it covers at least COVERAGE of an item that holds it
-and has LEAST_WORDS words or more, whether or not it lies within a longer passage that meets no limit. Runs of words that no item holds are passed over in whole arrays.
+and has LEAST_WORDS words or more, whether or not it lies within a longer passage that meets no limit. Of an item shorter than LEAST_WORDS
+all words must be there, and an item of fewer than LEAST_ITEM words, which ordinary language holds everywhere, is passed over. Runs of
+words that no item holds are passed over in whole arrays.
 
 The automaton holds the items, not the corpus, and is broadcast; items of more than SHARD_WORDS words together are
-split into shards, streamed past one after the other, so that what is sent at once is bounded.
+split into shards, streamed past one after the other, so that what is sent at once is bounded. What is removed doesn't depend on
+the shards: a passage counts by each item that holds it.
 
 Null text stays null and empty text empty. A null item or one without words is passed over; repeated items count once.
 Without items, or documents, nothing changes. Rows are neither lost nor added, repeated rows are treated alike, and all
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +35,36 @@ from docloom.llm._text import text_slices, word_spans, words_of
 MAX_WORDS = 13
 COVERAGE = 0.5
 LEAST_WORDS = 6
+LEAST_ITEM = 3
 SHARD_WORDS = 500_000
 
 
 @lru_cache(2)
-def _index(shard: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, SuffixAutomaton, list]:
-    """Sorted hashes of the shard's words, its automaton over their places, and least item length by state."""
+def _index(shard: tuple[tuple[int, ...], ...], coverage: float, least_words: int) -> tuple[np.ndarray, SuffixAutomaton, list, list, int]:
+    """Sorted hashes of the shard's words, and its automaton over their places.
+
+    Of each state, the words that some item which holds its factors wants of a passage, and the words of the longest of its and its suffix links'
+    longest factors that has as many (0 if none has); the least that any item wants.
+    """
     vocabulary = np.unique(np.array([w for item in shard for w in item], np.uint64))
     items = {i: np.searchsorted(vocabulary, np.array(item, np.uint64)).tolist() for i, item in enumerate(shard)}
     automaton = SuffixAutomaton()
     for i, item in items.items():
         automaton.add(item, i)
-    return vocabulary, automaton, automaton.least_over_occurrences({i: len(x) for i, x in items.items()}, items.items())
-
-
-@lru_cache(2)
-def _best(shard: tuple, coverage: float, least_words: int) -> list[int]:
-    """Of each state, the words of the longest of its and its suffix links' longest factors that meets the coverage; 0 if none does."""
-    _, automaton, least_item = _index(shard)
+    wants = {i: max(ceil(coverage * len(x)), min(least_words, len(x))) for i, x in items.items()}
+    want = automaton.least_over_occurrences(wants, items.items())
     best = [0] * len(automaton.link)
     for q in sorted(range(1, len(best)), key=automaton.longest.__getitem__):
-        n = automaton.longest[q]
-        best[q] = n if n >= least_words and n >= coverage * least_item[q] else best[automaton.link[q]]
-    return best
+        best[q] = automaton.longest[q] if automaton.longest[q] >= want[q] else best[automaton.link[q]]
+    return vocabulary, automaton, want, best, min(wants.values())
 
 
 def found_passages(words: np.ndarray, first: np.ndarray, shard: tuple, max_words: int, coverage: float, least_words: int) -> list[tuple[int, int, int]]:
     """(row, first word, word after the last) of each passage beyond a limit that no other such passage with the same end or start holds."""
-    best = _best(shard, coverage, least_words)
-    vocabulary, automaton, least_item = _index(shard)
+    vocabulary, automaton, want, best, least = _index(shard, coverage, least_words)
     place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
     known = vocabulary[place] == words
-    shortest = max(1, min(max_words, least_words))
+    shortest = max(1, min(max_words, least))
     edges = np.zeros(len(words) + 2, bool)
     edges[1:-1] = known
     change = np.diff(edges.astype(np.int8))
@@ -80,7 +82,7 @@ def found_passages(words: np.ndarray, first: np.ndarray, shard: tuple, max_words
         last = 0  # words of the passage that ends at the word before
         for length, state in [*automaton.matches(place[s:e].tolist()), (0, 0)]:
             # the longest passage beyond a limit that ends here: the match itself, or one of the longest factors of its suffix links
-            if length >= max_words or (length >= least_words and length >= coverage * least_item[state]):
+            if length >= max_words or (length and length >= want[state]):
                 n = length
             else:
                 n = best[automaton.link[state]] if length >= shortest else 0
@@ -104,11 +106,11 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> list[tuple]:
+def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS, least_item: int = LEAST_ITEM) -> list[tuple]:
     """The distinct items' word hashes, in shards of about shard_words words."""
     texts = [r[0] for r in benchmark.select(F.col("text").cast("string")).where("text is not null").distinct().toLocalIterator()]
     words, first = words_of(pa.array(sorted(texts), pa.string()))
-    items = sorted({tuple(words[a:b].tolist()) for a, b in zip(first[:-1], first[1:]) if b > a})
+    items = sorted({tuple(words[a:b].tolist()) for a, b in zip(first[:-1].tolist(), first[1:].tolist()) if b - a >= max(1, least_item)})
     shards, now, size = [], [], 0
     for item in items:
         if now and size + len(item) > shard_words:
