@@ -8,7 +8,10 @@ of other lines on its host a page stays whole.
 
 The order is cut into ranges of about RANGE_PAGES pages, whatever the hosts' sizes, from a sample of URLs; every range also gets the
 two pages of different lines before its first and after its last, found in a pass over keys and hashes of lines, so the result doesn't
-depend on the cuts. Texts are shuffled once.
+depend on the cuts. Texts are shuffled once. There are MOST_RANGES ranges at most, larger ones beyond (a range is sorted, with spilling, and read once),
+so that what the driver and the executors hold, a few keys a range, doesn't grow with the corpus.
+
+Visible text is found in one pass over the tags. A head ends at its end tag or, as that is optional, at the first tag or text that a head can't hold.
 
 Null or empty html gives empty text and has no neighbour. A null or unreadable url has no host and stays whole, as does a host's only page. Rows with a null page_id and repeated rows are pages like others (repeated rows
 are a run). An empty table gives an empty table. Result: page_id, url, neighbour_id, text, n_lines and n_shared of every
@@ -30,20 +33,63 @@ from pyspark.sql import functions as F
 from docloom.llm._shared import null_safe_columns
 
 RANGE_PAGES = 4000
+MOST_RANGES = 20_000
 _SAMPLE = 50
 PAGES = "page_id bigint, url string, neighbour_id bigint, text string, n_lines int, n_shared int"
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|button|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>|<!doctype[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
+_BLOCKS = frozenset(
+    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav"
+    " ol option p pre section summary table tbody td tfoot th thead title tr ul !doctype".split()
+)
+_IN_HEAD = frozenset("base basefont bgsound link meta title script style template noscript".split())
+_TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z!?][^\s/>]*)[^>]*>)")
+_END_OF = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in ("script", "style", "template", "noscript", "title")}
 _URL = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)([^?#]*)(\?[^#]*)?")
 
 
+def visible_text(html: str) -> str:
+    """Text outside of tags, comments, scripts, styles, templates and the head; line breaks at blocks. Entities stay."""
+    out: list[str] = []
+    at, in_head = 0, False
+    open_ended: set[str] = set()  # names that no end tag follows any more
+    end = html.rfind(">") + 1  # no tag goes beyond it, so that no search for an end is in vain
+    while (tag := _TAG.search(html, at, end)) is not None:
+        text = html[at : tag.start()]
+        if in_head and text.strip():
+            in_head = False
+        if not in_head:
+            out.append(text)
+        at, name = tag.end(), (tag[2] or "").lower()
+        if not name:  # a comment; one without end hides what follows
+            close = html.find("-->", tag.start() + 2)
+            at = len(html) if close < 0 else close + 3
+            out.append(" ")
+            continue
+        if name == "head":
+            in_head = not tag[1]
+        elif in_head and name not in _IN_HEAD and name[0] not in "!?":
+            in_head = False
+        if not tag[1] and name in _END_OF and (name != "title" or in_head):
+            close = None if name in open_ended else _END_OF[name].search(html, at)
+            if close is None:
+                open_ended.add(name)
+            if close is not None:
+                at = close.start()
+            elif name != "title":  # never closed
+                at = len(html)
+            out.append(" ")
+        elif name in _BLOCKS:
+            out.append("\n")
+    text = html[at:].partition("<!--")[0]
+    if not in_head or text.strip():
+        out.append(text)
+    return "".join(out)
+
+
 def text_lines(html: str | None) -> list[str]:
     """The lines of visible text."""
     if not html:
         return []
-    bare = _TAG.sub("", _BLOCK.sub("\n", _UNSEEN.sub(" ", html)))
-    return [line for line in (" ".join(x.split()) for x in _html.unescape(bare).split("\n")) if line]
+    return [line for line in (" ".join(x.split()) for x in _html.unescape(visible_text(html)).split("\n")) if line]
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -134,10 +180,11 @@ def extract_by_difference(pages: DataFrame, range_pages: int = RANGE_PAGES) -> D
             yield pa.record_batch([pa.array([_packed(_key(u, i)) for i, u in zip(*(batch.column(k).to_pylist() for k in range(2)))], pa.string())], ["key"])
 
     urls = own.select("page_id", "url").mapInArrow(keys, "key string")
-    ranges = max(1, -(-own.count() // range_pages))
+    n_pages = own.count()
+    ranges = max(1, min(MOST_RANGES, -(-n_pages // range_pages)))
     cuts: list[str] = []
-    if ranges > 1:  # a sample of _SAMPLE keys a range; it decides how even the ranges are, and nothing else
-        sample = urls.where(F.pmod(F.xxhash64("key"), F.lit(max(1, range_pages // _SAMPLE))) == 0)
+    if ranges > 1:  # a sample of about _SAMPLE keys a range; it decides how even the ranges are, and nothing else
+        sample = urls.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n_pages // (ranges * _SAMPLE)))) == 0)
         sample = sorted(r[0] for r in sample.toLocalIterator())
         cuts = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
     sent_cuts = own.sparkSession.sparkContext.broadcast(cuts)

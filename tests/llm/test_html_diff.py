@@ -32,17 +32,17 @@ def test_lines_are_a_longest_common_subsequence():
 
 
 def brute(rows):
+    """page, neighbour and text: of the nearest pages of other lines before and after on the host, the one of the nearer path."""
     keyed = sorted((*hd.url_key(u), -(2**63) if i is None else i, "\n".join(hd.text_lines(h)), i) for i, u, h in rows)
     out = []
     for k, (host, path, _, lines, i) in enumerate(keyed):
-        found = []
-        for place, o in enumerate((k - 1, k + 1)):
-            if host and 0 <= o < len(keyed) and keyed[o][0] == host and keyed[o][3] != lines:
-                found.append((*(-x for x in hd.nearness(path, keyed[o][1])), place, keyed[o]))
+        differs = lambda o: host and o[0] == host and o[3] not in ("", lines)  # noqa: B023, E731
+        sides = [next(filter(differs, side), None) for side in (keyed[:k][::-1], keyed[k + 1 :])]
+        found = [(*(-x for x in hd.nearness(path, o[1])), place, o) for place, o in enumerate(sides) if o and lines]
         own = lines.split("\n") if lines else []
         if found:
             other = min(found, key=lambda x: x[:3])[3]
-            shared = hd.common_lines(own, other[3].split("\n") if other[3] else [])
+            shared = hd.common_lines(own, other[3].split("\n"))
             out.append((i, other[4], "\n".join(x for x, s in zip(own, shared) if not s)))
         else:
             out.append((i, None, "\n".join(own)))
@@ -95,12 +95,31 @@ def test_runs_equal_brute_force_whatever_the_ranges(spark):
     for i in range(200):
         host = rnd.choice(["hot.example"] * 4 + [f"h{k}.example" for k in range(8)])
         rows.append((i, f"http://{host}/{rnd.choice('ab')}/{rnd.randrange(40)}", rnd.choice([None, "", *[_page([f"{host} menu", f"body {k}"]) for k in (1, 1, 1, 1, 2)]])))
-    keyed = sorted((*hd.url_key(u), i, "\n".join(hd.text_lines(h))) for i, u, h in rows)
-    expected = {}
-    for k, (host, path, i, lines) in enumerate(keyed):
-        differs = lambda o: o[0] == host and o[3] not in ("", lines)  # noqa: B023, E731
-        sides = [next(filter(differs, side), None) for side in (keyed[:k][::-1], keyed[k + 1 :])]
-        found = [(*(-x for x in hd.nearness(path, o[1])), place, o[2]) for place, o in enumerate(sides) if o and lines]
-        expected[i] = min(found)[3] if found else None
+    expected = brute(rows)
     for size in (4000, 20, 5):
-        assert {r["page_id"]: r["neighbour_id"] for r in hd.extract_by_difference(_pages(spark, rows), size).collect()} == expected
+        assert sorted(((r["page_id"], r["neighbour_id"], r["text"]) for r in hd.extract_by_difference(_pages(spark, rows), size).collect()), key=str) == expected
+
+
+def test_fewer_ranges_than_pages_ask_for(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/{i % 40}", _page([f"menu {i % 3}", f"body {i // 2}"])) for i in range(200)]
+    monkeypatch.setattr(hd, "MOST_RANGES", 4)
+    assert sorted(((r["page_id"], r["neighbour_id"], r["text"]) for r in hd.extract_by_difference(_pages(spark, rows), 5).collect()), key=str) == brute(rows)
+
+
+def test_optional_and_missing_ends():
+    assert hd.text_lines("<html><head><title>t</title><body><p>Hello world</p>") == ["Hello world"]
+    assert hd.text_lines("<head><meta charset=x><title>t</title><link rel=y><p>a<p>b") == ["a", "b"]
+    assert hd.text_lines("<head><title>t</title> bare text <p>b") == ["bare text", "b"]
+    assert hd.text_lines("<head><title>never closed <p>a</p>") == ["never closed", "a"]
+    assert hd.text_lines("<HEAD><STYLE>x</STYLE></HEAD>a<SCRIPT>b</script >c<!-- d") == ["a c"] and hd.text_lines("a < b <c") == ["a < b <c"]
+    assert hd.text_lines("<headline>a</headline><header>b</header>") == ["a", "b"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for piece in ("<script ", "<script>", "<!--", "<a", "</", "<head>", "<title>", "<", "<!", "<script></script ", "<head><title>"):
+        hd.text_lines(piece * (300_000 // len(piece)))
+        hd.text_lines(piece * (300_000 // len(piece)) + ">")
+    assert time.time() - began < 10
