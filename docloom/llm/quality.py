@@ -1,11 +1,13 @@
 """Quality rules with thresholds that follow each language and source.
 
-The measures of a text are computed by whole Arrow batches and summarised, for every (lang, source), in quantile sketches with
-relative-error buckets: how often ceil(ln(1 + 1000 x) / ln gamma) takes each value. Sketches merge by adding counts:
-partial sums are made before the shuffle, a group of fewer than LEAST_GROUP texts goes by the merged sketch of its
-language and, if that is small too, by that of the whole table, and the result is the same in any order. A rule's
-limit is a Tukey fence Q3 + FENCE * (Q3 - Q1 + slack) in place of a fixed cutoff; the slack is the rule's least spread.
-The limits, one row a group, are joined to the documents in the same pass that filters them.
+The measures of a text are computed by whole Arrow batches, once, and written beside the documents. They are summarised, for every (lang,
+source), in quantile sketches with relative-error buckets: how often ceil(ln(1 + 1000 x) / ln gamma) takes each value. Sketches merge
+by adding counts: partial sums are made before the shuffle, and the result is the same in any order. A rule's limits are Tukey fences,
+Q3 + FENCE * (Q3 - Q1 + slack) and, for the rules of LOWER, Q1 - FENCE * (Q3 - Q1 + slack), in place of fixed cutoffs; the slack is the
+rule's least spread, on which alone a fence rests where the quartiles agree (most texts have no symbols, say; a higher quantile
+would lie among the rejects of a corpus that holds a tenth of them). A group's fence is blended with its language's, and that with the table's,
+by the number of texts: n / (n + PRIOR) of the own one, so that a few texts can't set a limit, at every size alike.
+The limits, one row a group, are joined to the measured documents.
 
 A text that is null or has no words is rejected. A null lang or source is a group of its own. Repeated rows are kept
 or rejected alike. An empty table gives an empty table. All columns are kept as they are, whatever their names.
@@ -13,8 +15,10 @@ or rejected alike. An empty table gives an empty table. All columns are kept as
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_
 
 import numpy as np
@@ -24,17 +28,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docloom.llm._shared import null_safe_columns, written
+from docloom.llm._shared import written
 from docloom.llm._text import raw_bytes, text_slices, word_hashes, word_spans
 
 GAMMA = 1.02
 FENCE = 3.0
-LEAST_GROUP = 200
+PRIOR = 200
 #: measure: least spread, in its own unit
 RULES = {"symbol_share": 0.01, "upper_share": 0.1, "mean_word": 0.6, "repeated_lines": 0.12, "repeated_words": 0.04}
+LOWER = ("mean_word",)
 _NOT_SYMBOLS = r"[^#$%&*|~^<>{}=+!@]+"
-_NOT_UPPER = r"[^A-ZÀ-ÖØ-Þ]+"
-_NOT_LETTERS = r"[^A-Za-zÀ-ÖØ-öø-ÿ]+"
+_NOT_UPPER = r"[^\p{Lu}]+"
+_NOT_LETTERS = r"[^\p{L}]+"
 _BLANK = r"[ \t\n\r]+"
 
 
@@ -51,6 +56,22 @@ _INNER = np.zeros(256, np.uint8)
 _INNER[0x80:0xC0] = 1  # bytes of a character after its first
 
 
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Of each code point: 2 for a capital, 1 for another letter."""
+    kinds = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+    return np.array([(k[0] == "L") + (k == "Lu") for k in kinds], np.uint8)
+
+
+def _cased(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At the first byte of each character, whether it is a capital and whether it is a letter."""
+    if not (data & 0x80).any():
+        return _CAPITAL[data] != 0, _LETTER[data] != 0
+    kind = np.zeros(len(data), np.uint8)
+    kind[first] = _letters()[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    return kind == 2, kind > 0
+
+
 def measures(text: pa.Array) -> dict[str, np.ndarray]:
     """The measures of RULES, 0 where they have nothing to measure; mean_word is nan without words or text."""
     data, offsets = raw_bytes(text.cast(pa.large_string()))
@@ -62,10 +83,7 @@ def measures(text: pa.Array) -> dict[str, np.ndarray]:
         return np.where(whole > 0, part / np.maximum(whole, 1), 0.0)
 
     first = _INNER[data] == 0
-    after = np.zeros(len(data), np.uint8)  # of a character that begins with C3, its second byte
-    after[:-1] = np.where(data[:-1] == 0xC3, data[1:], 0) if len(data) else 0
-    capital = (_CAPITAL[data] != 0) | ((after >= 0x80) & (after <= 0x9E) & (after != 0x97))
-    letter = (_LETTER[data] != 0) | ((after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7))
+    capital, letter = _cased(data, first)
     starts, ends, at = word_spans(data, offsets, _VISIBLE)
     n = np.diff(at)
     hashes = word_hashes(data, starts, ends)
@@ -114,10 +132,10 @@ def middle(b: Column) -> Column:
     return F.when(b <= 0, F.lit(0.0)).otherwise((2 * F.pow(F.lit(GAMMA), b) / (1 + GAMMA) - 1) / 1000)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """lang, source, rule, bucket, n: the sketches of all groups."""
-    own = with_measures(null_safe_columns(docs, {"lang": "string", "source": "string", "text": "string"}).where("text is not null"))
-    values = own.where("__dl_mean_word is not null").select("lang", "source", F.posexplode(F.array(*[f"__dl_{r}" for r in RULES])).alias("rule", "x"))
+def sketches(measured: DataFrame) -> DataFrame:
+    """lang, source, rule, bucket, n: the sketches of all groups of with_measures()'s rows."""
+    lang, source = (F.col(c).cast("string").alias(c) if c in measured.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source"))
+    values = measured.where("__dl_mean_word is not null").select(lang, source, F.posexplode(F.array(*[f"__dl_{r}" for r in RULES])).alias("rule", "x"))
     return values.groupBy("lang", "source", "rule", bucket(F.col("x")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -130,26 +148,27 @@ def quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
     return upto.groupBy(*keys, "rule").agg(middle(at(0.25)).alias("q1"), middle(at(0.75)).alias("q3"), F.max("whole").alias("whole"))
 
 
-def limits(docs: DataFrame) -> DataFrame:
-    """lang, source, rule (its place in RULES) and upper limit, of every group."""
-    own = written(sketches(docs), "quality-sketches")
-    slack = F.element_at(F.array(*[F.lit(float(s)) for s in RULES.values()]), F.col("rule") + 1)
-    fence = lambda df: df.withColumn("limit", F.col("q3") + FENCE * (F.col("q3") - F.col("q1") + slack)).select(*[c for c in df.columns if c in ("lang", "source", "rule", "whole")], "limit")
-    group, lang, table = (fence(quartiles(own, keys)) for keys in (["lang", "source"], ["lang"], []))
-    lang = lang.select(F.col("lang").alias("l"), F.col("rule").alias("r"), F.col("limit").alias("by_lang"), F.col("whole").alias("n_lang"))
-    table = table.select(F.col("rule").alias("t"), F.col("limit").alias("by_table"))
+def limits(measured: DataFrame) -> DataFrame:
+    """lang, source, rule (its place in RULES), lower and upper limit, of every group."""
+    own = written(sketches(measured), "quality-sketches")
+    reach = FENCE * (F.col("q3") - F.col("q1") + F.element_at(F.array(*[F.lit(float(s)) for s in RULES.values()]), F.col("rule") + 1))
+    fences = lambda keys: quartiles(own, keys).withColumns({"least": F.col("q1") - reach, "most": F.col("q3") + reach}).drop("q1", "q3")
+    group, lang, table = (fences(keys) for keys in (["lang", "source"], ["lang"], []))
+    lang = lang.select(F.col("lang").alias("l"), F.col("rule").alias("r"), *[F.col(c).alias(f"{c}_lang") for c in ("least", "most", "whole")])
+    table = table.select(F.col("rule").alias("t"), *[F.col(c).alias(f"{c}_table") for c in ("least", "most")])
     both = group.join(lang, group["lang"].eqNullSafe(lang["l"]) & (group["rule"] == lang["r"])).join(table, F.col("rule") == F.col("t"))
-    best = F.when(F.col("whole") >= LEAST_GROUP, F.col("limit")).when(F.col("n_lang") >= LEAST_GROUP, F.col("by_lang")).otherwise(F.col("by_table"))
-    return both.select("lang", "source", "rule", best.alias("limit"))
+    blend = lambda n, x, y: (n * x + PRIOR * y) / (n + PRIOR)
+    out = [blend(F.col("whole"), F.col(c), blend(F.col("whole_lang"), F.col(f"{c}_lang"), F.col(f"{c}_table"))).alias(c) for c in ("least", "most")]
+    return both.select("lang", "source", "rule", *out)
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that break no rule; see the module."""
-    rows = limits(docs).groupBy("lang", "source").pivot("rule", list(range(len(RULES)))).agg(F.first("limit"))
-    rows = rows.select(F.col("lang").alias("__dl_lang"), F.col("source").alias("__dl_source"), *[F.col(str(i)).alias(f"__dl_most_{r}") for i, r in enumerate(RULES)])
-    rows = written(rows, "quality-limits")
-    measured = with_measures(docs)
-    within = reduce(and_, [F.col(f"__dl_{r}") <= F.col(f"__dl_most_{r}") for r in RULES])
+    measured = written(with_measures(docs), "quality-measures")
+    rows = limits(measured).groupBy("lang", "source").pivot("rule", list(range(len(RULES)))).agg(F.first("least").alias("least"), F.first("most").alias("most"))
+    bounds = [F.col(f"{i}_{c}").alias(f"__dl_{c}_{r}") for i, r in enumerate(RULES) for c in ("least", "most")]
+    rows = written(rows.select(F.col("lang").alias("__dl_lang"), F.col("source").alias("__dl_source"), *bounds), "quality-limits")
+    within = reduce(and_, [F.col(f"__dl_{r}") <= F.col(f"__dl_most_{r}") for r in RULES] + [F.col(f"__dl_{r}") >= F.col(f"__dl_least_{r}") for r in LOWER])
     for name in ("lang", "source"):
         own = F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
         within = within & own.eqNullSafe(F.col(f"__dl_{name}"))
@@ -176,12 +195,14 @@ def oracle(columns: str = "*") -> str:
         k = "".join(f"{x}, " for x in keys)
         value = lambda q: f"min(case when upto >= ceil(whole * {q}) then bucket end)"
         middle_of = lambda b: f"case when {b} <= 0 then 0 else (2 * pow({GAMMA}, {b}) / {1 + GAMMA} - 1) / 1000 end"
-        return f"""(select {k} rule, whole, q3 + {FENCE} * (q3 - q1 + slack) lim from (select {k} rule, slack, max(whole) whole, {middle_of(value(0.25))} q1, {middle_of(value(0.75))} q3 from
+        return f"""(select {k} rule, whole, q1 - {FENCE} * (q3 - q1 + slack) least_, q3 + {FENCE} * (q3 - q1 + slack) most_ from (select {k} rule, slack, max(whole) whole, {middle_of(value(0.25))} q1, {middle_of(value(0.75))} q3 from
             (select *, sum(n) over (partition by {k} rule order by bucket) upto, sum(n) over (partition by {k} rule) whole from
             (select {k} rule, slack, bucket, count(*) n from values_ group by all)) group by {k} rule, slack))"""
 
-    rules = " and ".join(f"{r} <= (select lim from limits_ x where x.rule = {i} and x.lang is not distinct from m.lang and x.source is not distinct from m.source)" for i, r in enumerate(RULES))
+    mixed = lambda c: f"(g.whole * g.{c} + {PRIOR} * ((l.whole * l.{c} + {PRIOR} * t.{c}) / (l.whole + {PRIOR}))) / (g.whole + {PRIOR}) {c}"
+    limit = lambda i, c: f"(select {c} from limits_ x where x.rule = {i} and x.lang is not distinct from m.lang and x.source is not distinct from m.source)"
+    rules = " and ".join([f"{r} <= {limit(i, 'most_')}" for i, r in enumerate(RULES)] + [f"{r} >= {limit(i, 'least_')}" for i, r in enumerate(RULES) if r in LOWER])
     return f"""with measured as materialized ({_duck_measures()}), values_ as materialized ({each}),
-        limits_ as materialized (select g.lang, g.source, g.rule, case when g.whole >= {LEAST_GROUP} then g.lim when l.whole >= {LEAST_GROUP} then l.lim else t.lim end lim
+        limits_ as materialized (select g.lang, g.source, g.rule, {mixed("least_")}, {mixed("most_")}
             from {level(["lang", "source"])} g join {level(["lang"])} l on g.lang is not distinct from l.lang and g.rule = l.rule join {level([])} t on g.rule = t.rule)
         select {columns} from measured m where mean_word is not null and {rules}"""
