@@ -31,6 +31,11 @@ from docloom.llm._text import text_slices, words_of
 EXAMPLES = 2000
 NEIGHBOURS = 15
 BLOCK = 32
+#: Matrix cells of the commonest terms, for each posting of the index.
+DENSE_CELLS = 1
+#: About as many texts, and postings of theirs, meet the index at once.
+QUERIES = 64
+POSTINGS = 1_000_000
 FOLDS = 5
 LEAST_ASSOCIATION = 0.01
 FIRST_BLOCKS = 8
@@ -65,7 +70,11 @@ def association(with_term: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples (ids, labels) in blocks, as postings by term and block."""
+    """Unit TF-IDF vectors of examples (ids, labels) in blocks.
+
+    Lists of the commonest terms lie block by block, with their greatest weight in every block, as whole matrices that take no more than
+    DENSE_CELLS cells for each posting of the index; those of the other terms lie as postings by term.
+    """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, idf: np.ndarray, vectors: np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray], block: int = BLOCK) -> None:
         """vectors: terms x examples, whole or as (term, example, weight) of what isn't 0; examples without a term are left out."""
@@ -79,48 +88,86 @@ class BlockMaxIndex:
         some = np.unique(example)
         order = some[np.lexsort([ids[some], top[some]])]  # alike ones in one block
         self.ids, self.labels, self.terms, self.idf, self.block = ids[order], labels[order], terms, idf, block
+        self.place_of = {int(x): i for i, x in enumerate(self.ids)}
         place = np.zeros(len(ids), np.int64)
         place[order] = np.arange(len(order))
         place = place[example]
-        by_term = np.lexsort([place, term])
-        term, self.places, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
-        self.n_blocks = -(-len(order) // block)
-        group = term * max(1, self.n_blocks) + self.places // block
-        self.posting = np.flatnonzero(np.diff(group, prepend=-1))  # first of each term and block
-        self.peak = np.maximum.reduceat(self.weight, self.posting) if len(group) else np.zeros(0)
-        self.in_block = (self.places[self.posting] // block).astype(np.int32)
-        self.first = np.searchsorted(term[self.posting], np.arange(len(terms) + 1))
-        self.posting = np.append(self.posting, len(group))
-
-    def weights(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        self.n_blocks = max(1, -(-len(order) // block))
+        width = self.n_blocks * block
+        frequency = np.bincount(term, minlength=len(terms))
+        common = np.argsort(-frequency, kind="stable")[: DENSE_CELLS * len(term) // width]
+        self.row = np.full(len(terms), -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] >= 0
+        whole = np.zeros((self.n_blocks, len(common), block))
+        whole[place[dense] // block, self.row[term[dense]], place[dense] % block] = weight[dense]
+        self.blocks, self.peaks = whole, np.ascontiguousarray(whole.max(2).T)
+        by_term = np.flatnonzero(~dense)
+        by_term = by_term[np.lexsort([place[by_term], term[by_term]])]
+        self.places, self.weight = place[by_term], weight[by_term]
+        self.first = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+
+    def weights(self, query: np.ndarray, at: np.ndarray, counts: np.ndarray, n_queries: int) -> np.ndarray:
+        """Unit TF-IDF weights of each query's terms."""
         w = (1 + np.log(counts)) * self.idf[at]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a term in common, exactly; but: a doc_id to pass over."""
-        n = self.first[at + 1] - self.first[at]
-        runs, w = _ranges(self.first[at], n), np.repeat(w, n)
-        in_block = self.in_block[runs]
-        bounds = np.bincount(in_block, w * self.peak[runs], self.n_blocks)
-        left = bounds > 0
-        places, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for first in (True, False):  # the blocks of highest bound, then all that can still matter at once
-            now = np.zeros(self.n_blocks, bool)
-            now[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS] if first else bounds + 1e-9 >= worst] = True
-            now, left = now & left, left & ~now
-            mine = np.flatnonzero(now[in_block])
-            a, b = self.posting[runs[mine]], self.posting[runs[mine] + 1]
-            hits = _ranges(a, b - a)
-            near = np.round(np.bincount(self.places[hits], np.repeat(w[mine], b - a) * self.weight[hits], len(self.ids)), 9)
-            keep = near > worst - 1e-12 if worst else near > 0
-            if but is not None:
-                keep &= self.ids != but
-            keep = np.flatnonzero(keep)
-            places, cosines = np.concatenate([places, keep]), np.concatenate([cosines, near[keep]])
-            best = np.lexsort([self.ids[places], -cosines])[:k]
-            places, cosines = places[best], cosines[best]
-            worst = cosines[-1] if len(cosines) == k else 0.0
-        return places, cosines
+        return w / np.sqrt(np.bincount(query, w * w, n_queries))[query]
+
+    def nearest(self, query: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, but: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (places 0, 1, ... of but) the places and cosines of the k nearest examples with a term in common, exactly.
+
+        but: for each query a doc_id to pass over, or None.
+        """
+        postings = np.bincount(query, self.first[at + 1] - self.first[at], len(but))
+        group = np.cumsum(np.maximum(postings / POSTINGS, 1 / QUERIES)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(but)]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in zip(cuts, cuts[1:]):
+            a, b = np.searchsorted(query, [i, j])
+            out += self._nearest(query[a:b] - i, at[a:b], w[a:b], k, but[i:j]) if j > i else []
+        return out
+
+    def _nearest(self, query: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, but: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, n_blocks, block = len(but), self.n_blocks, self.block
+        width = n_blocks * block
+        row = self.row[at]
+        rare = np.flatnonzero(row < 0)
+        sizes = self.first[at[rare] + 1] - self.first[at[rare]]
+        hits = _ranges(self.first[at[rare]], sizes)
+        near = np.bincount(np.repeat(query[rare] * width, sizes) + self.places[hits], np.repeat(w[rare], sizes) * self.weight[hits], n * width).reshape(n, n_blocks, block)
+        common = np.flatnonzero(row >= 0)
+        by_row = np.zeros((n, len(self.peaks)))
+        by_row[query[common], row[common]] = w[common]
+        bounds = by_row @ self.peaks + near.max(2)  # no cosine of the block is greater
+        left, seen = bounds > 0, np.zeros((n, n_blocks), bool)
+        without = [(i, self.place_of[x]) for i, x in enumerate(but) if x in self.place_of]
+        out_row, out_place = (np.array([x[j] for x in without], np.int64) for j in range(2))
+
+        def visit(now: np.ndarray) -> None:
+            for b in np.flatnonzero(now.any(0)).tolist():
+                who = np.flatnonzero(now[:, b])
+                near[who, b] += by_row[who] @ self.blocks[b]
+            near.reshape(n, width)[out_row, out_place] = 0
+
+        # the blocks of highest bound, then all that can still matter
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        now = np.zeros_like(seen)
+        np.put_along_axis(now, first, True, 1)
+        now &= left
+        visit(now)
+        seen |= now
+        cosines = np.take_along_axis(np.where(now[:, :, None], near, 0), first[:, :, None], 1).reshape(n, -1)
+        worst = np.partition(cosines, -k, axis=1)[:, -k] if cosines.shape[1] >= k else np.zeros(n)
+        now = left & ~seen & (bounds + 2e-9 >= worst[:, None])
+        visit(now)
+        seen |= now
+        near = np.round(np.where(seen[:, :, None], near, 0), 9).reshape(n, width)
+        worst = np.partition(near, -k, axis=1)[:, -k] if width >= k else np.zeros(n)
+        out = []
+        for i in range(n):
+            found = np.flatnonzero((near[i] >= worst[i]) & (near[i] > 0))
+            found = found[np.lexsort([self.ids[found], -near[i, found]])[:k]]
+            out.append((found, near[i, found]))
+        return out
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +189,9 @@ class ToxicityModel:
         """shares: of the two classes among all labelled rows."""
         self.neighbours = neighbours
         y, ids_ = np.array(labels, np.int64), np.array(ids, np.int64)
-        words, first = words_of(pa.array(texts, pa.string()))
+        parts = [words_of(part.column(0)) for part in text_slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]))]
+        words = np.concatenate([np.zeros(0, np.uint64), *[w for w, _ in parts]])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[np.diff(f) for _, f in parts]]))])
         terms, at = np.unique(words, return_inverse=True)
         row = np.repeat(np.arange(len(texts)), np.diff(first))
         pair, n = np.unique(row * max(1, len(terms)) + at, return_counts=True)
@@ -169,23 +218,27 @@ class ToxicityModel:
             fold[y == c] = np.arange((y == c).sum()) % FOLDS
         for f in range(FOLDS):
             blind = index(fold != f)
-            for i in np.flatnonzero((fold == f) & ~bare).tolist():
-                own = slice(cuts[i], cuts[i + 1])
-                votes[i] = self.vote(*blind.nearest(at[own], blind.weights(at[own], n[own]), neighbours, ids[i]), blind)
+            mine = np.flatnonzero((fold == f) & ~bare)
+            sizes = cuts[mine + 1] - cuts[mine]
+            own, query = _ranges(cuts[mine], sizes), np.repeat(np.arange(len(mine)), sizes)
+            found = blind.nearest(query, at[own], blind.weights(query, at[own], n[own], len(mine)), neighbours, ids_[mine].tolist())
+            votes[mine] = [self.vote(*x, blind) for x in found]
         known = ~np.isnan(votes)
         self.knots, self.values = _isotonic(votes[known], y[known].astype(float), weight[known]) if known.any() else (np.zeros(0), np.zeros(0))
 
     def vote(self, places: np.ndarray, cosines: np.ndarray, index: BlockMaxIndex | None = None) -> float:
         return float((cosines * (index or self.index).labels[places]).sum() / cosines.sum()) if len(places) else float("nan")
 
-    def score(self, doc_id: int | None, at: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
-        if not len(at):
-            return self.bare, []
-        places, cosines = self.index.nearest(at, self.index.weights(at, counts), self.neighbours, doc_id)
-        if not len(places):
-            return self.bare, []
-        score = float(np.interp(self.vote(places, cosines), self.knots, self.values)) if len(self.knots) else self.bare
-        return score, [{"doc_id": int(self.index.ids[p]), "similarity": float(c), "toxic": bool(self.index.labels[p])} for p, c in zip(places, cosines)]
+    def scores(self, ids: list, texts: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Probability, and places and cosines of the evidence, of each text."""
+        rows, at, counts = _counts(*words_of(texts), self.index.terms)
+        found = self.index.nearest(rows, at, self.index.weights(rows, at, counts, len(ids)), self.neighbours, ids)
+        votes = np.array([self.vote(*x) for x in found])
+        known = ~np.isnan(votes)
+        scores = np.full(len(ids), self.bare)
+        if len(self.knots):
+            scores[known] = np.interp(votes[known], self.knots, self.values)
+        return scores, found
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, seed: int = 41) -> ToxicityModel | None:
@@ -206,21 +259,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
     """See the module."""
     model = model or fit(docs, labels, **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    evidence_kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.bool_())]))
+
+    def evidence_of(found: list[tuple[np.ndarray, np.ndarray]], valid: np.ndarray) -> pa.Array:
+        """A list for each text, null where there is none."""
+        some = [x if v else x[:0] for (x, _), v in zip(found, valid)]
+        places = np.concatenate([np.zeros(0, np.int64), *some])
+        cosines = np.concatenate([np.zeros(0), *[c if v else c[:0] for (_, c), v in zip(found, valid)]])
+        index = sent.value.index if sent.value is not None else None
+        ids, labels = (index.ids[places], index.labels[places] == 1) if index is not None else (places, places == 1)
+        rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(cosines), pa.array(labels)], ["doc_id", "similarity", "toxic"])
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in some], dtype=np.int64)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~valid, False)), rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             for part in text_slices(batch):
                 n = part.num_rows
-                valid = np.asarray(part.column(1).is_valid()) if model is not None else np.zeros(n, bool)
-                scores, evidence = np.full(n, 0.0 if model is None else model.bare), [[] if v else None for v in valid]
-                if model is not None:
-                    ids = part.column(0).to_pylist()
-                    rows, at, counts = _counts(*words_of(part.column(1)), model.index.terms)
-                    cuts = np.searchsorted(rows, np.arange(n + 1))
-                    for i in np.flatnonzero(np.diff(cuts)).tolist():
-                        scores[i], evidence[i] = model.score(ids[i], at[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]])
-                yield pa.record_batch([part.column(0), pa.array(scores, mask=~valid), pa.array(scores >= 0.5, mask=~valid), pa.array(evidence, evidence_kind)], ["doc_id", "toxicity", "toxic", "evidence"])
+                if model is None:
+                    valid, scores, found = np.zeros(n, bool), np.zeros(n), [(np.zeros(0, np.int64), np.zeros(0))] * n
+                else:
+                    valid = np.asarray(part.column(1).is_valid())
+                    scores, found = model.scores(part.column(0).to_pylist(), part.column(1))
+                yield pa.record_batch([part.column(0), pa.array(scores, mask=~valid), pa.array(scores >= 0.5, mask=~valid), evidence_of(found, valid)], ["doc_id", "toxicity", "toxic", "evidence"])
 
     return null_safe_columns(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(score, SCORES)

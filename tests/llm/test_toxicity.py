@@ -3,6 +3,7 @@ from collections import Counter
 from math import log, sqrt
 
 import numpy as np
+import pytest
 
 from docloom.llm import toxicity as tx
 from tests.llm.helpers import CLASHING, docs, prose
@@ -37,34 +38,72 @@ def test_neighbours_equal_a_full_scan():
         w = rng.random(len(at))
         w /= np.sqrt((w * w).sum())
         but = int(rng.integers(0, 500))
-        places, cosines = index.nearest(at, w, 10, but)
+        (places, cosines), = index.nearest(np.zeros(len(at), np.int64), at, w, 10, [but])
         full = np.round(w @ vectors[at], 9)
         expected = sorted(((-c, i) for c, i in zip(full, ids) if c > 0 and i != but))[:10]
         assert [(-c, i) for c, i in zip(cosines, index.ids[places])] == expected
 
 
+def brute(rows, labels, queries, k, shares):
+    """Evidence and probability of each query (doc_id, text), by full scans in plain Python."""
+    bags = {i: Counter(t.split()) for i, t in rows}
+    y = {i: t for i, _, t in labels}
+    df = Counter(w for bag in bags.values() for w in bag)
+
+    def scan(known):
+        """A function from a bag and a doc_id to pass over to the nearest examples, weighted by the labels of the known."""
+        size = [sum(y[i] == c for i in known) for c in (0, 1)]
+        have = [Counter(w for i in known if y[i] == c for w in bags[i]) for c in (0, 1)]
+        weight = {}
+        for w in df:
+            seen = [have[c][w] + 0.5 for c in (0, 1)]
+            other = [size[c] - have[c][w] + 0.5 for c in (0, 1)]
+            ratio = log(seen[1] / other[1]) - log(seen[0] / other[0])
+            variance = sum(1 / s + 1 / o for s, o in zip(seen, other))
+            weight[w] = (log((1 + len(rows)) / (1 + df[w])) + 1) * (tx.LEAST_ASSOCIATION + abs(ratio) ** 3 / (ratio**2 + variance))
+
+        def unit(bag):
+            v = {w: (1 + log(n)) * weight[w] for w, n in bag.items() if w in weight}
+            norm = sqrt(sum(x * x for x in v.values()))
+            return {w: x / norm for w, x in v.items()}
+
+        vectors = {i: unit(bag) for i, bag in bags.items()}
+
+        def nearest(bag, but):
+            own = unit(bag)
+            found = ((-round(sum(x * v.get(w, 0) for w, x in own.items()), 9), i) for i, v in vectors.items() if i != but)
+            return sorted(x for x in found if x[0] < 0)[:k]
+
+        return nearest
+
+    vote = lambda near: sum(-c * y[i] for c, i in near) / sum(-c for c, _ in near)
+    ids, fold = sorted(bags), {}
+    for c in (0, 1):
+        for n, i in enumerate(i for i in ids if y[i] == c):
+            fold[i] = n % tx.FOLDS
+    points = []
+    for f in range(tx.FOLDS):
+        blind = scan([i for i in ids if fold[i] != f])
+        points += [(vote(blind(bags[i], i)), y[i], shares[y[i]] / sum(y[j] == y[i] for j in ids)) for i in ids if fold[i] == f]
+    knots = sorted({v for v, *_ in points})
+    # the rising function nearest to the labels: at each knot the greatest, over what begins at or before it, of the least means
+    mean = lambda a, b: sum(w * t for v, t, w in points if a <= v <= b) / sum(w for v, _, w in points if a <= v <= b)
+    values = [max(min(mean(a, b) for b in knots[n:]) for a in knots[: n + 1]) for n in range(len(knots))]
+    whole = scan(ids)
+    for i, t in queries:
+        near = whole(Counter(t.split()), i)
+        yield i, near, float(np.interp(vote(near), knots, values)) if near else None
+
+
 def test_scores_equal_brute_force_votes(spark):
-    rows, labels = _rows(200)
+    rows, labels = _rows(70)
+    assert 5 <= sum(t for *_, t in labels) <= 35
     model = tx.ToxicityModel([i for i, _ in rows], [t for _, t in rows], [y for *_, y in labels], (0.8, 0.2), 5)
-    terms = [w for w in BAD]
-    df = {w: sum(w in t.split() for _, t in rows) for w in terms}
-    known = set(model.index.terms.tolist())
-    assert len(known) >= 5
-
-    def vector(text):
-        n = Counter(w for w in text.split() if w in df)
-        v = {w: (1 + log(k)) * (log((1 + len(rows)) / (1 + df[w])) + 1) for w, k in n.items()}
-        size = sqrt(sum(x * x for x in v.values()))
-        return {w: x / size for w, x in v.items()} if size else {}
-
-    if len(known) > 5:
-        return  # other words passed the test of association by chance
-    vectors = {i: vector(t) for i, t in rows}
-    got = {r["doc_id"]: r for r in tx.score_toxicity(docs(spark, rows), _labels(spark, labels), model=model).collect()}
-    for i, t in rows:
-        near = sorted(((-round(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), 9), j) for j, _ in rows if j != i))
-        near = [(-c, j) for c, j in near if c < 0][:5]
-        assert [(round(e["similarity"], 6), e["doc_id"]) for e in got[i]["evidence"]] == [(round(c, 6), j) for c, j in near]
+    queries = rows + [(100 + i, t) for i, t in _rows(40, 3)[0]] + [(300, "nothing known here"), (301, "idiot")]
+    got = {r["doc_id"]: r for r in tx.score_toxicity(docs(spark, queries), _labels(spark, labels), model=model).collect()}
+    for i, near, score in brute(rows, labels, queries, 5, (0.8, 0.2)):
+        assert [(round(e["similarity"], 7), e["doc_id"]) for e in got[i]["evidence"]] == [(round(-c, 7), j) for c, j in near]
+        assert got[i]["toxicity"] == (model.bare if score is None else pytest.approx(score, abs=1e-6)) and got[i]["toxic"] == (got[i]["toxicity"] >= 0.5)
 
 
 def test_held_out_accuracy(spark):
