@@ -2,7 +2,9 @@
 
 Documents are counted by exact token length within each source. A source's budget is first filled in proportion
 over its lengths; a bounded-knapsack dynamic programme over the counts left then makes up the rest, so that no
-selection comes nearer to the budget from below. Of each length, the documents of smallest seeded hash are taken.
+selection comes nearer to the budget from below (lengths are first divided by their common divisor; where the budget can't be met, what the
+programme holds is bounded by the lengths, not by the budget). Of each length, the documents of smallest seeded hash are taken: hashes are counted
+by bucket, and only the documents of the bucket at the limit are ranked, so that a common length is no task of its own.
 
 Weights default to a temperature over what the sources hold: tokens ** temperature. A source that cannot fill its share gives all it
 has, and the others share what it leaves, by weight. Without a budget, the total of the default weights is the largest at which such
@@ -34,7 +36,9 @@ SHORTFALL = 0.0005
 LEAST_KEPT = 0.6
 SEED = 17
 _NO_SOURCE = "\0none"
-_LAST_STEP = 4096
+_FIRST_STEP = 4096
+#: Of the hash's bits, those that number its bucket.
+_BUCKET_BITS = 16
 
 
 def token_lengths(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -82,33 +86,51 @@ def _knapsack(lengths: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
+def _greedy(lengths: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
+    """As many as fit of each length, the longest first; room is less than what all hold, so one length at most is left in part."""
+    out = np.zeros(len(lengths), np.int64)
+    for i in np.argsort(-lengths, kind="stable"):
+        out[i] = min(int(counts[i]), room // int(lengths[i]))
+        room -= int(out[i]) * int(lengths[i])
+        if out[i] < counts[i]:
+            break
+    return out
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Documents to take of each length; their tokens are as near to budget from below as any choice gets."""
+    """Documents to take of each length; their tokens are as near to budget from below as any choice gets.
+
+    Some best choice lies within 2 * longest + 1 documents of the greedy one, a vertex of the relaxed problem (Eisenbrand and Weismantel,
+    2018: proximity under one constraint), so the last programme covers that neighbourhood and no more.
+    """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int(lengths @ counts)
     if total <= budget:
         return counts.copy()
-    step = _LAST_STEP
-    while True:
+    divisor = int(np.gcd.reduce(lengths))
+    lengths, budget, total = lengths // divisor, budget // divisor, total // divisor
+    near = 2 * int(lengths.max()) + 2
+    least = np.maximum(_greedy(lengths, counts, budget) - near, 0)
+    last = budget - int(lengths @ least)
+    step = _FIRST_STEP
+    while step < last:
         share = counts * (budget / total)
         take = np.floor(share).astype(np.int64)
         while lengths @ take > budget:  # rounding of very large shares
             i = int(np.argmax(take * lengths))
             take[i] -= 1
         room = budget - int(lengths @ take)
-        if step >= budget:
-            take[:], room = 0, budget
-        else:
-            for order, most in ((np.lexsort([-lengths, take - share]), 1), (np.argsort(-lengths, kind="stable"), None)):
-                for i in order:
-                    k = min(int(counts[i] - take[i]), max(0, room - step) // int(lengths[i]))
-                    k = k if most is None else min(k, most)
-                    take[i] += k
-                    room -= k * int(lengths[i])
+        for order, most in ((np.lexsort([-lengths, take - share]), 1), (np.argsort(-lengths, kind="stable"), None)):
+            for i in order:
+                k = min(int(counts[i] - take[i]), max(0, room - step) // int(lengths[i]))
+                k = k if most is None else min(k, most)
+                take[i] += k
+                room -= k * int(lengths[i])
         take += _knapsack(lengths, counts - take, room)
-        if int(lengths @ take) == budget or step >= budget:
+        if int(lengths @ take) == budget:
             return take
         step *= 8
+    return least + _knapsack(lengths, np.minimum(counts - least, 2 * near), last)
 
 
 def _total(held: Mapping[str, int], share: Mapping[str, float]) -> float:
@@ -159,11 +181,21 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, bud
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n_tokens")
-        return rows.assign(take=fit_counts(rows["n_tokens"].to_numpy(), rows["count"].to_numpy(), aim[rows["source"].iloc[0]]))[["source", "n_tokens", "take"]]
-
-    plan = written(counted.groupBy("source").applyInPandas(fit, "source string, n_tokens bigint, take bigint").where("take > 0"), "mix-plan")
-    order = W.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    chosen = lengths.join(plan, ["source", "n_tokens"]).withColumn("place", F.row_number().over(order)).where("place <= take")
+        take = fit_counts(rows["n_tokens"].to_numpy(), rows["count"].to_numpy(), aim[rows["source"].iloc[0]])
+        return rows.assign(take=take, held=rows["count"])[["source", "n_tokens", "take", "held"]]
+
+    plan = written(counted.groupBy("source").applyInPandas(fit, "source string, n_tokens bigint, take bigint, held bigint").where("take > 0"), "mix-plan")
+    hashed = lengths.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftright("hash", 64 - _BUCKET_BITS))
+    planned = hashed.hint("merge").join(plan, ["source", "n_tokens"])  # a merge join at every size: one plan
+    group = ["source", "n_tokens"]
+    upto = F.sum("n").over(W.partitionBy(*group).orderBy("bucket"))
+    buckets = planned.where("take < held").groupBy(*group, "bucket").agg(F.count("*").alias("n"), F.first("take").alias("take")).withColumn("before", upto - F.col("n"))
+    # the bucket at the limit, and how many of its documents are taken
+    limit = written(buckets.where("before < take and before + n >= take").select(*group, F.col("bucket").alias("last"), (F.col("take") - F.col("before")).alias("of_last")), "mix-limits")
+    parted = planned.join(limit.hint("merge"), group, "left")
+    order = W.partitionBy(*group, "bucket").orderBy("hash", "doc_id")
+    marginal = parted.where("bucket = last").withColumn("place", F.row_number().over(order)).where("place <= of_last").select("source", "doc_id")
+    chosen = parted.where("last is null or bucket < last").select("source", "doc_id").unionByName(marginal)
     chosen = chosen.select(F.col("source").alias("__dl_source"), F.col("doc_id").alias("__dl_id"))
     source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     return docs.join(chosen, (docs["doc_id"].cast("bigint") == chosen["__dl_id"]) & (F.coalesce(source, F.lit(_NO_SOURCE)) == chosen["__dl_source"]), "left_semi")

@@ -94,3 +94,51 @@ def test_tiny_and_null_sources_leave_the_corpus_whole(spark):
     rows = [(i, prose(i, 60), "en", f"s{i % 4}") for i in range(400)] + [(1000, "a", "en", "tiny"), (1001, "b", "en", None)]
     kept = [r["doc_id"] for r in mx.mix_sources(docs(spark, rows)).collect()]
     assert len(kept) > 230 and {1000, 1001} <= set(kept)
+
+
+def test_budgets_that_cannot_be_met_take_little_memory():
+    import tracemalloc
+
+    for lengths, counts, budget, best in (
+        ([100], [10**9], 5 * 10**10 + 1, 5 * 10**10),
+        ([100], [10**7], 25_000_001, 25_000_000),
+        ([1000, 1001], [10**6, 1], 5 * 10**8 + 500, 5 * 10**8 + 1),
+        ([6, 10, 15], [1, 10**8, 1], 5 * 10**8 + 3, 5 * 10**8 + 1),
+        ([7, 500], [3, 10**7], 10**9 + 22, 10**9 + 21),
+    ):
+        tracemalloc.start()
+        take = mx.fit_counts(np.array(lengths), np.array(counts), budget)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert int(take @ np.array(lengths)) == best and (take <= counts).all() and (take >= 0).all() and peak < 100 << 20
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 25), st.integers(1, 300)), min_size=1, max_size=4, unique_by=lambda x: x[0]), st.integers(0, 9000))
+def test_the_last_programme_alone_is_best_too(pairs, budget):
+    lengths, counts = map(list, zip(*pairs))
+    first = mx._FIRST_STEP
+    mx._FIRST_STEP = 10**9
+    try:
+        take = mx.fit_counts(np.array(lengths), np.array(counts), budget)
+    finally:
+        mx._FIRST_STEP = first
+    reached = 1
+    for n, c in zip(lengths, counts):
+        for _ in range(c):
+            reached |= reached << n
+    assert int(take @ lengths) == max(k for k in range(budget + 1) if reached >> k & 1)
+
+
+def test_a_common_length_takes_the_smallest_hashes(spark):
+    df = docs(spark, [(i, f"word {i % 10}", "en", "s") for i in range(3000)] + [(1, "word 1", "en", "s"), (5000, "more words than those", "en", "s")])
+    n = _sums(df, spark)
+    by_hash = df.selectExpr("doc_id", f"xxhash64({mx.SEED}, doc_id) h").distinct().orderBy("h", "doc_id").collect()
+    for budget in (1, 3, 1000, 4001):
+        got = {r["doc_id"] for r in mx.mix_sources(df, budget=budget).collect()}
+        taken = {}
+        for i in got:
+            taken.setdefault(n["s", i], set()).add(i)
+        assert sum(n["s", i] for i in got) <= budget
+        for length, ids in taken.items():
+            assert ids == {r["doc_id"] for r in [r for r in by_hash if n["s", r["doc_id"]] == length][: len(ids)]}
