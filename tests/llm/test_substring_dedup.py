@@ -74,6 +74,24 @@ def test_a_passage_of_many_documents(spark):
     assert got[0] == 0 and all(got[i] >= 80 for i in range(1, 800))
 
 
+def test_a_hundred_thousand_documents_of_one_passage(spark):
+    """Work in proportion: every document meets the first one's automaton, and windows of what is left."""
+    passage = prose(8, 60, 5000)
+    rows = spark.range(100_000).selectExpr(
+        "id doc_id",
+        f"concat_ws(' ', transform(sequence(1, 8), x -> concat('a', (id * 31 + x) % 99991)), '{passage}', if(id % 1000 = 999, 'one more tail of words', null), transform(sequence(1, 3), x -> concat('b', (id * 17 + x) % 99991))) text",
+    )
+    got = sd.deduplicate_passages(rows.repartition(4)).selectExpr("count(*) n", "count_if(removed_words >= 60) cut", "min_by(removed_words, doc_id) one").first()
+    assert (got["n"], got["cut"], got["one"]) == (100_000, 99_999, 0)
+
+
+def test_anchors_of_pieces_equal_those_of_the_whole():
+    words, first = words_of(pa.array([prose(1, 500), "a " * 100, None, prose(2, 49), prose(3, 70), prose(4, 900)]))
+    whole = sd.anchors(words, first, 50, 12)
+    for piece in (1, 37, 100, 5000):
+        assert all((x == y).all() for x, y in zip(whole, sd.anchors(words, first, 50, 12, piece)))
+
+
 def test_every_window_has_an_anchor():
     words, first = words_of(pa.array([prose(1, 500), "a " * 100, prose(2, 49), prose(3, 50), None]))
     rows, places, _ = sd.anchors(words, first, 50, 12)
