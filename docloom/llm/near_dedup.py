@@ -32,7 +32,7 @@ WIDTH = 2
 HALVES = 8
 #: At 0.6, two documents meet with a chance of (1 - (1 - 0.6 ** WIDTH) ** HALVES) ** 2 = 0.94.
 THRESHOLD = 0.6
-_SIGNATURE = "doc_id bigint, same1 bigint, same2 bigint, left array<bigint>, right array<bigint>"
+_SIGNATURE = "doc_id bigint, same1 bigint, same2 bigint, size int, left array<bigint>, right array<bigint>"
 
 
 def shingle_sets(words: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +72,18 @@ def half_keys(least: np.ndarray, width: int, halves: int) -> np.ndarray:
     return out
 
 
+def _distinct(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Different shingles of each row, counted as verified() has them."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort([shingles >> np.uint64(24), row])
+    row, sorted_ = row[order], (shingles >> np.uint64(24))[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (row[1:] != row[:-1]) | (sorted_[1:] != sorted_[:-1])
+    return np.bincount(row[new], minlength=len(first) - 1)
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
-    """doc_id, two hashes of its words (null: none) and the half keys of both collections, a row for each row of docs with a doc_id."""
+    """doc_id, two hashes of its words (null: none), its number of different shingles and the half keys of both collections, a row for each row of docs with a doc_id."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,16 +91,18 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, width: int = WIDTH, halv
                 words, first = words_of(part.column(1))
                 some = np.diff(first) > 0
                 same1, same2 = (np.zeros(len(some), np.uint64) for _ in range(2))
-                keys = np.zeros((len(some), 2 * halves), np.uint64)
+                keys, size = np.zeros((len(some), 2 * halves), np.uint64), np.zeros(len(some), np.int32)
                 if some.any():
                     place = np.arange(len(words), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
                     begin = first[:-1][some]
                     same1[some] = np.add.reduceat(mix(words + place * np.uint64(0xA0761D6478BD642F)), begin)
                     same2[some] = np.add.reduceat(mix(words ^ mix(place + np.uint64(77))), begin)
-                    keys[some] = half_keys(minima(*shingle_sets(words, first, shingle), 2 * halves * width), width, halves)
+                    shingles, cuts = shingle_sets(words, first, shingle)
+                    keys[some] = half_keys(minima(shingles, cuts, 2 * halves * width), width, halves)
+                    size[:] = _distinct(shingles, cuts)
                 offsets = np.arange(0, (len(some) + 1) * halves, halves, dtype=np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, keys[:, s].reshape(-1).view(np.int64)) for s in (slice(0, halves), slice(halves, None))]
-                yield pa.record_batch([part.column(0), *[pa.array(x.view(np.int64), mask=~some) for x in (same1, same2)], *lists], ["doc_id", "same1", "same2", "left", "right"])
+                yield pa.record_batch([part.column(0), *[pa.array(x.view(np.int64), mask=~some) for x in (same1, same2)], pa.array(size), *lists], ["doc_id", "same1", "same2", "size", "left", "right"])
 
     return null_safe_columns(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id is not null").mapInArrow(sign, _SIGNATURE)
 
@@ -154,28 +166,30 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, width: int = WIDTH, halves: int = HALVES) -> DataFrame:
     """doc_id, group_id (the group's smallest doc_id), duplicate (doc_id isn't it) and n_rows (rows of that doc_id)."""
     signed = signatures(docs, shingle, width, halves)
-    fields = F.struct("same1", "same2", "left", "right")
+    fields = F.struct("same1", "same2", "size", "left", "right")
     own = signed.groupBy("doc_id").agg(F.min(fields).alias("s"), F.count("*").alias("n_rows")).select("doc_id", "n_rows", "s.*")
     own = written(own, "signatures")
-    first = own.where("same1 is not null").groupBy("same1", "same2").agg(F.min(F.struct("doc_id", "left", "right")).alias("s")).select("same1", "same2", F.col("s.doc_id").alias("rep"), "s.left", "s.right")
+    first = own.where("same1 is not null").groupBy("same1", "same2").agg(F.min(F.struct("doc_id", "size", "left", "right")).alias("s")).select("same1", "same2", F.col("s.doc_id").alias("rep"), "s.size", "s.left", "s.right")
     tables = F.flatten(F.transform("left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))
-    by_key = W.partitionBy("key")
-    met = first.select("rep", F.explode(F.array_distinct(tables)).alias("key")).withColumn("least", F.min("rep").over(by_key)).withColumn("most", F.max("rep").over(by_key))
-    met = written(met.where("least != most").select("key", "rep", "least"), "entries")
+    exploded = first.select("rep", F.col("size").alias("size"), F.explode(F.array_distinct(tables)).alias("key"))
+    # partial minima and a join, which can be split where very many documents meet in one entry
+    shared = exploded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least != most").select("key", "least")
+    met = written(exploded.join(shared.hint("merge"), "key"), "entries")
 
     stars = met.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     edges = written(verified(stars, docs, threshold, shingle), "pairs")
     labels = components(edges)
-    mixed = met.join(labels, met["rep"] == labels["node"], "left").select("key", "rep", "least", F.coalesce("label", "rep").alias("label"))
-    mixed = mixed.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).where("low != high")
-    mixed = written(mixed.select("key", "rep", "least", "label"), "entries")
-    x, y = (mixed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "label", "least")]) for s in "xy")
-    cross = x.join(y, "key").where("rep_x < rep_y and label_x != label_y and rep_x != least_x").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    mixed = met.join(labels.hint("merge"), met["rep"] == labels["node"], "left").select("key", "rep", "size", "least", F.coalesce("label", "rep").alias("label"))
+    several = mixed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    mixed = written(mixed.join(several.hint("merge"), "key"), "entries")
+    x, y = (mixed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "label", "least", "size")]) for s in "xy")
+    near = F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y") - 1e-9  # sets of other sizes can't reach the threshold
+    cross = x.join(y, "key").where("rep_x < rep_y and label_x != label_y and rep_x != least_x").where(near).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
     more = written(verified(cross, docs, threshold, shingle), "pairs")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
-    drop_written(mixed)
-    drop_written(met)
+    for table in (mixed, met, edges, more):
+        drop_written(table)
 
     # a join, not a window: copies of one text may be any number, and a join's skewed side can be split. No words: no partner
     groups = own.select("doc_id", "n_rows", "same1", "same2").join(first.select("same1", "same2", "rep"), ["same1", "same2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))

@@ -98,3 +98,23 @@ def test_a_large_group_is_whole(spark):
     rows = [(i, " ".join([*base, f"tail{i}"])) for i in range(1500)] + [(5000, prose(77, 90))]
     got = {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(docs(spark, rows)).collect()}
     assert got.pop(5000) == 5000 and set(got.values()) == {0}
+
+
+def test_shared_boilerplate_joins_nothing_and_chains_join(spark):
+    """Half of each text is the same everywhere, so that unlike texts meet in tables; chains of near copies join through their middle."""
+    rnd, frame, rows = random.Random(6), prose(500, 60), []
+    for k in range(60):
+        rows.append((k, f"{frame} {prose(600 + k, 60)}"))
+    words = prose(700, 120).split()
+    for k in range(8):  # each a near copy of the one before alone
+        rows.append((100 + k, " ".join(words)))
+        for at in range(14 * k, 14 * k + 14):
+            words[at] = f"x{at}"
+    rows.append((99, rows[5][1]))  # ties: the smallest id stands for its group
+    rnd.shuffle(rows)
+    expected, pairs = brute_groups(rows)
+    got = {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(docs(spark, rows)).collect()}
+    assert all(expected[i] == expected[g] for i, g in got.items()) and got[99] == 5
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs) and len({got[k] for k in range(60)}) == 60
+    sizes = {r["doc_id"]: r["size"] for r in nd.signatures(docs(spark, rows)).collect()}
+    assert all(sizes[i] == len(_sets(t)) for i, t in rows)
