@@ -64,3 +64,42 @@ def test_other_records_are_read_too():
     text = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
     (row,) = warc.payload_chunks(io.BytesIO(text))
     assert row["payload"] == b"abcd" and row["page_id"] is None and row["digest_ok"] is None
+
+
+def test_record_and_chunk_number_are_a_key(spark):
+    rows = [(i % 5 or None, f"http://a/{i}", f"body {i // 10} " * 40, None) for i in range(40)] + [(100 + i, "u", "x", None) for i in range(5)]
+    for most in (warc._MOST_SENT, 1):
+        own = warc._MOST_SENT
+        warc._MOST_SENT = most
+        try:
+            got = [r.asDict() for r in warc.warc_chunks(_pages(spark, rows).repartition(3), chunk_bytes=100).collect()]
+        finally:
+            warc._MOST_SENT = own
+        assert len({(r["record_id"], r["chunk_no"]) for r in got}) == len(got) and len({r["record_id"] for r in got}) == len(rows)
+        assert {r["record_id"] for r in got if (r["page_id"] or 0) >= 100} == {f"urn:docloom:page:{100 + i}" for i in range(5)}
+        bodies = {}
+        for r in sorted(got, key=lambda r: r["chunk_no"]):
+            bodies[r["record_id"], r["page_id"]] = bodies.get((r["record_id"], r["page_id"]), b"") + bytes(r["payload"])
+        assert sorted((str(i), b.decode()) for (_, i), b in bodies.items()) == sorted((str(i), h) for i, _, h, _ in rows)
+
+
+def test_malformed_heads_are_passed_over():
+    payload = b"0123456789" * 5
+    good = warc.record_head(9, "u", hashlib.sha256(payload).hexdigest(), len(payload)) + payload + b"\r\n\r\n"
+    for bad in (b"12 bytes", b"-5", b"", b"0x10", "١٢".encode()):
+        broken = b"WARC/1.1\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: " + bad + b"\r\n\r\nlost\r\n\r\n"
+        rows = list(warc.payload_chunks(io.BytesIO(b"noise\r\n" + broken + good), 100))
+        assert [(r["record_id"], r["chunk_bytes"], r["digest_ok"], r["is_last"]) for r in rows] == [("urn:x", 0, False, True), ("urn:docloom:page:9", 50, True, True)]
+
+
+def test_a_very_long_url_is_read_again(spark):
+    url = "http://a/" + "x" * (2 << 20)
+    (row,) = warc.warc_chunks(_pages(spark, [(1, url, "body", None)])).collect()
+    assert row["url"] == url and bytes(row["payload"]) == b"body"
+
+
+def test_a_head_without_end_is_passed_over(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_HEAD", 1 << 19)
+    good = warc.record_head(9, "u", hashlib.sha256(b"ab").hexdigest(), 2) + b"ab"
+    rows = list(warc.payload_chunks(io.BytesIO(b"WARC/1.1\r\nX: " + b"y" * (1 << 20) + b"\r\n" + good)))
+    assert [bytes(r["payload"]) for r in rows] == [b"ab"]
