@@ -1,8 +1,12 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from a bounded sample of labelled rows. A text, in lower case, is compressed
-under every dictionary, whole, in blocks of BLOCK bytes (each block meets the dictionary afresh, so that a long text
-doesn't outgrow it), and the language of the smallest sum is chosen, unless the runner-up is within MARGIN of it.
+Each language has zstandard raw-content dictionaries cut from a bounded sample of labelled rows: SAMPLE_ROWS different texts of smallest hash, each of which
+gives the same number of bytes, from a hashed place within it. A text, in lower case, is compressed under every dictionary, whole, in blocks
+of BLOCK bytes (each block meets the dictionary afresh, so that a long text doesn't outgrow it), and the language of the smallest sum
+is chosen, unless the runner-up is within MARGIN of it.
+
+Texts fall into FOLDS folds by hash. Each fold has dictionaries of its own from the texts of the others, so that no text meets itself or a copy of
+itself; a language that the others don't have is taken from the fold itself. Beyond GROUP languages, dictionaries are made and used a group at a time.
 
 Result: doc_id, language (null if rejected), margin, best_bytes and raw_bytes of every row, repeated rows included. Null
 text: all null but doc_id. Empty text: rejected, margin 0. Ties are rejected (margin 0). Null labels aren't fitted. With
@@ -16,37 +20,48 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm._shared import null_safe_columns
 
-#: Bounds of the fit: labelled rows, and dictionary bytes, of a language; languages.
+#: Bounds of the fit: labelled rows, and dictionary bytes, of a language and fold.
 SAMPLE_ROWS = 200
 DICTIONARY_BYTES = 64 << 10
-MOST_LANGUAGES = 400
+FOLDS = 2
+#: Languages whose dictionaries a worker holds at once.
+GROUP = 200
 BLOCK = 8 << 10
 LEVEL = 9
 MARGIN = 0.01
 
 
-def fit_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each value of lang, from the sample_rows rows of smallest hash."""
-    rows = null_safe_columns(docs, {"doc_id": "bigint", "lang": "string", "text": "string"}).where("doc_id is not null and lang is not null and length(text) > 0")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= sample_rows).select("doc_id", "lang")
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # sample_rows a language at most
-    share = max(256, 4 * dictionary_bytes // sample_rows)
-    parts = sample.select("lang", "doc_id", F.substring("text", 1, share).alias("text")).orderBy("lang", F.xxhash64(F.lit(23), "doc_id"), "doc_id", "text").collect()
-    out: dict[str, bytes] = {}
-    for row in parts:
-        have = out.get(row["lang"], b"")
-        if len(have) < dictionary_bytes:
-            out[row["lang"]] = (have + b"\n" + row["text"].lower().encode())[:dictionary_bytes]
-    if len(out) > MOST_LANGUAGES:
-        raise ValueError(f"{len(out)} languages; at most {MOST_LANGUAGES} dictionaries are sent to the workers")
-    return dict(sorted(out.items()))
+def _fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(31), text), F.lit(FOLDS)).cast("int")
+
+
+def fit_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> list[dict[str, bytes]]:
+    """For each fold, a dictionary for each value of lang from texts of the other folds."""
+    rows = null_safe_columns(docs, {"lang": "string", "text": "string"}).where("lang is not null and length(text) > 0")
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(23), "text")).withColumn("fold", _fold(F.col("text")))
+    group = W.partitionBy("lang", "fold")
+    chosen = rows.select("lang", "fold", "hash").distinct().withColumn("place", F.row_number().over(group.orderBy("hash"))).where(F.col("place") <= sample_rows)
+    chosen = chosen.withColumn("share", F.ceil(dictionary_bytes / F.count("*").over(group)).cast("int")).drop("place")
+    sample = rows.join(chosen, ["lang", "fold", "hash"]).groupBy("lang", "fold", "hash", "share").agg(F.min("text").alias("text"))
+    begin = F.pmod(F.xxhash64(F.lit(29), "text"), F.greatest(F.lit(1), F.length("text") - F.col("share") + 1)).cast("int") + 1
+    # sample_rows pieces of dictionary_bytes together, a language and fold
+    parts = sample.select("lang", "fold", "hash", "share", F.lower(F.substring("text", begin, F.col("share"))).alias("piece")).orderBy("lang", "fold", "hash").collect()
+    own: dict[tuple[str, int], bytes] = {}
+    for r in parts:
+        piece = r["piece"].encode()[: r["share"]].decode(errors="ignore").encode()
+        own[r["lang"], r["fold"]] = own.get((r["lang"], r["fold"]), b"") + piece + b"\n"
+    out = []
+    for fold in range(FOLDS):
+        others = {lang: b"".join(own.get((lang, f), b"") for f in range(FOLDS) if f != fold) or own[lang, fold] for lang, _ in sorted(own)}
+        out.append({lang: d[:dictionary_bytes] for lang, d in others.items()})
+    return out
 
 
 def compressed_sizes(text: bytes, compressors: list, block: int = BLOCK) -> np.ndarray:
@@ -67,28 +82,43 @@ def compressors_of(dictionaries: Mapping[str, bytes], level: int = LEVEL) -> lis
 
 
 def identify_language(docs: DataFrame, dictionaries: Mapping[str, bytes] | None = None, margin: float = MARGIN) -> DataFrame:
-    """See the module; dictionaries: from fit_dictionaries(), by default of docs itself."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit_dictionaries(docs) if dictionaries is None else dict(dictionaries))
+    """See the module; dictionaries: those of all texts, by default fit_dictionaries() of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit_dictionaries(docs) if dictionaries is None else [dict(dictionaries)] * FOLDS)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, compressors = list(sent.value), compressors_of(sent.value)
+        made: dict[tuple[int, int], list] = {}
+
+        def compressors(fold: int, at: int) -> list:
+            if (fold, at) not in made:
+                if len(sent.value[fold]) > GROUP:
+                    made.clear()
+                made[fold, at] = compressors_of(dict(list(sent.value[fold].items())[at : at + GROUP]))
+            return made[fold, at]
+
         for batch in batches:
-            languages, margins, best, raw = [], [], [], []
-            for value in batch.column(1):
-                text = None if not value.is_valid else value.as_py()
-                raw.append(None if text is None else len(text.encode()))
-                if not names or not text:
+            texts = batch.column(1)
+            folds = batch.column(2).to_numpy(zero_copy_only=False)
+            sizes = np.zeros((batch.num_rows, len(sent.value[0])), np.int64)
+            raw = pc.binary_length(texts).to_pylist()
+            for fold in range(FOLDS) if not dictionaries else range(1):
+                mine = np.flatnonzero(np.asarray(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)) & ((folds == fold) | bool(dictionaries))).tolist()
+                for at in range(0, sizes.shape[1], GROUP) if mine else ():
+                    own = compressors(fold, at)
+                    for i in mine:
+                        sizes[i, at : at + GROUP] = compressed_sizes(texts[i].as_py().lower().encode(), own)
+            languages, margins, best = [], [], []
+            for i, n in enumerate(raw):
+                if not n or not sizes.shape[1]:
                     languages.append(None)
-                    margins.append(None if text is None else 0.0)
-                    best.append(None if text is None else 0)
+                    margins.append(None if n is None else 0.0)
+                    best.append(None if n is None else 0)
                     continue
-                sizes = compressed_sizes(text.lower().encode(), compressors)
-                order = np.argsort(sizes, kind="stable")
-                gap = None if len(names) == 1 else float(sizes[order[1]] - sizes[order[0]]) / float(sizes[order[0]])
+                names, order = list(sent.value[0 if dictionaries else folds[i]]), np.argsort(sizes[i], kind="stable")
+                gap = None if len(names) == 1 else float(sizes[i, order[1]] - sizes[i, order[0]]) / float(sizes[i, order[0]])
                 languages.append(names[order[0]] if gap is None or (gap >= margin and gap > 0) else None)
                 margins.append(gap)
-                best.append(int(sizes[order[0]]))
+                best.append(int(sizes[i, order[0]]))
             yield pa.record_batch([batch.column(0), pa.array(languages, pa.string()), pa.array(margins, pa.float64()), pa.array(best, pa.int64()), pa.array(raw, pa.int64())], ["doc_id", "language", "margin", "best_bytes", "raw_bytes"])
 
-    rows = null_safe_columns(docs, {"doc_id": "bigint", "text": "string"})
+    rows = null_safe_columns(docs, {"doc_id": "bigint", "text": "string"}).withColumn("fold", F.coalesce(_fold(F.col("text")), F.lit(0)))
     return rows.mapInArrow(classify, "doc_id bigint, language string, margin double, best_bytes bigint, raw_bytes bigint")
