@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, a temporary one (single-machine tests)."""
+    """The folder named by spark.checkpoint.dir; only where that is unset, on a local master, a temporary one (single-machine tests)."""
     folder = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_CONF} must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set(_CONF, folder)
         atexit.register(_remove_local, folder)
@@ -54,10 +57,18 @@ def drop_written(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def size_of(value: str) -> int:
+    """Bytes of a size as Spark's settings have it: 8388608, 64m, 1gb."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", value.lower())
+    if not found:
+        raise ValueError(f"no size: {value!r}")
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ")
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches of most bytes at most for the session (Spark's own default is 64 MB): what a worker holds follows them."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("bB")) > most:
+    if not 0 < size_of(spark.conf.get(name)) <= most:
         spark.conf.set(name, str(most))
 
 
