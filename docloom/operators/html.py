@@ -5,6 +5,7 @@ The tree work of a document is done in one Arrow pass over its row; everything b
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -24,22 +25,30 @@ _EXAMPLE = "section-example-container"
 def _per_document(df: DataFrame, html: str, fields: str, rows_of) -> DataFrame:
     """df's other columns beside each row that rows_of makes of html."""
     rest = [f for f in df.schema if f.name != html]
-    schema = StructType([*[StructField(f.name, f.dataType, True) for f in rest], *_parse_datatype_string(fields).fields])
+    made_fields = _parse_datatype_string(fields).fields
+    schema = StructType([*[StructField(f.name, f.dataType, True) for f in rest], *made_fields])
     arrow = to_arrow_schema(schema)
-    names = [f.name for f in rest]
+    kept, made_names = [f.name for f in rest], [f.name for f in made_fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            for row in batch.to_pylist():
-                own = {n: row[n] for n in names}
-                for made in rows_of(row[html]):
-                    out.append(own | made)
-                    size += 1
-                if size >= 5000:
-                    yield pa.RecordBatch.from_pylist(out, arrow)
-                    out, size = [], 0
-            yield pa.RecordBatch.from_pylist(out, arrow)
+            others, texts = batch.select(kept), batch.column(batch.schema.get_field_index(html))
+            at: list[int] = []
+            columns: list[list] = [[] for _ in made_names]
+
+            def flushed() -> pa.RecordBatch:
+                arrays = [pa.array(column, arrow.field(len(kept) + i).type) for i, column in enumerate(columns)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*others.take(pa.array(at, pa.int64())).columns, *arrays], schema=arrow)  # noqa: B023
+
+            for i, text in enumerate(texts):
+                for made in rows_of(text.as_py()):
+                    at.append(i)
+                    for column, name in zip(columns, made_names):
+                        column.append(made[name])
+                if len(at) >= 5000:
+                    yield flushed()
+                    at, columns = [], [[] for _ in made_names]
+            yield flushed()
 
     return df.mapInArrow(run, schema)
 
@@ -479,6 +488,35 @@ def descendants(df: DataFrame, *keys: str, depth: int = 8) -> DataFrame:
     return out
 
 
+def within(outer: DataFrame, inner: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of an outer node and each node below it (inner_node, inner_tag), by the nodes' intervals; outer's columns are kept."""
+    low = inner.select(*keys, F.col("node").alias("inner_node"), F.col("tag").alias("inner_tag"))
+    return outer.join(low, [*keys]).where((F.col("inner_node") > F.col("node")) & (F.col("inner_node") <= F.col("end")))
+
+
+def with_contents(found: DataFrame, contents: DataFrame, *keys: str) -> DataFrame:
+    """Sections beside the title and level of their first entry in the table of contents, null where there is none."""
+    first = contents.groupBy(*keys, "id").agg(F.first("title").alias("toc_title"), F.first("level").alias("toc_level"))
+    return found.join(first, [*keys, "id"], "left")
+
+
+def tree(df: DataFrame, *keys: str, depth: int) -> DataFrame:
+    """Roots (depth 0) and what lies at most depth levels below them, parents before children within each round."""
+    out = step = root_sections(df).withColumn("depth", F.lit(0))
+    for n in range(1, depth + 1):
+        up = step.select(*keys, F.col("id").alias("__up"))
+        step = df.join(up, [*[df[k].eqNullSafe(up[k]) for k in keys], df["parent_id"] == up["__up"]], "left_semi").withColumn("depth", F.lit(n))
+        out = out.unionByName(step)
+    return out
+
+
+def api_plain_texts(df: DataFrame, html: str = "html") -> DataFrame:
+    """text of each row's rendered type (html, value)."""
+    fields = "text string"
+    both = df.withColumn(html, F.to_json(F.struct(F.col("value").alias("v"), F.col(html).alias("h"))))
+    return _per_document(both, html, fields, lambda row: [{"text": api_plain_text(json.loads(row).get("h", ""), json.loads(row).get("v", ""))}])
+
+
 def find_section(df: DataFrame, section_id: str) -> DataFrame:
     return df.where(F.col("id") == section_id).orderBy("pos").limit(1)
 

@@ -1,14 +1,14 @@
 """Chunking of sections with code and tables: simple, code-aware, hierarchical and hybrid.
 
-Planning over a document's sections is sequential, so a document's sections are gathered (one shuffle, by document)
-and worked through in one Arrow pass; documents are independent of each other.
+Simple and code-aware chunking works section by section, without a shuffle. Hierarchical and hybrid planning over a document's sections is
+sequential, so a document's sections are gathered (one shuffle, by document) and worked through in one Arrow pass; documents are independent of each other.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pyarrow as pa
@@ -501,6 +501,11 @@ def global_strategy(analyses: list[dict]) -> str:
     return max(by, key=lambda k: sum(by[k]), default="hybrid")
 
 
+def strategy_votes(analyses: DataFrame, *keys: str) -> DataFrame:
+    """Of each strategy, its votes and weight (votes times mean confidence) among rows of strategy and confidence."""
+    return analyses.groupBy(*keys, "strategy").agg(F.count("*").alias("votes"), F.sum("confidence").alias("weight"))
+
+
 def hybrid_chunks(sections: list[dict], c: ChunkConfig) -> list[dict]:
     tree = _Tree(sections)
     best = global_strategy([analyse(s, len(tree.children.get(s["id"], []))) for s in sections])
@@ -510,37 +515,58 @@ def hybrid_chunks(sections: list[dict], c: ChunkConfig) -> list[dict]:
 
 
 DOCUMENT_STRATEGIES = {"hierarchical": hierarchical_chunks, "hybrid": hybrid_chunks}
+_ANALYSIS = "content_type string, text_ratio double, code_ratio double, table_ratio double, complexity double, readability double, density double, languages array<string>, strategy string, confidence double"
 
 
-def chunk_sections(sections: DataFrame, strategy: str, *keys: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks (schemas.CHUNKS) of each document's sections by a strategy of STRATEGIES or DOCUMENT_STRATEGIES.
+def _wanted(sections: DataFrame) -> list[str]:
+    return ["id", "title", "level", "breadcrumb", "content", "code_blocks", "tables", *[c for c in ("parent_id", "path") if c in sections.columns]]
 
-    sections: keys and schemas.SECTION_FIELDS, with parent_id and path if known. chunk_index counts within a section.
-    """
-    if strategy not in STRATEGIES and strategy not in DOCUMENT_STRATEGIES:
-        raise ValueError(f"no strategy {strategy!r}; there are {', '.join([*STRATEGIES, *DOCUMENT_STRATEGIES])}")
-    wanted = ["id", "title", "level", "breadcrumb", "content", "code_blocks", "tables", *[c for c in ("parent_id", "path") if c in sections.columns]]
-    documents = sections.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*wanted).alias("s")))).alias("sections")) if _orderable(sections) else None
-    schema = StructType([*[sections.schema[k] for k in keys], *_parse_datatype_string(schemas.CHUNKS).fields])
-    schema = StructType([StructField(f.name, f.dataType, True) for f in schema])
+
+def _rows_to(schema: StructType, rows_of: Callable[[dict], list[dict]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches: the rows that rows_of makes of each row, beside the row's own values of columns it doesn't make."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own = [x["s"] for x in row["sections"]]
-                chunks = DOCUMENT_STRATEGIES[strategy](own, config) if strategy in DOCUMENT_STRATEGIES else [x for s in own for x in STRATEGIES[strategy](s, config)]
-                totals, at = Counter(x["section_id"] for x in chunks), Counter()
-                for x in chunks:
-                    out.append({k: row[k] for k in keys} | {"quality_score": quality(x)} | x | {"chunk_index": at[x["section_id"]], "total_chunks": totals[x["section_id"]]})
-                    at[x["section_id"]] += 1
-            yield pa.RecordBatch.from_pylist(out, arrow)
+            out = [row | made for row in batch.to_pylist() for made in rows_of(row)]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in arrow], schema=arrow)
+
+    return run
 
-    return documents.mapInArrow(run, schema)
+
+def _with_places(chunks: list[dict]) -> list[dict]:
+    """Chunks with their quality, and their place within their section."""
+    totals, at, out = Counter(x["section_id"] for x in chunks), Counter(), []
+    for x in chunks:
+        out.append({"quality_score": quality(x)} | x | {"chunk_index": at[x["section_id"]], "total_chunks": totals[x["section_id"]]})
+        at[x["section_id"]] += 1
+    return out
 
 
-def _orderable(sections: DataFrame) -> bool:
+def _beside(sections: DataFrame, keys: tuple[str, ...], fields: str) -> StructType:
+    schema = StructType([*[sections.schema[k] for k in keys], *_parse_datatype_string(fields).fields])
+    return StructType([StructField(f.name, f.dataType, True) for f in schema])
+
+
+def analyses(sections: DataFrame, *keys: str) -> DataFrame:
+    """keys, id and the analysis of each section (see analyse()), row by row."""
+    made = sections.select(*keys, F.struct(*_wanted(sections)).alias("s"))
+    return made.mapInArrow(_rows_to(_beside(sections, (*keys, "id"), _ANALYSIS), lambda row: [{"id": row["s"]["id"], **analyse(row["s"])}]), _beside(sections, (*keys, "id"), _ANALYSIS))
+
+
+def chunk_sections(sections: DataFrame, strategy: str, *keys: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Chunks (schemas.CHUNKS) of each document's sections by a strategy of STRATEGIES or DOCUMENT_STRATEGIES.
+
+    sections: keys and schemas.SECTION_FIELDS, with parent_id and path if known. chunk_index counts within a section. Strategies of
+    STRATEGIES work row by row; those of DOCUMENT_STRATEGIES need a document's sections together, in order of pos.
+    """
+    schema = _beside(sections, keys, schemas.CHUNKS)
+    if strategy in STRATEGIES:
+        rows = sections.select(*keys, F.struct(*_wanted(sections)).alias("s"))
+        return rows.mapInArrow(_rows_to(schema, lambda row: _with_places(STRATEGIES[strategy](row["s"], config))), schema)
+    if strategy not in DOCUMENT_STRATEGIES:
+        raise ValueError(f"no strategy {strategy!r}; there are {', '.join([*STRATEGIES, *DOCUMENT_STRATEGIES])}")
     if "pos" not in sections.columns:
         raise ValueError("sections need pos, their order in the document")
-    return True
+    documents = sections.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*_wanted(sections)).alias("s")))).alias("sections"))
+    return documents.mapInArrow(_rows_to(schema, lambda row: _with_places(DOCUMENT_STRATEGIES[strategy]([x["s"] for x in row["sections"]], config))), schema)

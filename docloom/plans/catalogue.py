@@ -19,7 +19,7 @@ from docloom.operators import placeholders as PH
 from docloom.operators import retrieval as R
 from docloom.operators import review as V
 from docloom.operators import section_chunks as SC
-from docloom.plans.oracles import oracle_sql
+from docloom.plans import documentation, documentation_sql, oracles
 from docloom.sources import files, html as S
 from docloom.sources import sinks as K
 
@@ -39,7 +39,11 @@ def _query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **documentation.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**oracles.oracle_sql(), **documentation_sql.oracle_sql()}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -229,22 +233,6 @@ def parser_cross_check(spark, sf):
     return P.cross_check(H.html_nodes(pages), pages)
 
 
-@_query
-def class_depth_stats(spark, sf):
-    return P.class_depths(H.html_nodes(_t(spark, sf, "pages").select("page_id", "html")))
-
-
-@_query
-def page_sections(spark, sf):
-    found = H.sections(_t(spark, sf, "pages").select("page_id", "html"))
-    return found.select("page_id", "pos", "id", "title", "level", F.length("content").alias("n_chars"))
-
-
-@_query
-def heading_titles(spark, sf):
-    return H.sections(_t(spark, sf, "pages").select("page_id", "html")).groupBy("level").agg(F.count("*").alias("n"))
-
-
 def _section_chunks(strategy):
     def run(spark, sf):
         found = H.with_paths(H.with_parents(H.sections(_t(spark, sf, "pages").select("page_id", "html")), "page_id"), "page_id", depth=2)
