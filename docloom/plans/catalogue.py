@@ -43,7 +43,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracles.oracle_sql(), **documentation_sql.oracle_sql()}
+    return {**oracles.oracle_sql(), **documentation_sql.oracle_sql(), **documentation_sql.chunk_sql()}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -233,18 +233,6 @@ def parser_cross_check(spark, sf):
     return P.cross_check(H.html_nodes(pages), pages)
 
 
-def _section_chunks(strategy):
-    def run(spark, sf):
-        found = H.with_paths(H.with_parents(H.sections(_t(spark, sf, "pages").select("page_id", "html")), "page_id"), "page_id", depth=2)
-        return SC.chunk_sections(found, strategy, "page_id", config=conf.PRESETS["qa"]).select("page_id", "section_id", "chunk_index", "chunk_type", "strategy", F.length("content").alias("n_chars"), F.round("quality_score", 6).alias("quality_score"))
-
-    return run
-
-
-for _name in ("section_based", "code_aware", "hierarchical", "hybrid"):
-    _QUERIES[f"{_name}_section_chunks"] = _section_chunks(_name)
-
-
 def _tree(spark, sf):
     """Regions, nations and customers as a tree of dotted ids."""
     region, nation, customer = (_t(spark, sf, t) for t in ("region", "nation", "customer"))

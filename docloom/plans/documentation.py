@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import conf
 from docloom.functions import text as T
 from docloom.operators import html as H
 from docloom.operators import patterns as P
+from docloom.operators import section_chunks as SC
 from docloom.sources import sinks as K
 
+ENDS = conf.ChunkConfig(max_size=1000, min_size=100, overlap=200, header=False)
 _NAMES = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
 
@@ -185,3 +188,129 @@ QUERIES = {
         point_lookup, tree_to_depth, contents_joined, api_texts, config_of_sections, rag_rows_v1, section_statistics,
     )
 }
+
+
+# --- chunks of sections ---
+
+_BLOCK = "struct<language:string,content:string>"
+#: A fenced block without units: nine lines and an empty one, over and over.
+_FENCED = "y = 1234567890\n" * 9 + "\n"
+
+
+def chunk_sections(docs: DataFrame) -> DataFrame:
+    """Documents as sections, some with small code and tables."""
+    k, none = F.col("doc_id"), F.array()
+    block = lambda language, content: F.array(F.struct(F.lit(language).alias("language"), content.alias("content")))
+    python = F.when(k % 3 == 0, block("python", F.concat(F.lit("x = "), k.cast("string")))).otherwise(none.cast(f"array<{_BLOCK}>"))
+    csharp = F.when(k % 6 == 0, block("csharp", F.lit("y();"))).otherwise(none.cast(f"array<{_BLOCK}>"))
+    table = F.struct(F.array(F.lit("a"), F.lit("b")).alias("headers"), F.array(F.array("lang", "source")).alias("rows"), F.when(k % 8 == 0, "Cap").alias("caption"))
+    return docs.select(
+        "doc_id", F.concat(F.lit("s"), k.cast("string")).alias("id"), F.col("lang").alias("title"), F.lit(2).alias("level"), F.col("source").alias("breadcrumb"), F.col("text").alias("content"),
+        F.concat(python, csharp).alias("code_blocks"), F.when(k % 4 == 0, F.array(table)).otherwise(F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>")).alias("tables"),
+    )
+
+
+def code_sections(docs: DataFrame) -> DataFrame:
+    """Documents of which the heads surround a fenced block; some have large code, by doc_id % 5: 0 none, 1 functions, 2 classes, 3 fenced lines, 4 a fenced script."""
+    k = F.col("doc_id")
+    fenced = F.when(k % 5 == 3, F.concat(F.lit("```python\n"), F.expr(f"left(repeat('{_FENCED}', 20), {20 * len(_FENCED) - 1})"), F.lit("\n```"))).when(
+        k % 5 == 4, F.concat(F.lit("```bash\n"), F.expr("left(repeat('echo twenty letters.\n', 200), 4199)"), F.lit("\n```"))
+    ).otherwise(F.lit("```python\nprint(1)\n```"))
+    content = F.concat(F.lit("Before "), k.cast("string"), F.lit(".\n"), fenced, F.lit("\nAfter."))
+    functions = F.expr("left(repeat('def f():\n    return \"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa\"\n', 100), 5399)")
+    classes = F.expr("left(repeat('public class C {\n    int x;\n}\n', 200), 6199)")
+    large = F.when(k % 5 == 1, F.array(F.struct(F.lit("python").alias("language"), functions.alias("content")))).when(k % 5 == 2, F.array(F.struct(F.lit("csharp").alias("language"), classes.alias("content")))).otherwise(F.array().cast(f"array<{_BLOCK}>"))
+    small = F.when(k % 2 == 0, F.array(F.struct(F.lit("csharp").alias("language"), F.concat(F.lit("z = "), k.cast("string")).alias("content")))).otherwise(F.array().cast(f"array<{_BLOCK}>"))
+    return docs.select("doc_id", F.concat(F.lit("c"), k.cast("string")).alias("id"), F.lit("T").alias("title"), F.lit(1).alias("level"), F.lit("").alias("breadcrumb"), content.alias("content"), F.concat(large, small).alias("code_blocks"), F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>").alias("tables"))
+
+
+def _documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def _chunk_rows(made: DataFrame, key: str) -> DataFrame:
+    return made.select(key, "section_id", "chunk_index", "total_chunks", "chunk_type", "strategy", "language", "has_code", "has_table", "start_char", "end_char", F.length("content").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def section_based_section_chunks(spark, sf):
+    return _chunk_rows(SC.chunk_sections(chunk_sections(_documents(spark, sf)), "section_based", "doc_id", config=ENDS), "doc_id")
+
+
+def code_aware_section_chunks(spark, sf):
+    return _chunk_rows(SC.chunk_sections(code_sections(_documents(spark, sf)), "code_aware", "doc_id", config=conf.ChunkConfig(header=False)), "doc_id")
+
+
+def section_chunk_quality(spark, sf):
+    """Mean quality of the chunks of each document's section."""
+    made = SC.chunk_sections(chunk_sections(_documents(spark, sf)), "section_based", "doc_id", config=ENDS)
+    return made.groupBy("doc_id").agg(F.round(F.avg("quality_score"), 6).alias("quality"))
+
+
+def tree_sections(part: DataFrame) -> DataFrame:
+    """Each part as a document: a parent with children, a small leaf, a large section with small children, a medium leaf."""
+    paragraph = lambda c: "repeat('" + c + "', 900)"
+    large = F.expr(f"concat_ws('\n\n', {paragraph('a')}, {paragraph('b')}, {paragraph('c')})")
+    none, no_tables = F.array().cast(f"array<{_BLOCK}>"), F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>")
+    code = F.array(F.struct(F.lit("python").alias("language"), _filled("p = {k}").alias("content")))
+    table = F.array(F.struct(F.array(F.lit("h"), F.lit("i")).alias("headers"), F.array(F.array(F.col("p_brand"))).alias("rows"), F.lit(None).cast("string").alias("caption")))
+    rows = (
+        ("1", "Parent", None, _filled("About {n}."), none, no_tables),
+        ("1.1", "First child", "1", _filled("Child of {b}."), code, no_tables),
+        ("1.2", "Second child", "1", F.lit(""), none, table),
+        ("2", "Small {n}", None, _filled("Small {t}."), none, no_tables),
+        ("3", "Large", None, large, code, table),
+        ("3.1", "One", "3", _filled("One {k}."), none, no_tables),
+        ("3.2", "Two", "3", _filled("Two {z}."), code, no_tables),
+        ("3.3", "Wide", "3", F.expr("repeat('w', 790)"), none, no_tables),
+        ("3.4", "Rest", "3", F.expr("repeat('r', 790)"), none, no_tables),
+        ("4", "Medium", None, F.expr("repeat('m', 1500)"), none, no_tables),
+    )
+    made = F.array(*[
+        F.struct(F.lit(i).alias("id"), _filled(title).alias("title"), F.lit(i.count(".") + 1).alias("level"), F.lit("").alias("breadcrumb"), content.alias("content"), blocks.alias("code_blocks"), tables.alias("tables"), F.lit(up).cast("string").alias("parent_id"))
+        for i, title, up, content, blocks, tables in rows
+    ])
+    return part.select("p_partkey", F.posexplode(made).alias("pos", "s")).select("p_partkey", "pos", "s.*")
+
+
+def hierarchical_section_chunks(spark, sf):
+    return _chunk_rows(SC.chunk_sections(tree_sections(_part(spark, sf)), "hierarchical", "p_partkey", config=conf.ChunkConfig()), "p_partkey")
+
+
+def _analysed(spark, sf):
+    """Documents' heads with growing code and tables."""
+    k = F.col("doc_id")
+    code = F.when(k % 4 == 0, F.array().cast(f"array<{_BLOCK}>")).otherwise(F.array(F.struct(F.when(k % 2 == 0, "python").otherwise("cli").alias("language"), F.expr("repeat('z = f(1)\n', cast(doc_id % 4 * 12 as int))").alias("content"))))
+    table = F.struct(F.array(F.lit("h")).alias("headers"), F.array_repeat(F.array(F.lit("some cell"), F.col("lang")), (k % 3 * 9).cast("int")).alias("rows"), F.when(k % 2 == 0, "c").alias("caption"))
+    return _documents(spark, sf).select(
+        "doc_id", F.concat(F.lit("a"), k.cast("string")).alias("id"), F.col("lang").alias("title"), (1 + k % 4).cast("int").alias("level"), F.col("source").alias("breadcrumb"), F.when(k % 97 > 0, F.substring("text", 1, 600)).otherwise(F.lit("")).alias("content"), code.alias("code_blocks"),
+        F.when(k % 3 > 0, F.array(table)).otherwise(F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>")).alias("tables"),
+    )
+
+
+def section_analysis(spark, sf):
+    out = SC.analyses(_analysed(spark, sf), "doc_id")
+    numbers = [F.round(c, 6).alias(c) for c in ("text_ratio", "code_ratio", "table_ratio", "complexity", "readability", "density", "confidence")]
+    return out.select("doc_id", "content_type", "strategy", F.array_join("languages", ",").alias("languages"), *numbers)
+
+
+def analysis_votes(spark, sf):
+    return SC.strategy_votes(SC.analyses(_analysed(spark, sf), "doc_id").withColumn("lang", F.col("doc_id") % 7), "lang").select("lang", "strategy", "votes", F.round("weight", 4).alias("weight"))
+
+
+def _hybrid_sections(part: DataFrame) -> DataFrame:
+    """One section a part, by p_partkey % 4: text alone (every second of them too poor for any strategy), text with much code, a table alone, nothing."""
+    k = F.col("p_partkey")
+    text = _filled("The {n} of {b} is here. It has a size of {z} and that is all there is to say about it, more or less; the {n} is a {t} one. Nobody knows why it is so, and nobody has asked.")
+    code = F.array(F.struct(F.lit("csharp").alias("language"), F.concat(F.lit("var x = 1;\nvar y = "), k.cast("string"), F.lit(";\nreturn new Thing(" + "x, y, " * 30 + "x);")).alias("content")))
+    table = F.array(F.struct(F.array(F.lit("brand"), F.lit("size")).alias("headers"), F.array(F.array("p_brand", F.col("p_size").cast("string"))).alias("rows"), F.lit("Sizes").alias("caption")))
+    return part.select(
+        "p_partkey", F.lit(0).alias("pos"), F.lit("h").alias("id"), F.col("p_name").alias("title"), F.lit(1).alias("level"), F.lit("").alias("breadcrumb"), F.when(k % 8 == 4, _filled("a b c d e f g h i j k l {z}")).when(k % 4 < 2, text).otherwise(F.lit("")).alias("content"),
+        F.when(k % 4 == 1, code).otherwise(F.array().cast(f"array<{_BLOCK}>")).alias("code_blocks"), F.when(k % 4 == 2, table).otherwise(F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>")).alias("tables"),
+    )
+
+
+def hybrid_section_chunks(spark, sf):
+    return _chunk_rows(SC.chunk_sections(_hybrid_sections(_part(spark, sf)), "hybrid", "p_partkey", config=conf.ChunkConfig()), "p_partkey")
+
+
+QUERIES |= {f.__name__: f for f in (section_based_section_chunks, code_aware_section_chunks, section_chunk_quality, hierarchical_section_chunks, section_analysis, analysis_votes, hybrid_section_chunks)}
