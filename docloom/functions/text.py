@@ -127,6 +127,16 @@ def section_complexity(text_size: Column, code_blocks: Column, tables: Column, c
     return 0.3 * capped(text_size, 2000) + 0.25 * capped(code_blocks, 5) + 0.15 * capped(tables, 3) + 0.15 * capped(children, 10) + 0.15 * capped(shapes, 20)
 
 
+def size_flags(whole: Column, text: Column, code: Column, blocks: Column) -> Column:
+    """is_small, is_large, code_heavy and content_heavy of a section by its sizes and code blocks."""
+    return F.struct((whole <= 800).alias("is_small"), (whole > 2000).alias("is_large"), (code > 1.5 * text).alias("code_heavy"), ((text > 500) | (blocks > 2)).alias("content_heavy"))
+
+
+def distinct_languages(languages: Column) -> Column:
+    """Aggregate: the languages of a group, sorted."""
+    return F.array_sort(F.collect_set(languages))
+
+
 def size_score(size: Column) -> Column:
     return F.when(size < 200, 0.5).when(size < 500, 0.8).when(size <= 1200, 1.0).when(size <= 2000, 0.7).otherwise(0.3)
 
@@ -140,13 +150,22 @@ def completeness_score(content: Column) -> Column:
 
 
 def top_words(content: Column, k: int = 5) -> Column:
-    """The k commonest lower-cased words with their counts; ties: the one seen first."""
+    """The k commonest lower-cased words with their counts (negative); ties: the one seen first. Words are sorted once and counted by runs."""
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+
     def counted(words):
-        each = F.transform(F.array_distinct(words), lambda w, i: F.struct((F.size(F.array_remove(words, w)) - F.size(words)).alias("n"), i.alias("i"), w.alias("word")))
-        return F.slice(F.array_sort(each), 1, k)
+        word = lambda i: F.get(words, i)["word"]
+        new = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+
+        def runs(starts):
+            end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(words))
+            each = F.transform(starts, lambda s, j: F.struct((s - end(j)).alias("n"), F.get(words, s)["i"].alias("i"), word(s).alias("word")))
+            return F.slice(F.array_sort(each), 1, k)
+
+        return F.when(F.size(words) > 0, let(new, runs)).otherwise(F.array().cast("array<struct<n:int,i:int,word:string>>"))
 
-    # bound once: within a lambda it would be split anew for every word
-    return F.element_at(F.transform(F.array(F.regexp_extract_all(F.lower(content), F.lit(r"(?U)\S+"), F.lit(0))), counted), 1)
+    found = F.regexp_extract_all(F.lower(content), F.lit(r"(?U)\S+"), F.lit(0))
+    return let(F.array_sort(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("i")))), counted)
 
 
 def coherence_score(content: Column) -> Column:

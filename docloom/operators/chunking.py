@@ -6,6 +6,8 @@ Offsets count characters from 0 and ends are exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -134,13 +136,14 @@ def paragraphs(text: Column, splitter: str) -> Column:
 def joined_chunks(groups: Column, joiner: str, header: Column | None = None) -> Column:
     """Groups as structs of content, start and end; start runs over the chunks' lengths."""
     content = F.transform(groups, lambda g: F.concat(header, F.array_join(g, joiner)) if header is not None else F.array_join(g, joiner))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<content:string,start:int,end:int>>").alias("out"))
 
-    def step(state, c):
-        end = state["at"] + F.length(c)
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(c.alias("content"), state["at"].alias("start"), end.alias("end")))).alias("out"))
+    def placed(contents):
+        sizes = F.transform(contents, F.length)
+        ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(n + F.coalesce(F.get(out, F.size(out) - 1), F.lit(0)))))
+        cut = lambda e: F.transform(contents, lambda c, i: F.struct(c.alias("content"), (F.get(e, i) - F.length(c)).alias("start"), F.get(e, i).alias("end")))
+        return _let(ends, cut)
 
-    return F.aggregate(content, none, step, lambda s: s["out"])
+    return _let(content, placed)
 
 
 def span_chunks(text: Column, spans: Column, header: Column | None = None) -> Column:
@@ -171,21 +174,33 @@ def section_header(section_id: Column, title: Column) -> Column:
     return F.concat(F.lit("[Section "), section_id, F.lit(": "), title, F.lit("]\n\n"))
 
 
+_CHUNKS = "array<struct<content:string,start:int,end:int>>"
+
+
+def _sentence_based(text: Column, config: ChunkConfig, header: Column | None, mode: str) -> Column:
+    return joined_chunks(grouped(sentences(text, config, mode), config.max_size, 0, config.overlap), " ", header)
+
+
+def _paragraph_based(text: Column, config: ChunkConfig, header: Column | None, mode: str) -> Column:
+    return joined_chunks(grouped(paragraphs(text, config.paragraph), config.max_size, len(config.paragraph)), config.paragraph, header)
+
+
+#: Strategies by name: (text, config, header, mode) -> array of structs of content, start and end; a user's own go here too.
+STRATEGIES: dict[str, Callable[[Column, ChunkConfig, Column | None, str], Column]] = {
+    "fixed_size": lambda text, config, header, mode: span_chunks(text, fixed_spans(text, config), header),
+    "sentence_based": _sentence_based,
+    "paragraph_based": _paragraph_based,
+    "text": lambda text, config, header, mode: _let(normalised(text), lambda t: F.when(t.isNotNull(), span_chunks(t, text_spans(t, config), header))),
+    "advanced_text": lambda text, config, header, mode: joined_chunks(heading_groups(paragraphs(text, "\n\n"), config), "\n\n", header),
+}
+
+
 def chunk_array(text: Column, kind: str, config: ChunkConfig, header: Column | None = None, mode: str = "clean") -> Column:
     """chunks of text by the named strategy; empty for null or empty text."""
-    if kind == "fixed_size":
-        out = span_chunks(text, fixed_spans(text, config), header)
-    elif kind == "sentence_based":
-        out = joined_chunks(grouped(sentences(text, config, mode), config.max_size, 0, config.overlap), " ", header)
-    elif kind == "paragraph_based":
-        out = joined_chunks(grouped(paragraphs(text, config.paragraph), config.max_size, len(config.paragraph)), config.paragraph, header)
-    elif kind == "text":
-        out = _let(normalised(text), lambda t: F.when(t.isNotNull(), span_chunks(t, text_spans(t, config), header)))
-    elif kind == "advanced_text":
-        out = joined_chunks(heading_groups(paragraphs(text, "\n\n"), config), "\n\n", header)
-    else:
-        raise ValueError(f"no strategy {kind!r}; there are fixed_size, sentence_based, paragraph_based, text and advanced_text (for sections see docloom.operators.section_chunks)")
-    return F.when(F.length(text) > 0, F.coalesce(out, F.array().cast("array<struct<content:string,start:int,end:int>>"))).otherwise(F.array().cast("array<struct<content:string,start:int,end:int>>"))
+    if kind not in STRATEGIES:
+        raise ValueError(f"no strategy {kind!r}; there are {', '.join(STRATEGIES)} (for sections see docloom.operators.section_chunks)")
+    none = F.array().cast(_CHUNKS)
+    return F.when(F.length(text) > 0, F.coalesce(STRATEGIES[kind](text, config, header, mode), none)).otherwise(none)
 
 
 def chunk_documents(df: DataFrame, text: str = "text", kind: str = "paragraph_based", config: ChunkConfig = ChunkConfig(), header: Column | None = None, mode: str = "clean") -> DataFrame:
@@ -213,6 +228,3 @@ def with_overlaps(chunks: DataFrame, *keys: str) -> DataFrame:
     after = F.greatest(F.lit(0), F.col("end_char") - F.lead("start_char").over(order))
     return chunks.withColumn("overlap_previous", F.coalesce(before, F.lit(0))).withColumn("overlap_next", F.coalesce(after, F.lit(0)))
 
-
-#: Strategies by name, as chunk_array() has them; a user's own go here too.
-STRATEGIES = {k: k for k in ("fixed_size", "sentence_based", "paragraph_based", "text", "advanced_text")}

@@ -8,6 +8,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from docloom import conf, schemas
 from docloom.functions.markup import Element, parse
+from docloom.operators.lineage import cut
 
 _EXAMPLE = "section-example-container"
 
@@ -446,6 +449,11 @@ def with_parents(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("__parent", upper).join(known.withColumn("__known", F.lit(True)), [*keys, "__parent"], "left").withColumn("parent_id", F.when(F.col("__known"), F.col("__parent"))).drop("__parent", "__known")
 
 
+def last_before(df: DataFrame, value: Column, *keys: str, order: str = "pos") -> Column:
+    """Of each row, the last value that isn't null among the rows before it in its document (a section's breadcrumb, say)."""
+    return F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+
+
 def with_level_parents(df: DataFrame, *keys: str, order: str = "pos") -> DataFrame:
     """parent_id: the nearest earlier section of a smaller level (levels up to 9 looked up by windows; no self-join)."""
     before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -454,15 +462,24 @@ def with_level_parents(df: DataFrame, *keys: str, order: str = "pos") -> DataFra
     return df.withColumn("parent_id", F.array_max(shallower)["id"])
 
 
-def with_paths(df: DataFrame, *keys: str, depth: int = 8) -> DataFrame:
-    """path: titles from the root, joined by ' > '; parents are followed depth times."""
-    by_id = df.select(*keys, F.col("id").alias("__id"), F.col("title").alias("__title"), F.col("parent_id").alias("__next"))
-    out = df.withColumn("__parent", F.col("parent_id")).withColumn("__path", F.array(F.coalesce("title", F.lit(""))))
-    for _ in range(depth):
-        out = out.join(by_id, [*[out[k].eqNullSafe(by_id[k]) for k in keys], out["__parent"] == by_id["__id"]], "left").select(
-            *[out[c] for c in out.columns if c not in ("__path", "__parent")], F.col("__next").alias("__parent"), F.when(F.col("__id").isNotNull(), F.concat(F.array(F.coalesce("__title", F.lit(""))), "__path")).otherwise(F.col("__path")).alias("__path")
-        )
-    return out.withColumn("path", F.array_join("__path", " > ")).drop("__path", "__parent")
+def with_paths(df: DataFrame, *keys: str) -> DataFrame:
+    """path: titles from the root, joined by ' > ', whatever the depth.
+
+    Each round doubles how far every section has followed its parents, so there are as many as the logarithm of the depth; a parent that
+    isn't there, or that has been met already, ends a path. Of sections of one id the least by title counts as a parent.
+    """
+    own = df.where("id is not null").groupBy(*keys, "id").agg(F.min(F.struct("title", "parent_id")).alias("s"))
+    state = cut(own.select(*keys, "id", F.col("s.parent_id").alias("next"), F.array("id").alias("ids"), F.array(F.coalesce("s.title", F.lit(""))).alias("titles")))
+    while True:
+        up = state.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("id").alias("__id"), F.col("next").alias("__next"), F.col("ids").alias("__ids"), F.col("titles").alias("__titles"))
+        both = state.join(up, reduce(and_, [*[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("next") == F.col("__id")]), "left")
+        more = F.col("__id").isNotNull() & ~F.arrays_overlap("ids", F.coalesce("__ids", F.array().cast("array<string>")))
+        joined = lambda x: F.when(more, F.concat(f"__{x}", x)).otherwise(F.col(x)).alias(x)
+        state = cut(both.select(*keys, "id", F.when(more, F.col("__next")).alias("next"), joined("ids"), joined("titles")))
+        if not state.where("next is not null").limit(1).count():
+            break
+    paths = state.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("id").alias("__id"), F.array_join("titles", " > ").alias("path"))
+    return df.join(paths, reduce(and_, [*[df[k].eqNullSafe(paths[f"__{k}"]) for k in keys], df["id"] == paths["__id"]]), "left").select(*[df[c] for c in df.columns], F.coalesce("path", "title").alias("path"))
 
 
 def with_children(df: DataFrame, *keys: str) -> DataFrame:
@@ -477,13 +494,18 @@ def siblings(df: DataFrame, *keys: str) -> DataFrame:
     return a.join(b, [*keys, "parent_id"]).where("id <> sibling")
 
 
-def descendants(df: DataFrame, *keys: str, depth: int = 8) -> DataFrame:
-    """(ancestor, id, distance)."""
-    edges = df.where("parent_id is not null").select(*keys, F.col("parent_id").alias("ancestor"), "id")
+def descendants(df: DataFrame, *keys: str, depth: int | None = None) -> DataFrame:
+    """(ancestor, id, distance), down to depth levels, by default to the leaves; a section that is its own ancestor goes no further."""
+    edges = cut(df.where("parent_id is not null").select(*keys, F.col("parent_id").alias("ancestor"), "id"))
     out = step = edges.withColumn("distance", F.lit(1))
-    up = edges.select(*keys, F.col("id").alias("__via"), F.col("ancestor").alias("__above"))
-    for n in range(2, depth + 1):
-        step = step.join(up, [*[step[k].eqNullSafe(up[k]) for k in keys], step["ancestor"] == up["__via"]]).select(*[step[k] for k in keys], F.col("__above").alias("ancestor"), step["id"], F.lit(n).alias("distance"))
+    up = edges.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("id").alias("__via"), F.col("ancestor").alias("__above"))
+    n = 1
+    while depth is None or n < depth:
+        n += 1
+        on = reduce(and_, [*[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("ancestor") == F.col("__via")])
+        step = cut(step.where("ancestor != id").join(up, on).select(*keys, F.col("__above").alias("ancestor"), "id", F.lit(n).alias("distance")))
+        if not step.limit(1).count():
+            break
         out = out.unionByName(step)
     return out
 

@@ -69,14 +69,24 @@ def with_value(counts: DataFrame) -> DataFrame:
     return counts.withColumn("high_value", E.high_value(F.col("pattern_id"), F.col("frequency"))).withColumn("tier", E.tier(F.col("pattern_id"), F.col("frequency")))
 
 
+def _digest(seed: int, keys: tuple[str, ...]) -> Column:
+    """A row's digest by keys, the same in every run and in every engine."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+
+
 def hash_sample(df: DataFrame, ratio: float, *keys: str, seed: int = 0) -> DataFrame:
-    """Rows by hash of keys: the same in every run, and of a larger ratio a superset."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < int(ratio * 1_000_000))
+    """Rows by digest of keys: the same in every run, and of a larger ratio a superset."""
+    return df.where(F.conv(F.substring(_digest(seed, keys), 1, 7), 16, 10).cast("bigint") < int(ratio * (1 << 28)))
 
 
 def reservoir(df: DataFrame, k: int, *keys: str, seed: int = 0) -> DataFrame:
     """A uniform sample of k rows, the same in every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(k)
+    return df.orderBy(_digest(seed, keys), *keys).limit(k)
+
+
+def sampling_ratio(sampled: DataFrame, processed: DataFrame) -> DataFrame:
+    """Rows sampled over rows processed, null where there are none, in one row."""
+    return sampled.agg(F.count("*").alias("n_sampled")).crossJoin(processed.agg(F.count("*").alias("n_processed"))).withColumn("ratio", F.try_divide("n_sampled", "n_processed"))
 
 
 def hybrid_scan(rows: DataFrame, valuable: DataFrame, sampled: DataFrame, ratio: float) -> DataFrame:

@@ -39,6 +39,12 @@ def decision_breakdown(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy(F.coalesce(F.nullif(F.trim("human_decision"), F.lit("")), F.lit("empty")).alias("decision")).agg(F.count("*").alias("n"))
 
 
+def decision_statistics(decisions: DataFrame) -> DataFrame:
+    """One row: rows, files (versions), the latest version, and rows that are decided."""
+    decided = F.length(F.trim(F.coalesce("human_decision", F.lit("")))) > 0
+    return decisions.agg(F.count("*").alias("n_rows"), F.count_distinct("version").alias("n_files"), F.max("version").alias("latest_version"), F.count_if(decided).alias("n_decided"))
+
+
 def compile_rules(decisions: DataFrame) -> DataFrame:
     """Rules of decided patterns: undecided and skip go to skip_content, with the media rules if there is any; id patterns go nowhere.
 

@@ -19,8 +19,10 @@ from docloom.operators import placeholders as PH
 from docloom.operators import retrieval as R
 from docloom.operators import review as V
 from docloom.operators import section_chunks as SC
+from docloom.operators.lineage import scratch
 from docloom.plans import documentation, documentation_sql, oracles
 from docloom.sources import files, html as S
+from docloom.sources.tables import read_table
 from docloom.sources import sinks as K
 
 __all__ = ["entry_query", "oracle_sql", "queries"]
@@ -47,7 +49,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 # --- sources ---
@@ -124,19 +126,25 @@ def id_patterns(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", T.generalise_id(made).alias("id_pattern"))
 
 
-def _sampled(spark, sf):
-    return _counts(spark, sf, F.col("page_id") % 10 == 0)
+def _sampled_rows(spark, sf):
+    return P.pattern_rows(P.hash_sample(_tags(spark, sf), RATIO, "page_id"), tags=True)
 
 
 @_query
 def hash_sample_scan(spark, sf):
-    return _sampled(spark, sf).select("pattern_id", E.scaled(F.col("frequency"), RATIO).alias("frequency"))
+    return P.pattern_counts(_sampled_rows(spark, sf)).select("pattern_id", E.scaled(F.col("frequency"), RATIO).alias("frequency"))
+
+
+@_query
+def reservoir_sample(spark, sf):
+    return P.reservoir(_tags(spark, sf), 50, "page_id", "pos").select("page_id", "pos", "tag")
 
 
 def _found(spark, sf):
     """Valuable patterns in full, the rest from the sample; those of two letters stay unknown, so that something is missing."""
-    full = P.with_value(_counts(spark, sf)).where("high_value and pattern_id rlike '[^_]{3,}$'")
-    return P.combine_scans(full, _sampled(spark, sf).where("not pattern_id rlike '_..$'"), RATIO)
+    rows = P.pattern_rows(_tags(spark, sf), tags=True)
+    valuable = P.with_value(P.pattern_counts(rows)).where("high_value and pattern_id rlike '[^_]{3,}$'")
+    return P.hybrid_scan(rows, valuable, _sampled_rows(spark, sf).where("not pattern_id rlike '_..$'"), RATIO)
 
 
 @_query
@@ -217,6 +225,46 @@ def rules_compiled(spark, sf):
     return V.compile_rules(files.latest_decisions(_decisions(spark, sf))).select("content_type", "selector_type", "selector_value", "rule_ord", "type_ord")
 
 
+@_query
+def rules_grouped(spark, sf):
+    made = V.rules_by_type(V.compile_rules(files.latest_decisions(_decisions(spark, sf))))
+    return made.select("type_ord", "content_type", F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["selector_type"], r["selector_value"])), ",").alias("rules"))
+
+
+@_query
+def rules_round_trip(spark, sf):
+    """Compiled rules as a YAML document, read again."""
+    import os
+    import tempfile
+
+    rules = V.compile_rules(files.latest_decisions(_decisions(spark, sf)))
+    with tempfile.TemporaryDirectory() as folder:  # the driver writes and reads it, within this call
+        path = os.path.join(folder, "rules.yaml")
+        with open(path, "w", encoding="utf-8") as file:
+            file.write(K.rules_document(rules))
+        return files.rules_frame(spark, files.read_rules(path))
+
+
+@_query
+def decision_statistics(spark, sf):
+    return V.decision_statistics(_decisions(spark, sf))
+
+
+@_query
+def review_first_ten(spark, sf):
+    """In the order of review."""
+    old = _scored(spark, sf, F.col("page_id") % 2 == 0).where("length(selector_value) > 1").withColumns({"human_decision": F.lit("skip"), "notes": F.lit("seen")})
+    return V.review_order(V.merge_review(_scored(spark, sf), old)).limit(10).select("pattern_id", "priority")
+
+
+@_query
+def review_round_trip(spark, sf):
+    """The review file of all candidates, written and read as decisions."""
+    new = _scored(spark, sf)
+    path = K.write_review(V.merge_review(new, new.where("false").withColumns({"human_decision": F.lit(""), "notes": F.lit("")})), scratch(spark, "review"))
+    return files.read_decisions(spark, path).select("pattern_id", "selector_type", "selector_value", "frequency", "evidence_score", "suggested_type", "human_decision", "version")
+
+
 @_query
 def classify_elements(spark, sf):
     rows = _tags(spark, sf).select("page_id", "pos", "tag", P.classes_of(F.col("attributes")).alias("classes"), F.create_map(F.lit("href"), F.lit("")).alias("attrs"))
@@ -250,7 +298,7 @@ def section_hierarchy(spark, sf):
 
 @_query
 def section_paths(spark, sf):
-    return H.with_paths(_tree(spark, sf), depth=2).select("id", "path")
+    return H.with_paths(_tree(spark, sf)).select("id", "path")
 
 
 @_query
@@ -270,7 +318,7 @@ def section_siblings(spark, sf):
 
 @_query
 def section_descendants(spark, sf):
-    return H.descendants(_tree(spark, sf), depth=3).groupBy("ancestor").agg(F.count("*").alias("n"), F.max("distance").alias("deepest"))
+    return H.descendants(_tree(spark, sf)).groupBy("ancestor").agg(F.count("*").alias("n"), F.max("distance").alias("deepest"))
 
 
 @_query
@@ -280,7 +328,8 @@ def sections_by_level(spark, sf):
 
 @_query
 def ordered_ids(spark, sf):
-    return _tree(spark, sf).select("id", F.row_number().over(W.orderBy(H.id_order(F.col("id")), "id")).alias("place"))
+    key = H.id_order(F.col("id"))
+    return _tree(spark, sf).orderBy(key, "id").select("id", F.array_join(key.cast("array<string>"), "/").alias("sort_key"))
 
 
 @_query
@@ -292,8 +341,8 @@ def level_hierarchy(spark, sf):
 @_query
 def breadcrumb_asof(spark, sf):
     """The last long document before each, in its source."""
-    before = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    return _t(spark, sf, "documents").select("doc_id", F.coalesce(F.last(F.when(F.col("n_chars") > 3000, F.col("doc_id")), ignorenulls=True).over(before), F.lit(-1)).alias("crumb"))
+    crumb = H.last_before(_t(spark, sf, "documents"), F.when(F.col("n_chars") > 3000, F.col("doc_id")), "source", order="doc_id")
+    return _t(spark, sf, "documents").select("doc_id", F.coalesce(crumb, F.lit(-1)).alias("crumb"))
 
 
 # --- chunking ---
@@ -357,6 +406,21 @@ def chunk_coherence(spark, sf):
     return _paragraphs(spark, sf).select("doc_id", "chunk_index", F.round(T.coherence_score(F.col("content")), 6).alias("score"))
 
 
+@_query
+def chunk_quality(spark, sf):
+    """Mean quality of each document's paragraph chunks."""
+    made = _paragraphs(spark, sf, "lang", "source").select("doc_id", T.chunk_quality(F.col("content"), F.col("lang"), F.col("source"), F.lit("text")).alias("quality"))
+    return made.groupBy("doc_id").agg(F.round(F.avg("quality"), 6).alias("quality"))
+
+
+@_query
+def chunks_round_trip(spark, sf):
+    """Chunks written by language and read again."""
+    path = scratch(spark, "chunks")
+    K.write_chunks(_paragraphs(spark, sf, "lang"), path, "lang")
+    return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n_chunks"), F.sum("char_count").alias("chars"))
+
+
 @_query
 def chunk_context(spark, sf):
     made = _paragraphs(spark, sf, "lang", "source").select("doc_id", "chunk_index", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("path"), F.when(F.col("doc_id") % 3 == 0, "text").otherwise("mixed").alias("kind"))
@@ -388,13 +452,19 @@ def code_titles(spark, sf):
     return names.select("doc_id", T.normalise_language(F.col("name")).alias("language"), T.code_title(T.normalise_language(F.col("name"))).alias("title"))
 
 
+def _once(df: DataFrame, *names: str) -> DataFrame:
+    """df with names worked out once a row: as fields of one element of an array, they aren't put into the expressions that use them."""
+    made = df.withColumn("__once", F.explode(F.array(F.struct(*names))))
+    return made.select(*[c for c in df.columns if c not in names], *[F.col(f"__once.{n}").alias(n) for n in names])
+
+
 def _typed(spark, sf):
     """Documents as sections: a third of them with code of a tenth to half their size."""
     docs = _t(spark, sf, "documents").select("doc_id", "text", (1 + F.col("doc_id") % 4).cast("int").alias("level"), (F.col("doc_id") % 6 / 10.0).alias("code_ratio"), (F.col("doc_id") % 5 / 10.0).alias("table_ratio"), F.col("n_chars"))
-    density = T.technical_density(F.col("text"))
-    docs = docs.withColumn("content_type", T.content_type(1 - F.col("code_ratio"), F.col("code_ratio"), F.col("table_ratio"), F.col("level"), density))
-    complexity = T.structure_complexity(F.col("level"), (F.col("code_ratio") * 10).cast("int"), F.lit(0), F.col("text"))
-    return docs.withColumn("complexity", complexity).withColumn("strategy", T.strategy(F.col("content_type"))).withColumn("confidence", T.confidence(F.col("content_type"), complexity, F.col("code_ratio"), F.col("n_chars")))
+    docs = docs.withColumn("density", T.technical_density(F.col("text")))
+    docs = _once(docs.withColumn("complexity", T.structure_complexity(F.col("level"), (F.col("code_ratio") * 10).cast("int"), F.lit(0), F.col("text"))), "density", "complexity")
+    docs = docs.withColumn("content_type", T.content_type(1 - F.col("code_ratio"), F.col("code_ratio"), F.col("table_ratio"), F.col("level"), F.col("density")))
+    return docs.withColumn("strategy", T.strategy(F.col("content_type"))).withColumn("confidence", T.confidence(F.col("content_type"), F.col("complexity"), F.col("code_ratio"), F.col("n_chars")))
 
 
 @_query
@@ -404,16 +474,15 @@ def content_type(spark, sf):
 
 @_query
 def strategy_vote(spark, sf):
-    votes = _typed(spark, sf).groupBy("strategy").agg(F.count("*").alias("votes"), F.round(F.count("*") * F.avg("confidence"), 4).alias("weight"))
-    return votes.select("strategy", "votes", "weight")
+    return SC.strategy_votes(_typed(spark, sf)).select("strategy", "votes", F.round("weight", 4).alias("weight"))
 
 
 @_query
 def section_complexity(spark, sf):
     docs = _t(spark, sf, "documents")
     score = T.section_complexity(F.col("n_chars"), F.col("doc_id") % 7, F.col("doc_id") % 4, F.col("doc_id") % 12, F.col("text"))
-    small, large = F.col("n_chars") <= 800, F.col("n_chars") > 2000
-    return docs.select("doc_id", F.round(score, 6).alias("score"), small.alias("is_small"), large.alias("is_large"))
+    flags = T.size_flags(F.col("n_chars") + F.col("doc_id") % 3 * 700, F.col("n_chars"), F.col("doc_id") % 3 * 700, F.col("doc_id") % 5)
+    return docs.select("doc_id", F.round(score, 6).alias("score"), flags.alias("f")).select("doc_id", "score", "f.*")
 
 
 @_query
@@ -520,7 +589,7 @@ def fresh_answers(spark, sf):
 @_query
 def sampling_ratio(spark, sf):
     tags = _tags(spark, sf)
-    return tags.agg(F.round(F.try_divide(F.count_if(F.col("page_id") % 10 == 0), F.count("*")), 6).alias("ratio"))
+    return P.sampling_ratio(P.hash_sample(tags, RATIO, "page_id"), tags).select("n_sampled", "n_processed", F.round("ratio", 6).alias("ratio"))
 
 
 @_query
@@ -541,8 +610,7 @@ def class_tags(spark, sf):
 
 @_query
 def languages_of_sources(spark, sf):
-    docs = _t(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
-    return docs
+    return _t(spark, sf, "documents").groupBy("source").agg(F.array_join(T.distinct_languages(F.col("lang")), ",").alias("languages"))
 
 
 @_query

@@ -10,7 +10,11 @@ from docloom.functions import text as T
 from docloom.operators import html as H
 from docloom.operators import patterns as P
 from docloom.operators import section_chunks as SC
+from docloom.operators.lineage import cut, scratch
+from docloom.sources import files
+from docloom.sources import html as S
 from docloom.sources import sinks as K
+from docloom.sources.tables import read_table
 
 ENDS = conf.ChunkConfig(max_size=1000, min_size=100, overlap=200, header=False)
 _NAMES = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
@@ -84,7 +88,7 @@ def nested_pages(part: DataFrame) -> DataFrame:
 
 
 def _part(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/part.parquet")
+    return read_table(spark, f"{sf}/part.parquet")
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +154,7 @@ def point_lookup(spark, sf):
 
 def tree_to_depth(spark, sf):
     """Roots and two levels below."""
-    return H.tree(H.with_parents(_sections(spark, sf), "p_partkey"), "p_partkey", depth=1).select("p_partkey", "id", "depth", "parent_id")
+    return H.tree(cut(H.with_parents(cut(_sections(spark, sf)), "p_partkey")), "p_partkey", depth=1).select("p_partkey", "id", "depth", "parent_id")
 
 
 def contents_joined(spark, sf):
@@ -171,7 +175,7 @@ def config_of_sections(spark, sf):
 
 
 def rag_rows_v1(spark, sf):
-    found = H.with_paths(H.with_parents(_sections(spark, sf), "p_partkey"), "p_partkey")
+    found = H.with_paths(cut(H.with_parents(cut(_sections(spark, sf)), "p_partkey")), "p_partkey")
     out = K.rag_rows_v1(found, "p_partkey")
     return out.select("p_partkey", "id", "path", "has_code", "has_tables", F.array_join("code_languages", ",").alias("languages"), F.array_join(F.array_sort(F.map_keys("code")), ",").alias("code_keys"), F.element_at("table", F.lit("table_0")).alias("table_0"), "parent_id")
 
@@ -181,11 +185,37 @@ def section_statistics(spark, sf):
     return out.select("p_partkey", "total_sections", "total_code_blocks", "total_tables", "total_mixed_elements", F.array_join("languages", ",").alias("languages"))
 
 
+def parsed_round_trip(spark, sf):
+    """Sections as JSON files, a document a row, read again; content is derived from the mixed elements."""
+    found = H.with_parents(_sections(spark, sf), "p_partkey").withColumn("doc_index", F.lit(0))
+    path = scratch(spark, "parsed")
+    K.write_json(K.parsed_files(found, "p_partkey"), path)
+    back = files.read_parsed(spark, path, lines=True)
+    return back.select(F.col("source_file").cast("bigint").alias("p_partkey"), "pos", "id", "title", "level", "breadcrumb", "parent_id", "content", F.size("code_blocks").alias("n_code"), F.size("tables").alias("n_tables"))
+
+
+def parsed_statistics(spark, sf):
+    found = H.with_parents(_sections(spark, sf), "p_partkey").withColumn("doc_index", F.lit(0))
+    out = K.parsed_files(found, "p_partkey").select(F.col("source_file").cast("bigint").alias("p_partkey"), F.size("sections").alias("n_sections"), "statistics.*")
+    return out.withColumn("languages", F.array_join("languages", ","))
+
+
+def html_files(spark, sf):
+    """Pages of some parts as files of two directories, one file a part, scanned by glob and recursion."""
+    path = scratch(spark, "html")
+    made = pages(_part(spark, sf).where("p_partkey < 24")).withColumn("k", F.col("p_partkey"))
+    made.select(F.col("p_partkey") % 2, F.col("k"), "html").toDF("half", "k", "html").repartition(4, "k").write.partitionBy("half", "k").text(path)
+    (spark.range(1).selectExpr("'no page' value").coalesce(1).write.mode("append").text(f"{path}/half=0"))
+    found = S.read_html(spark, f"{path}/half=*", "*.txt", recursive=True).where("html like '<!DOCTYPE%'")
+    return found.select(F.regexp_extract("source_file", r"/k=(\d+)/", 1).cast("bigint").alias("p_partkey"), F.md5(F.regexp_replace("html", r"\n$", "").cast("binary")).alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_contents, page_sections, heading_titles, doc_elements, nested_body_elements, nested_body_sections, doc_code, doc_tables, class_depth_stats, nodes_within, sections_with_language,
         point_lookup, tree_to_depth, contents_joined, api_texts, config_of_sections, rag_rows_v1, section_statistics,
+        parsed_round_trip, parsed_statistics, html_files,
     )
 }
 
@@ -225,7 +255,7 @@ def code_sections(docs: DataFrame) -> DataFrame:
 
 
 def _documents(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return read_table(spark, f"{sf}/documents.parquet")
 
 
 def _chunk_rows(made: DataFrame, key: str) -> DataFrame:

@@ -85,6 +85,10 @@ def oracle_sql() -> dict[str, str]:
     parent = lambda i: f"'{i.rpartition('.')[0]}'" if "." in i else "null::varchar"
     depths = " union all ".join(f"select '{c}' as class, {round(sum(d) / len(d), 6)}::double avg_depth, {min(d)} min_depth, {max(d)} max_depth, {len(d)} * count(*) n from part" for c, d in _DEPTHS.items())
     markdown = "**Prices {k}**\n\n| Brand | Price |\n| --- | --- |\n| {b} | {z} |\n| all | {k} |"
+    from docloom.plans import documentation as d
+
+    derived = lambda i: " ".join(f"[{title}]" if kind == "code" else content for own, _, kind, content, _, _, title, _ in sorted(_ELEMENTS, key=lambda e: e[:2]) if own == i and kind in ("code", "text"))
+    page = f"{_said(d._HEAD + d._PRICE + d._CODE + d._API)} || case when p_partkey % 3 = 0 then {_said(d._EMPTY)} else '' end || '</body></html>'"
     has = lambda i: "true" if i == "1.2" else "false"
     return {
         "doc_contents": _rows("id title level href full_text", *((f"'{i}'", _said(t), lv, f"'{i}'", _said(f"{i} {t}")) for i, t, lv in _CONTENTS)),
@@ -113,6 +117,9 @@ def oracle_sql() -> dict[str, str]:
             "id path has_code has_tables languages code_keys table_0 parent_id",
             *((f"'{i}'", _said(_PATHS[i]), has(i), "true" if i == "1.1" else "false", "'cli,csharp,python'" if i == "1.2" else "''", "'code_block_0,code_block_1,code_block_2,code_block_3'" if i == "1.2" else "''", _said(markdown) if i == "1.1" else "null::varchar", parent(i)) for _, i, *_ in _SECTIONS),
         ),
+        "parsed_round_trip": _rows("pos id title level breadcrumb parent_id content n_code n_tables", *((n, f"'{i}'", _said(t), lv, _said(b), parent(i), _said(derived(i)), 4 if i == "1.2" else 0, 2 if i == "1.1" else 0) for n, i, t, lv, b, _ in _SECTIONS)),
+        "parsed_statistics": f"select p_partkey, 4 n_sections, 4 total_sections, 4 total_code_blocks, 2 total_tables, {len(_ELEMENTS)} total_mixed_elements, 'cli,csharp,python' languages from part",
+        "html_files": f"select p_partkey, md5({page}) digest from part where p_partkey < 24",
         "section_statistics": f"select p_partkey, 4 total_sections, 4 total_code_blocks, 2 total_tables, {len(_ELEMENTS)} total_mixed_elements, 'cli,csharp,python' languages from part",
     }
 
@@ -167,17 +174,6 @@ def _section_parts() -> tuple[str, list[str]]:
     ]
 
 
-def _quality() -> str:
-    """Mean quality of chunks made(doc_id, section_id, ord, chunk_type, content), whose title and path are given."""
-    return r"""own as materialized (select row_number() over () no, doc_id, content, chunk_type, length(content) n from made), words as (select no, unnest(regexp_extract_all(lower(content), '\S+')) word, generate_subscripts(regexp_extract_all(lower(content), '\S+'), 1) i from own),
-        counted as (select no, word, count(*) k, min(i) i from words group by all), whole as (select no, count(*) w from words group by all), top5 as (select * from counted qualify row_number() over (partition by no order by k desc, i) <= 5),
-        together as (select no, case when w < 10 then 0.6 else least(1.0, 5 * sum(case when length(word) > 3 and k > 1 then least(0.2, k / w) else 0 end)) end coherence from top5 join whole using (no) group by no, w)
-        select doc_id, round(avg((case when n < 200 then 0.5 when n < 500 then 0.8 when n <= 1200 then 1.0 when n <= 2000 then 0.7 else 0.3 end
-            + (case when not regexp_matches(content, '[.!?]') then 0.5 when regexp_matches(content, '(?:[.!?]|```)\s*$') then 1.0 else 0.7 end
-              + case when regexp_matches(content, '```[^`]*$') then 0.3 when regexp_matches(content, '(?s)```.*?```') then 1.0 else 0.8 end) / 2
-            + coherence + (2 + case when chunk_type = 'text' then 0.8 else 1.0 end) / 3) / 4), 6)::double quality from own join together using (no) group by doc_id"""
-
-
 def _code_parts() -> list[str]:
     """Chunks of documents whose heads surround code, by doc_id % 5; functions of 53 characters, classes of 30, script lines of 21, fenced blocks of 136."""
     print_ = _fence("python", "'print(1)'", _NN)
@@ -280,6 +276,8 @@ def _analysed() -> str:
 
 
 def chunk_sql() -> dict[str, str]:
+    from docloom.plans.oracles import _quality
+
     before, parts = _section_parts()
     rows = _chunk_rows("doc_id", parts)
     numbers = ", ".join(f"round({c}, 6) {c}" for c in ("text_ratio", "code_ratio", "table_ratio", "complexity", "readability", "density", "confidence"))

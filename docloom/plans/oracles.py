@@ -28,10 +28,11 @@ def _count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
 
 
+_SAMPLED = f"('0x' || substr(md5('0/' || page_id), 1, 7))::bigint < {int(0.1 * (1 << 28))}"
 _HIGH = f"(frequency >= 10 or {_any('lower(pattern_id)', conf.HIGH_VALUE.split())} or starts_with(pattern_id, 'attr_data-'))"
 _TIER = f"case when {_HIGH} then 'high' when frequency >= 3 then 'medium' else 'low' end"
 _FOUND = f"""{_PATTERNS}, valuable as (select pattern_id, frequency from counts where {_HIGH} and regexp_matches(pattern_id, '[^_]{{3,}}$')),
-sampled as (select pattern_id, count(*) frequency from rows_ where page_id % 10 = 0 and not regexp_matches(pattern_id, '_..$') group by all),
+sampled as (select pattern_id, count(*) frequency from rows_ where {_SAMPLED} and not regexp_matches(pattern_id, '_..$') group by all),
 found as materialized (select * from valuable union all select pattern_id, cast(trunc(frequency / 0.1) as bigint) from sampled where pattern_id not in (select pattern_id from valuable)),
 both_ as materialized (select c.pattern_id, c.frequency, f.frequency found, {_TIER.replace("frequency", "c.frequency").replace("pattern_id", "c.pattern_id")} tier from counts c left join found f on c.pattern_id = f.pattern_id)"""
 
@@ -134,6 +135,17 @@ _TYPED = f"""typed as materialized (select *, case content_type {_STRATEGY} end
 _TABLE = """lines as (select l_orderkey, list(case when l_linenumber % 2 = 0 then [l_partkey::varchar, l_returnflag] else [l_partkey::varchar, l_returnflag, l_linestatus, 'x'] end order by l_linenumber, l_partkey::varchar, l_returnflag, l_linestatus) rows_, case when l_orderkey % 20 = 0 then 'Order ' || l_orderkey end caption from lineitem where l_orderkey % 10 = 0 group by l_orderkey)"""
 
 
+def _quality() -> str:
+    """Mean quality of chunks made(doc_id, content, chunk_type), whose title and path are given, by document."""
+    return r"""own as materialized (select row_number() over () no, doc_id, content, chunk_type, length(content) n from made), words as (select no, unnest(regexp_extract_all(lower(content), '\S+')) word, generate_subscripts(regexp_extract_all(lower(content), '\S+'), 1) i from own),
+        counted as (select no, word, count(*) k, min(i) i from words group by all), whole as (select no, count(*) w from words group by all), top5 as (select * from counted qualify row_number() over (partition by no order by k desc, i) <= 5),
+        together as (select no, case when w < 10 then 0.6 else least(1.0, 5 * sum(case when length(word) > 3 and k > 1 then least(0.2, k / w) else 0 end)) end coherence from top5 join whole using (no) group by no, w)
+        select doc_id, round(avg((case when n < 200 then 0.5 when n < 500 then 0.8 when n <= 1200 then 1.0 when n <= 2000 then 0.7 else 0.3 end
+            + (case when not regexp_matches(content, '[.!?]') then 0.5 when regexp_matches(content, '(?:[.!?]|```)\s*$') then 1.0 else 0.7 end
+              + case when regexp_matches(content, '```[^`]*$') then 0.3 when regexp_matches(content, '(?s)```.*?```') then 1.0 else 0.8 end) / 2
+            + coherence + (2 + case when chunk_type = 'text' then 0.8 else 1.0 end) / 3) / 4), 6)::double quality from own join together using (no) group by doc_id"""
+
+
 def _rules() -> list[tuple[int, int, str, str, str]]:
     rules = default_rules() | {"navigation_content": [{"tag": "nav"}, {"class": "ad"}]}
     order = sorted(rules, key=lambda t: t != "skip_content")
@@ -158,6 +170,12 @@ def oracle_sql() -> dict[str, str]:
     topk = lambda most, k, where: f"""with v as (select vec_id, label, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings),
         s as (select b.vec_id query_id, a.vec_id, {cosine} similarity from v a join v b on a.i = b.i where b.vec_id < {most} and {where} group by all)
         select query_id, vec_id, row_number() over (partition by query_id order by similarity desc, vec_id) as rank, round(similarity, 5) similarity from s qualify rank <= {k}"""
+    merged = f"""new_ as materialized (with {_scored()} select * from scored), old_ as materialized (with {_scored("page_id % 2 = 0")} select * from scored where length(selector_value) > 1),
+            m as (select n.pattern_id, n.frequency, n.evidence, o.pattern_id is null fresh, abs(n.frequency - o.frequency) / o.frequency > 0.5 by_freq, abs(n.evidence - o.evidence) > 0.2 by_evidence, o.frequency old_f, o.evidence old_e from new_ n left join old_ o on n.selector_value = o.selector_value)"""
+    compiled = f"""{_LATEST}, own as (select case when human_decision = '' then 'skip_content' else human_decision end content_type, selector_type, selector_value, pattern_id by_ from latest),
+            every as materialized (select * from own union all select 'skip_content', t, v, chr(65535) from (values {media}) m(t, v) where exists (select 1 from own where content_type = 'skip_content')),
+            types as (select content_type, row_number() over (order by content_type <> 'skip_content', min(by_), content_type) - 1 type_ord from every group by content_type),
+            compiled as materialized (select content_type, selector_type, selector_value, row_number() over (partition by content_type order by by_, selector_type, selector_value) - 1 rule_ord, type_ord from every join types using (content_type))"""
     return {
         "doc_count_per_page": f"select page_id, len(regexp_extract_all(html, '{doctype}')) n_docs from pages",
         "flatten_multi_html": f"select page_id, md5(f) digest, length(f) n_chars from (select page_id, {flat} f from pages)",
@@ -170,7 +188,8 @@ def oracle_sql() -> dict[str, str]:
         "pattern_tiers": f"with {_PATTERNS} select pattern_id, frequency, {_TIER} tier from counts",
         "high_value_patterns": f"with {_PATTERNS} select pattern_id, frequency from counts where {_HIGH}",
         "id_patterns": "select o_orderkey, regexp_replace(regexp_replace('sec' || o_orderkey || '-' || substr(md5(o_orderkey::varchar), 1, 12), '\\d+', 'N', 'g'), '[0-9a-f]{8,}', 'HASH', 'g') id_pattern from orders",
-        "hash_sample_scan": f"with {_PATTERNS} select pattern_id, cast(trunc(count(*) / 0.1) as bigint) frequency from rows_ where page_id % 10 = 0 group by all",
+        "hash_sample_scan": f"with {_PATTERNS} select pattern_id, cast(trunc(count(*) / 0.1) as bigint) frequency from rows_ where {_SAMPLED} group by all",
+        "reservoir_sample": f"with {_TAGS} select page_id, pos - 1 pos, tag from tags order by md5('0/' || page_id || '/' || (pos - 1)), page_id, pos limit 50",
         "combine_scans": f"with {_FOUND} select pattern_id, frequency from found",
         "coverage_overall": f"with {_FOUND} select round(sum(coalesce(found, 0)) / sum(frequency), 6) overall_coverage, count(*) n_baseline, count(found) n_found from both_",
         "coverage_by_tier": f"with {_FOUND} select " + ", ".join(f"round({coverage(t)}, 6) {t}_coverage" for t in ("high", "medium", "low")) + " from both_",
@@ -179,16 +198,19 @@ def oracle_sql() -> dict[str, str]:
         "evidence_scores": f"with {_scored()} select pattern_id, selector_type, selector_value, frequency, round(evidence, 6) evidence_score from scored",
         "suggested_types": f"with {_scored()} select pattern_id, suggested suggested_type from scored",
         "top_candidates": f"with {_scored()} select pattern_id, round(evidence, 6) evidence_score from scored where frequency >= 3 order by evidence desc, pattern_id limit 8",
-        "review_merge": f"""with new_ as materialized (with {_scored()} select * from scored), old_ as materialized (with {_scored("page_id % 2 = 0")} select * from scored where length(selector_value) > 1),
-            m as (select n.pattern_id, n.frequency, n.evidence, o.pattern_id is null fresh, abs(n.frequency - o.frequency) / o.frequency > 0.5 by_freq, abs(n.evidence - o.evidence) > 0.2 by_evidence, o.frequency old_f, o.evidence old_e from new_ n left join old_ o on n.selector_value = o.selector_value)
+        "review_merge": f"""with {merged}
             select pattern_id, frequency, case when fresh then 1 when by_freq or by_evidence then 2 else 3 end as priority, case when fresh or by_freq or by_evidence then '' else 'skip' end human_decision,
             case when fresh then '' when by_freq or by_evidence then '⚠️ CHANGED: ' || concat_ws(', ', case when by_freq then 'freq ' || old_f || '→' || frequency end, case when by_evidence then 'evidence ' || printf('%.2f', old_e) || '→' || printf('%.2f', evidence) end) else 'seen' end notes, round(evidence, 6) evidence_score from m""",
         "decision_breakdown": f"select coalesce(nullif(trim(human_decision), ''), 'empty') decision, count(*) n from ({_DECISIONS}) group by all",
         "latest_decision": f"with {_LATEST} select selector_value, human_decision, version from latest",
-        "rules_compiled": f"""with {_LATEST}, own as (select case when human_decision = '' then 'skip_content' else human_decision end content_type, selector_type, selector_value, pattern_id by_ from latest),
-            every as materialized (select * from own union all select 'skip_content', t, v, chr(65535) from (values {media}) m(t, v) where exists (select 1 from own where content_type = 'skip_content')),
-            types as (select content_type, row_number() over (order by content_type <> 'skip_content', min(by_), content_type) - 1 type_ord from every group by content_type)
-            select content_type, selector_type, selector_value, row_number() over (partition by content_type order by by_, selector_type, selector_value) - 1 rule_ord, type_ord from every join types using (content_type)""",
+        "rules_compiled": f"with {compiled} select content_type, selector_type, selector_value, rule_ord, type_ord from compiled",
+        "rules_round_trip": f"with {compiled} select type_ord, rule_ord, content_type, selector_type, selector_value from compiled",
+        "rules_grouped": f"with {compiled} select type_ord, content_type, string_agg(selector_type || ':' || selector_value, ',' order by rule_ord) rules from compiled group by type_ord, content_type",
+        "decision_statistics": f"select count(*) n_rows, count(distinct version) n_files, max(version) latest_version, count(*) filter (human_decision <> '') n_decided from ({_DECISIONS})",
+        "review_first_ten": f"with {merged} select pattern_id, case when fresh then 1 when by_freq or by_evidence then 2 else 3 end as priority from m order by 2, round(evidence, 3) desc, 1 limit 10",
+        "review_round_trip": f"with {_scored()} select pattern_id, selector_type, selector_value, frequency, round(evidence, 3) evidence_score, suggested suggested_type, '' human_decision, 1 as version from scored",
+        "chunk_quality": f"with recursive {_PARAGRAPHS}, made as (select doc_id, content, 'text' chunk_type from chunks), {_quality()}",
+        "chunks_round_trip": f"with recursive {_PARAGRAPHS} select lang, count(*) n_chunks, sum(length(content))::bigint chars from chunks join documents using (doc_id) group by lang",
         "classify_elements": f"""with {_TAGS}, rules(type_ord, rule_ord, content_type, t, v) as (values {rules}), sel as (select page_id, pos, 'tag' t, tag v from tags union all select page_id, pos, 'attr', 'href' from tags
             union all select page_id, pos, 'class', unnest(string_split_regex(regexp_extract(attributes, '{_CLASS}', 1), '\\s+')) from tags),
             hit as (select page_id, pos, arg_min(content_type, type_ord * 1000 + rule_ord) content_type from sel join rules using (t, v) group by all)
@@ -201,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "section_siblings": f"with {_TREE} select a.id, b.id sibling from tree a join tree b on a.parent_id = b.parent_id and a.id <> b.id where a.level < 3 and b.level < 3",
         "section_descendants": f"with {_TREE}, e as (select parent_id ancestor, id, 1 distance from tree where parent_id is not null union all select b.parent_id, a.id, 2 from tree a join tree b on a.parent_id = b.id where b.parent_id is not null) select ancestor, count(*) n, max(distance) deepest from e group by all",
         "sections_by_level": f"with {_TREE} select id, title from tree where level = 2",
-        "ordered_ids": f"with {_TREE} select id, row_number() over (order by list_transform(string_split(id, '.'), lambda x: x::bigint), id) place from tree",
+        "ordered_ids": f"with {_TREE} select id, replace(id, '.', '/') sort_key from tree",
         "level_hierarchy": "with d as (select lang, doc_id, 1 + doc_id * 7 % 4 lv from documents) select a.doc_id::varchar id, (select max(b.doc_id) from d b where b.lang = a.lang and b.doc_id < a.doc_id and b.lv < a.lv)::varchar parent_id from d a",
         "breadcrumb_asof": "select a.doc_id, coalesce((select max(b.doc_id) from documents b where b.source = a.source and b.doc_id < a.doc_id and b.n_chars > 3000), -1) crumb from documents a",
         "fixed_chunks": f"with recursive {_FIXED} {_SPAN_ROWS}",
@@ -236,7 +258,8 @@ def oracle_sql() -> dict[str, str]:
         "content_type": f"with {_TYPED} select doc_id, content_type, strategy, round(complexity, 6) complexity, round(confidence, 6) confidence from typed",
         "strategy_vote": f"with {_TYPED} select strategy, count(*) votes, round(count(*) * avg(confidence), 4) weight from typed group by all",
         "section_complexity": f"""select doc_id, round(0.3 * least(1.0, n_chars / 2000) + 0.25 * least(1.0, doc_id % 7 / 5) + 0.15 * least(1.0, doc_id % 4 / 3) + 0.15 * least(1.0, doc_id % 12 / 10)
-            + 0.15 * least(1.0, ({_count("text", "(?m)^\\s*[-*+]\\s+")} + {_count("text", "\\[[^\\]]+\\]")} + {_count("text", "\\$[^$]+\\$")}) / 20), 6) score, n_chars <= 800 is_small, n_chars > 2000 is_large from documents""",
+            + 0.15 * least(1.0, ({_count("text", "(?m)^\\s*[-*+]\\s+")} + {_count("text", "\\[[^\\]]+\\]")} + {_count("text", "\\$[^$]+\\$")}) / 20), 6) score, n_chars + doc_id % 3 * 700 <= 800 is_small, n_chars + doc_id % 3 * 700 > 2000 is_large,
+            doc_id % 3 * 700 > 1.5 * n_chars code_heavy, n_chars > 500 or doc_id % 5 > 2 content_heavy from documents""",
         "config_for_title": f"select doc_id, case {titles} else 'default' end preset, case doc_id % 3 when 0 then 'tutorial' when 1 then 'api_reference' else 'default' end by_file from documents",
         "table_markdown": f"""with {_TABLE} select l_orderkey, case when caption is null then '' else '**' || caption || '**' || chr(10) || chr(10) end || '| part | flag | status |' || chr(10) || '| --- | --- | --- |' || chr(10)
             || array_to_string(list_transform(rows_, lambda r: {cell_line("(r || [''])[1:3]")}), chr(10)) markdown from lines""",
@@ -251,7 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "upserted": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
         "purged_cache": "select o_orderkey path from orders where o_orderdate >= timestamp '1996-03-01' - interval 30 day",
         "fresh_answers": "select o_orderkey question from orders where o_orderdate >= timestamp '1996-03-01' - interval 240 hour and o_orderpriority = '1-URGENT'",
-        "sampling_ratio": f"with {_TAGS} select round(count(*) filter (page_id % 10 = 0) / count(*), 6) ratio from tags",
+        "sampling_ratio": f"with {_TAGS} select count(*) filter ({_SAMPLED}) n_sampled, count(*) n_processed, round(count(*) filter ({_SAMPLED}) / count(*), 6) ratio from tags",
         "class_text_stats": f"""with {_TAGS}, t as (select page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) k from pages)
             select tag as class, round(avg(k), 6) avg_length, max(k) max_length, round(avg((k > 10)::int), 6) content_share, count(*) n from tags join t using (page_id) group by tag having count(*) >= 300""",
         "class_tags": """with c as (select source, lang, count(*) k from documents group by all), t as (select *, row_number() over (partition by source order by k desc, lang) place from c)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from docloom import conf, schemas
 
 
-def read_parsed(spark: SparkSession, path: str) -> DataFrame:
-    """Sections of parsed JSON files, a row each; content is derived from the mixed elements."""
-    files = spark.read.schema(schemas.PARSED_FILE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_parsed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Sections of parsed JSON files, a row each; content is derived from the mixed elements. lines: a document a line, as sinks.write_json() has it, not a file."""
+    files = spark.read.schema(schemas.PARSED_FILE).option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
     rows = files.select("source_file", "document_index", F.posexplode("sections").alias("pos", "s")).select("source_file", "document_index", "pos", "s.*")
     return rows.withColumn("content", derived_content(F.col("mixed_content"))).withColumn("code_blocks", derived_code(F.col("mixed_content")))
 
@@ -30,7 +30,7 @@ def derived_code(mixed: Column) -> Column:
 
 
 def _version(name: Column) -> Column:
-    return F.expr("0") if name is None else F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"_v(\d+)\.csv$", 1), F.lit("")), F.lit("9999999999")).cast("int"), F.lit(0))
+    return F.expr("0") if name is None else F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(name, r"_v(\d+)\.csv(?:/[^/]*)?$", 1), F.lit("")), F.lit("9999999999")).cast("int"), F.lit(0))
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
@@ -75,10 +75,15 @@ def default_rules() -> dict[str, list[dict[str, str]]]:
     return {kind: [{t: v} for t, names in (("class", classes), ("attr", attributes), ("tag", tags)) for v in names.split()] for kind, classes, attributes, tags in conf.DEFAULT_RULES}
 
 
-def latest_batch(paths: list[str]) -> str | None:
-    """Of directories batch_YYYYmmdd_HHMMSS, the last by name."""
-    found = [p for p in paths if re.search(r"batch_\d{8}_\d{6}/?$", p)]
-    return max(found, key=lambda p: p.rstrip("/").rsplit("/", 1)[-1], default=None)
+def latest_batch(spark: SparkSession, folder: str) -> str | None:
+    """Of folder's directories batch_YYYYmmdd_HHMMSS, the one changed last (ties: the last by name), on any file system Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return None
+    found = [(s.getModificationTime(), s.getPath().getName(), s.getPath().toString()) for s in system.listStatus(at) if s.isDirectory()]
+    found = [x for x in found if re.fullmatch(r"batch_\d{8}_\d{6}", x[1])]
+    return max(found)[2] if found else None
 
 
 def file_index(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom import conf
 from docloom.functions.text import table_markdown
+from docloom.operators.review import review_order
 
 
 def rag_rows(sections: DataFrame, *keys: str, most_rows: int = 10) -> DataFrame:
@@ -34,6 +34,19 @@ def section_statistics(sections: DataFrame, *keys: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("total_sections"), F.sum(F.size("code_blocks")).alias("total_code_blocks"), F.sum(F.size("tables")).alias("total_tables"), F.sum(F.size("mixed")).alias("total_mixed_elements"), languages.alias("languages"))
 
 
+def parsed_files(sections: DataFrame, file: str = "source_file", index: str = "doc_index") -> DataFrame:
+    """A row a document, as schemas.PARSED_FILE has it, with statistics; to be written as JSON. sections have parent_id."""
+    mixed = F.transform("mixed", lambda m: F.struct(*[m[c].alias(c) for c in ("type", "content", "order", "language", "title", "context")]))
+    each = F.struct("id", "title", "level", "section_number", "breadcrumb", mixed.alias("mixed_content"), "tables", "parent_id")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", each.alias("s")))), lambda x: x["s"])
+    keys = [F.col(file).cast("string").alias("source_file"), F.col(index).cast("int").alias("document_index")]
+    numbered = sections.withColumns({"__file": keys[0], "__index": keys[1]})
+    statistics = section_statistics(numbered, "__file", "__index")
+    statistics = statistics.select("__file", "__index", F.struct(*[c for c in statistics.columns if not c.startswith("__")]).alias("statistics"))
+    made = numbered.groupBy("__file", "__index").agg(ordered.alias("sections"))
+    return made.join(statistics, ["__file", "__index"]).select(F.col("__file").alias("source_file"), F.col("__index").alias("document_index"), "sections", "statistics")
+
+
 def batch_summary(sections: DataFrame, file: str = "source_file", index: str = "doc_index") -> DataFrame:
     """One row: totals, and details of every file's documents."""
     each = sections.groupBy(file, index).agg(F.count("*").alias("sections"), F.sum(F.size("code_blocks")).alias("code_blocks"), F.sum(F.size("tables")).alias("tables"))
@@ -65,10 +78,13 @@ def next_review_name(names: list[str], base: str = "patterns_for_review") -> str
 
 
 def write_review(merged: DataFrame, folder: str) -> str:
-    """A new version of the review file, a table for people: one file, evidence with three decimals."""
-    path = os.path.join(folder, next_review_name(os.listdir(folder) if os.path.isdir(folder) else []))
+    """A new version of the review file, a table for people: one file, evidence with three decimals. On any file system Spark writes."""
+    spark = merged.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = f"{folder.rstrip('/')}/{next_review_name([s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else [])}"
     names = ("pattern_id", "selector_type", "selector_value", "frequency", "evidence_score", "sample_content", "suggested_type", "human_decision", "notes")
-    ordered = merged.orderBy("priority", F.desc(F.round("evidence_score", 3)), "pattern_id").withColumn("evidence_score", F.format_string("%.3f", "evidence_score"))
+    ordered = review_order(merged).withColumn("evidence_score", F.format_string("%.3f", "evidence_score"))
     ordered.select(*[F.col(c).alias(title) for c, title in zip(names, conf.REVIEW_COLUMNS)]).coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     return path
 

@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +105,10 @@ def test_merge_and_files(spark, tmp_path):
     text = sinks.rules_document(files.rules_frame(spark, {"b": [{"class": "x"}], "skip_content": [{"tag": "img"}]}))
     (tmp_path / "r.yaml").write_text(text)
     assert list(files.read_rules(str(tmp_path / "r.yaml")).items()) == [("skip_content", [{"tag": "img"}]), ("b", [{"class": "x"}])] and files.read_rules("/no/such") == {}
-    assert files.latest_batch(["/a/batch_20250530_135034", "/a/batch_20250601_180152", "/a/x"]).endswith("180152")
+    for i, name in enumerate(("batch_20250601_180152", "batch_20250530_135034", "other")):
+        (tmp_path / "b" / name).mkdir(parents=True)
+        os.utime(tmp_path / "b" / name, (1_700_000_000 + i, 1_700_000_000 + i))
+    assert files.latest_batch(spark, str(tmp_path / "b")).endswith("batch_20250530_135034") and files.latest_batch(spark, str(tmp_path / "none")) is None
 
 
 def test_catalogue_equals_sql(spark):
