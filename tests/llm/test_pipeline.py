@@ -1,7 +1,9 @@
+import pytest
+
 import corpus_pipeline as cp
 from docloom.llm import decontaminate, mixing, token_output
 from docloom.llm._bpe import DEFAULT_VOCABULARY, piece_encoder
-from tests.llm.helpers import docs, prose
+from tests.llm.helpers import CLASHING, docs, prose
 from tests.llm.test_decontaminate import brute as without_passages
 from tests.llm.test_near_dedup import brute_groups
 
@@ -41,3 +43,30 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert back == {r["doc_id"]: r["text"] for r in seen["mixture"]}
     assert decontaminate.MAX_WORDS == 13
     assert cp.run(spark, str(tmp_path)).where("kind = 'document'").count() == len(back)
+
+
+@pytest.mark.parametrize("name,stage", cp.STAGES)
+def test_stages_take_edge_cases(spark, tmp_path, name, stage):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names, and empty tables."""
+    spark.createDataFrame([(1, prose(700, 25)), (None, None), (2, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, prose(i, 60), "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None) for i in range(80)]
+    rows += [(5, rows[5][1], "en", "s2"), (5, rows[5][1], "en", "s2"), (100, rows[7][1]), (101, None), (102, ""), (103, " \n!"), (None, rows[9][1]), (None, None, None, None), (104, prose(1, 60_000, 20_000))]
+    df = docs(spark, rows, CLASHING)
+    out = stage(spark, df, str(tmp_path))
+    got = out.collect()
+    if name == "token_codes":
+        assert len(got) == len(rows) + 1
+    else:
+        assert out.columns == df.columns
+        ids = [r["doc_id"] for r in got]
+        assert {"quality_rules": ids.count(5) == 3 and not {101, 102, 103} & set(ids), "near_duplicates": ids.count(5) == 1 and 100 not in ids and ids.count(None) == 2, "benchmark_passages": len(ids) == len(rows), "mixture": None not in ids and not {101, 102} & set(ids) and ids.count(5) in (0, 3)}[name]
+        assert name == "mixture" or 104 in ids
+    empty = stage(spark, df.limit(0), str(tmp_path))
+    assert empty.count() == (1 if name == "token_codes" else 0)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    (row,) = cp.run(spark, str(tmp_path)).collect()
+    assert row["kind"] == "vocabulary"
