@@ -531,14 +531,14 @@ def resolution_stats(spark, sf):
 @_query
 def vector_topk(spark, sf):
     vectors = _t(spark, sf, "embeddings")
-    query = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    query = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return R.top_k(vectors, query, 5).select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
 @_query
 def vector_topk_filtered(spark, sf):
     vectors = _t(spark, sf, "embeddings")
-    query = vectors.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    query = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return R.top_k(vectors, query, 3, F.col("label") == 1).select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 

@@ -167,9 +167,9 @@ def oracle_sql() -> dict[str, str]:
     flat = f"""'<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head><meta charset="utf-8"><title>Documents</title></head>' || chr(10) || '<body>' || chr(10) || trim({flat}, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '</body>' || chr(10) || '</html>'"""
     cell_line = lambda r: f"'| ' || array_to_string({r}, ' | ') || ' |'"
     cosine = "sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x)))"
-    topk = lambda most, k, where: f"""with v as (select vec_id, label, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings),
-        s as (select b.vec_id query_id, a.vec_id, {cosine} similarity from v a join v b on a.i = b.i where b.vec_id < {most} and {where} group by all)
-        select query_id, vec_id, row_number() over (partition by query_id order by similarity desc, vec_id) as rank, round(similarity, 5) similarity from s qualify rank <= {k}"""
+    topk = lambda k, where: f"""with v as (select vec_id, label, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings),
+        s as (select b.vec_id query_id, a.vec_id, {cosine} similarity from v a join v b on a.i = b.i where {where} group by all)
+        select query_id, vec_id, row_number() over (partition by query_id order by round(similarity, 9) desc, vec_id) as rank, round(similarity, 5) similarity from s qualify rank <= {k}"""
     merged = f"""new_ as materialized (with {_scored()} select * from scored), old_ as materialized (with {_scored("page_id % 2 = 0")} select * from scored where length(selector_value) > 1),
             m as (select n.pattern_id, n.frequency, n.evidence, o.pattern_id is null fresh, abs(n.frequency - o.frequency) / o.frequency > 0.5 by_freq, abs(n.evidence - o.evidence) > 0.2 by_evidence, o.frequency old_f, o.evidence old_e from new_ n left join old_ o on n.selector_value = o.selector_value)"""
     compiled = f"""{_LATEST}, own as (select case when human_decision = '' then 'skip_content' else human_decision end content_type, selector_type, selector_value, pattern_id by_ from latest),
@@ -267,8 +267,8 @@ def oracle_sql() -> dict[str, str]:
             select l_orderkey, (chars + 3 * cells)::bigint with_separators, chars::bigint chars from z""",
         "patched_placeholders": """select p_partkey, 2 n_found, k n_patched, 2 - k n_failed, case when k = 1 then 'partial' else 'failed' end status, k = 0 unpatched from (select p_partkey, regexp_matches(p_brand, '[1234]$')::int k from part)""",
         "resolution_stats": "select count(*) total, count(*) filter (ok) successful, count(*) filter (not ok) failed, round(count(*) filter (ok) / count(*), 6) rate from (select regexp_matches(p_brand, '[123]$') ok from part)",
-        "vector_topk": topk(5, 5, "true"),
-        "vector_topk_filtered": topk(3, 3, "a.label = 1"),
+        "vector_topk": topk(5, "true"),
+        "vector_topk_filtered": topk(3, "a.label = 1"),
         "stale_files": "select o_orderkey path from orders where o_orderkey % 3 = 0 or o_orderdate >= timestamp '1996-01-01'",
         "cache_stats": "select count(*) n_files, round(sum(o_orderkey * 1000) / 1048576, 2) mb, strftime(min(o_orderdate), '%Y-%m-%d') oldest, strftime(max(o_orderdate), '%Y-%m-%d') newest from orders",
         "upserted": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1",

@@ -88,6 +88,27 @@ def test_top_k(spark):
     assert [r["vec_id"] for r in R.top_k(vectors, query, 2).orderBy("rank").collect()] == [1, 2] and R.top_k(vectors, query, 1, vectors["label"] == 1).first()["vec_id"] == 2
 
 
+def test_top_k_equals_a_full_scan_in_blocks_too(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.standard_normal((300, 8)), 1)
+    x[50] = x[20]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(900, None), (901, [0.0] * 8), (902, [1.0] * 5), (903, [1.0] * 7 + [None]), (None, [1.0] * 8), (904, [])]
+    vectors = spark.createDataFrame(rows + odd, "vec_id int, embedding array<double>")
+    query = spark.createDataFrame(rows[:120] + odd, "query_id int, vector array<double>")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    similar = np.round(unit @ unit.T, 9)
+    expected = sorted((q, i, n + 1) for q in range(120) for n, i in enumerate(np.lexsort([np.arange(300), -similar[q]])[:7].tolist()))
+    for numbers, block, cells in ((R.BROADCAST_NUMBERS, R.BLOCK, 500), (10, 64, 10**6)):
+        monkeypatch.setattr(R, "BROADCAST_NUMBERS", numbers)
+        monkeypatch.setattr(R, "BLOCK", block)
+        monkeypatch.setattr(R, "_CELLS", cells)
+        assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in R.top_k(vectors, query, 7).collect()) == expected
+    assert R.top_k(vectors, query.where("false"), 3).count() == 0 and R.top_k(vectors.where("false"), query, 3).count() == 0
+
+
 def test_entry_without_the_llm_folder(spark, monkeypatch):
     import __spark_entry__ as entry
 
