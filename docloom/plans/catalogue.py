@@ -629,6 +629,68 @@ def event_windows(spark, sf):
     return out.select(F.date_format(F.col("window.start"), "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@_query
+def event_sliding_windows(spark, sf):
+    from docloom.streaming.incremental import event_counts
+
+    out = event_counts(_t(spark, sf, "events"), "2 hours", slide="1 hour")
+    return out.select(F.date_format(F.col("window.start"), "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+@_query
+def event_sessions(spark, sf):
+    from docloom.streaming import incremental
+
+    out = incremental.event_sessions(_t(spark, sf, "events"), "user_id", gap="1 hour")
+    return out.select("user_id", F.date_format(F.col("session_window.start"), "yyyy-MM-dd HH:mm:ss").alias("began"), "n", F.round("total", 4).alias("total"))
+
+
+@_query
+def refreshed_cache(spark, sf):
+    """Orders as files, some of them gone, cached as of a fixed day."""
+    import datetime
+
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"))
+    cache = orders.where("path % 3 > 0").select("path", F.to_timestamp(F.lit("1996-01-01")).alias("cached_mtime"))
+    out = files.refreshed_cache(orders.where("path % 7 > 0"), cache, datetime.datetime(1999, 1, 1))
+    return out.select("path", F.date_format("cached_mtime", "yyyy-MM-dd").alias("day"), "refreshed")
+
+
+@_query
+def select_second_document(spark, sf):
+    """Of pages that repeat themselves, document 1."""
+    twice = _t(spark, sf, "pages").where("html ilike '<!DOCTYPE html%'").select("page_id", F.concat("html", F.lit("\n<!DOCTYPE html><p>"), F.col("page_id").cast("string"), F.lit("</p>")).alias("html"))
+    return S.select_document(S.split_documents(twice), 1).select("page_id", "html")
+
+
+@_query
+def config_round_trip(spark, sf):
+    """Presets as JSON files, read again."""
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:  # the driver writes and reads it, within this call
+        rows = []
+        for name, preset in conf.PRESETS.items():
+            conf.save_config(preset, os.path.join(folder, name))
+            back = conf.load_config(os.path.join(folder, name))
+            rows.append((name, back.max_size, back.min_size, back.overlap, back.max_code, back.strategy))
+    return spark.createDataFrame(rows, "preset string, max_size int, min_size int, overlap int, max_code int, strategy string")
+
+
+@_query
+def rendered_types(spark, sf):
+    """Each part as an API type with fields, properties and methods; every third an enumeration."""
+    k = F.col("p_partkey")
+    response = F.to_json(F.struct(
+        F.col("p_name").alias("type-name"), F.concat(F.lit("Shop."), F.col("p_brand")).alias("full-type-name"), F.when(k % 2 == 0, F.col("p_type")).alias("description"), F.when(k % 3 == 0, "System.Enum").alias("base-type-full-name"),
+        F.array(F.struct(F.lit("f1").alias("field-name"), F.col("p_brand").alias("field-description")), F.struct(F.lit("f2").alias("field-name"), F.lit("").alias("field-description"))).alias("fields"),
+        F.array(F.struct(F.lit("Size").alias("property-name"), F.lit(None).cast("string").alias("property-description"), F.lit("int").alias("property-short-type-name"))).alias("properties"),
+        F.array(F.struct(F.lit("Get").alias("method-name"), F.lit("gets").alias("method-description"), F.when(k % 5 == 0, "bool").alias("method-return-short-type-name"))).alias("methods"),
+    ))
+    return PH.rendered(_t(spark, sf, "part").select("p_partkey", response.alias("response"))).select("p_partkey", "fragment")
+
+
 @_query
 def table_rows_for_export(spark, sf):
     tables = _tables(spark, sf).select("l_orderkey", F.array(F.struct("headers", "rows", "caption")).alias("tables"))

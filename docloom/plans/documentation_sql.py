@@ -88,6 +88,9 @@ def oracle_sql() -> dict[str, str]:
     from docloom.plans import documentation as d
 
     derived = lambda i: " ".join(f"[{title}]" if kind == "code" else content for own, _, kind, content, _, _, title, _ in sorted(_ELEMENTS, key=lambda e: e[:2]) if own == i and kind in ("code", "text"))
+    each = [(f"class_{c}", len(x)) for c, x in _DEPTHS.items()] + [("attr_data-tree", 1), ("id_N.N", 2), ("id_N.N.N", 1)]
+    third = "count(*) filter (p_partkey % 3 = 0)"
+    counts = " union all ".join([*(f"select '{i}' pattern_id, {n} * count(*) frequency from part" for i, n in each), f"select 'class_page-breadcrumb', 4 * count(*) + {third} from part", f"select 'id_N', count(*) + {third} from part"])
     page = f"{_said(d._HEAD + d._PRICE + d._CODE + d._API)} || case when p_partkey % 3 = 0 then {_said(d._EMPTY)} else '' end || '</body></html>'"
     has = lambda i: "true" if i == "1.2" else "false"
     return {
@@ -120,6 +123,8 @@ def oracle_sql() -> dict[str, str]:
         "parsed_round_trip": _rows("pos id title level breadcrumb parent_id content n_code n_tables", *((n, f"'{i}'", _said(t), lv, _said(b), parent(i), _said(derived(i)), 4 if i == "1.2" else 0, 2 if i == "1.1" else 0) for n, i, t, lv, b, _ in _SECTIONS)),
         "parsed_statistics": f"select p_partkey, 4 n_sections, 4 total_sections, 4 total_code_blocks, 2 total_tables, {len(_ELEMENTS)} total_mixed_elements, 'cli,csharp,python' languages from part",
         "html_files": f"select p_partkey, md5({page}) digest from part where p_partkey < 24",
+        "snapshot_counts": f"select pattern_id, frequency from ({counts})",
+        "adaptive_coverage": f"select round(sum(frequency) filter (pattern_id not like 'id!_%' escape '!') / sum(frequency), 6)::double coverage, count(*) n_baseline, count(*) filter (pattern_id not like 'id!_%' escape '!') n_found, 1.0::double last_ratio from ({counts})",
         "section_statistics": f"select p_partkey, 4 total_sections, 4 total_code_blocks, 2 total_tables, {len(_ELEMENTS)} total_mixed_elements, 'cli,csharp,python' languages from part",
     }
 

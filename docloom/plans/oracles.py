@@ -152,6 +152,22 @@ def _rules() -> list[tuple[int, int, str, str, str]]:
     return [(i, j, k, *next(iter(r.items()))) for i, k in enumerate(order) for j, r in enumerate(rules[k])]
 
 
+def _fragment() -> str:
+    """SQL of a part's rendered type."""
+    snippet = lambda kind, name: f"'<div class=\"code-snippet\"><span class=\"object-type\">' || {kind} || '</span> <code>' || {name} || '</code></div>'"
+    box = lambda *parts: "concat_ws(chr(10), '<div class=\"subsection-content\">', " + ", ".join(parts) + ", '</div>')"
+    typed = lambda label, value: f"'<div class=\"subsection-header\">{label}:</div>' || chr(10) || '<p class=\"subsection-content\">' || {value} || '</p>'"
+    enum = "p_partkey % 3 = 0"
+    members = [
+        (snippet("'field'", "'f1'"), box("'<p>' || p_brand || '</p>'")),
+        (snippet("'property'", "'Size'"), box(typed("Type", "'int'"))),
+        (snippet("'method'", "'Get'"), box("'<p>gets</p>'", f"case when p_partkey % 5 = 0 then {typed('Returns', chr(39) + 'bool' + chr(39))} end")),
+    ]
+    inner = box(*[x for pair in members for x in pair])
+    head = [f"'<h4>' || p_name || case when {enum} then ' Enumeration' else '' end || '</h4>'", snippet(f"case when {enum} then 'enum' else 'class' end", "'Shop.' || p_brand"), "case when p_partkey % 2 = 0 then '<p>' || p_type || '</p>' end", inner]
+    return f"concat_ws(chr(10), {', '.join(head)})"
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"({i}, {j}, '{k}', '{t}', '{v}')" for i, j, k, t, v in _rules())
     coverage = lambda t: f"coalesce(sum(coalesce(found, 0)) filter (tier = '{t}') / sum(frequency) filter (tier = '{t}'), 1.0)"
@@ -283,5 +299,12 @@ def oracle_sql() -> dict[str, str]:
         "chunk_statistics": f"with recursive {_PARAGRAPHS}, k as (select * from chunks join documents using (doc_id) where length(text) > 500) select count(distinct doc_id) sections_processed, (select count(*) from documents) - count(distinct doc_id) sections_skipped, count(*) chunks, sum(length(content))::bigint chars, round(avg(length(content)), 6) avg_chars from k",
         "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) n, round(sum(value), 4) total from events group by all",
         "table_rows_for_export": f"with {_TABLE} select l_orderkey, len(rows_[1:3]) n_rows, array_to_string(flatten(rows_[1:3]), '|') cells from lines",
+        "event_sliding_windows": "select strftime(h, '%Y-%m-%d %H') as hour, event_type, count(*) n from (select date_trunc('hour', ts) h, event_type from events union all select date_trunc('hour', ts) - interval 1 hour, event_type from events) group by all",
+        "event_sessions": """with gaps as (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 1 hour, true)::int fresh from events), numbered as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) s from gaps)
+            select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') began, count(*) n, round(sum(value), 4) total from numbered group by user_id, s""",
+        "refreshed_cache": "select o_orderkey path, case when stale then '1999-01-01' else '1996-01-01' end as day, stale refreshed from (select o_orderkey, o_orderkey % 3 = 0 or o_orderdate >= timestamp '1996-01-01' stale from orders where o_orderkey % 7 > 0)",
+        "select_second_document": "select page_id, '<!DOCTYPE html><p>' || page_id || '</p>' html from pages where html ilike '<!DOCTYPE html%'",
+        "config_round_trip": "select * from (values " + ", ".join(f"('{n}', {c.max_size}, {c.min_size}, {c.overlap}, {c.max_code}, '{c.strategy}')" for n, c in conf.PRESETS.items()) + ") v(preset, max_size, min_size, overlap, max_code, strategy)",
+        "rendered_types": f"select p_partkey, {_fragment()} fragment from part",
         "batch_totals": "select count(distinct source) files, count(distinct source || lang) documents_processed, count(*) total_sections from documents",
     }

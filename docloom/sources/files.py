@@ -97,6 +97,13 @@ def stale_files(originals: DataFrame, cache: DataFrame) -> DataFrame:
     return originals.join(fresh, "path", "left").where("cached_mtime is null or cached_mtime <= mtime").drop("cached_mtime")
 
 
+def refreshed_cache(originals: DataFrame, cache: DataFrame, now: datetime, force_refresh: bool = False) -> DataFrame:
+    """The cache's rows after a run at now: stale files (all, if forced) are cached anew, and rows whose file is gone go; refreshed tells which."""
+    todo = (originals if force_refresh else stale_files(originals, cache)).select("path")
+    kept = cache.select("path", "cached_mtime").join(originals.select("path"), "path", "left_semi").join(todo, "path", "left_anti").withColumn("refreshed", F.lit(False))
+    return kept.unionByName(todo.select("path", F.lit(now).cast("timestamp").alias("cached_mtime"), F.lit(True).alias("refreshed")))
+
+
 def purge_cache(cache: DataFrame, days: int, now: datetime) -> DataFrame:
     """Cache rows of the last days."""
     return cache.where(F.col("cached_mtime") >= F.lit(now) - F.expr(f"interval {int(days)} days"))

@@ -35,6 +35,11 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], order: str) -
     return latest(new if old is None else old.unionByName(new), keys, order)
 
 
-def event_counts(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Counts by type and window; rows later than late don't count."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def event_counts(events: DataFrame, window: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts by type and window (tumbling, or sliding by slide); rows later than late don't count."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def event_sessions(events: DataFrame, *keys: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of each key: events less than gap apart."""
+    return events.withWatermark("ts", late).groupBy(*keys, F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
