@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import null_safe_columns
+from docloom.llm._shared import null_safe_columns, written
 
 #: Bounds of the fit: labelled rows, and dictionary bytes, of a language and fold.
 SAMPLE_ROWS = 200
 DICTIONARY_BYTES = 64 << 10
 FOLDS = 2
+#: Rows of the sample's keys that are sent to all tasks; more of them are joined.
+MOST_SENT = 200_000
 #: Languages whose dictionaries a worker holds at once.
 GROUP = 200
 BLOCK = 8 << 10
@@ -49,7 +51,10 @@ def fit_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary
     group = W.partitionBy("lang", "fold")
     chosen = rows.select("lang", "fold", "hash").distinct().withColumn("place", F.row_number().over(group.orderBy("hash"))).where(F.col("place") <= sample_rows)
     chosen = chosen.withColumn("share", F.ceil(dictionary_bytes / F.count("*").over(group)).cast("int")).drop("place")
-    sample = rows.join(chosen, ["lang", "fold", "hash"]).groupBy("lang", "fold", "hash", "share").agg(F.min("text").alias("text"))
+    chosen = written(chosen, "language-samples")
+    # sample_rows a language and fold; only very many languages aren't sent to all tasks
+    sent = F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen
+    sample = rows.join(sent, ["lang", "fold", "hash"]).groupBy("lang", "fold", "hash", "share").agg(F.min("text").alias("text"))
     begin = F.pmod(F.xxhash64(F.lit(29), "text"), F.greatest(F.lit(1), F.length("text") - F.col("share") + 1)).cast("int") + 1
     # sample_rows pieces of dictionary_bytes together, a language and fold
     parts = sample.select("lang", "fold", "hash", "share", F.lower(F.substring("text", begin, F.col("share"))).alias("piece")).orderBy("lang", "fold", "hash").collect()
