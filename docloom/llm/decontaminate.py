@@ -8,8 +8,8 @@ all words must be there, and an item of fewer than LEAST_ITEM words, which ordin
 words that no item holds are passed over in whole arrays.
 
 The automaton holds the items, not the corpus, and is broadcast; items of more than SHARD_WORDS words together are
-split into shards, streamed past one after the other, so that what is sent at once is bounded. What is removed doesn't depend on
-the shards: a passage counts by each item that holds it.
+split into shards, streamed past one after the other, ROUND of them in a pass over the documents, so that what the driver and the executors
+hold at once is bounded whatever the benchmark's size. What is removed doesn't depend on the shards: a passage counts by each item that holds it.
 
 Null text stays null and empty text empty. A null item or one without words is passed over; repeated items count once.
 Without items, or documents, nothing changes. Rows are neither lost nor added, repeated rows are treated alike, and all
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from math import ceil
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._automaton import SuffixAutomaton
+from docloom.llm._shared import written
 from docloom.llm._text import text_slices, word_spans, words_of
 
 MAX_WORDS = 13
@@ -37,6 +39,8 @@ COVERAGE = 0.5
 LEAST_WORDS = 6
 LEAST_ITEM = 3
 SHARD_WORDS = 500_000
+#: Shards in one pass over the documents; what they found is written before the next.
+ROUND = 4
 
 
 @lru_cache(2)
@@ -106,19 +110,24 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS, least_item: int = LEAST_ITEM) -> list[tuple]:
-    """The distinct items' word hashes, in shards of about shard_words words."""
-    texts = [r[0] for r in benchmark.select(F.col("text").cast("string")).where("text is not null").distinct().toLocalIterator()]
-    words, first = words_of(pa.array(sorted(texts), pa.string()))
-    items = sorted({tuple(words[a:b].tolist()) for a, b in zip(first[:-1].tolist(), first[1:].tolist()) if b - a >= max(1, least_item)})
-    shards, now, size = [], [], 0
-    for item in items:
-        if now and size + len(item) > shard_words:
-            shards.append(tuple(now))
-            now, size = [], 0
-        now.append(item)
-        size += len(item)
-    return [*shards, tuple(now)] if now else shards
+def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS, least_item: int = LEAST_ITEM) -> Iterator[tuple]:
+    """The distinct items' word hashes, in shards of about shard_words words, one after the other: the driver holds one shard at a time."""
+    texts = (r[0] for r in benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct().orderBy("text").toLocalIterator())
+    now: dict[tuple[int, ...], None] = {}
+    size = 0
+    while some := list(islice(texts, 1000)):
+        words, first = words_of(pa.array(some, pa.string()))
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            item = tuple(words[a:b].tolist())
+            if len(item) < max(1, least_item) or item in now:
+                continue
+            if now and size + len(item) > shard_words:
+                yield tuple(now)
+                now, size = {}, 0
+            now[item] = None
+            size += len(item)
+    if now:
+        yield tuple(now)
 
 
 def _find_in(batch: pa.RecordBatch, spans: list[list[int]], shard: tuple, max_words: int, coverage: float, least_words: int) -> None:
@@ -138,22 +147,30 @@ def _spans_of(batch: pa.RecordBatch) -> list[list[int]]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, shard_words: int = SHARD_WORDS, flag: str | None = None) -> DataFrame:
     """docs with the passages cut out of text; flag: name of a column to add, the number of words removed."""
-    shards = benchmark_shards(benchmark, shard_words) or [()]
     limits = (max_words, coverage, least_words)
     found = docs.withColumn("text", F.col("text").cast("string")).withColumn("__dl_spans", F.array().cast("array<int>"))
     broadcast = docs.sparkSession.sparkContext.broadcast
-    for shard in shards[:-1]:
-
-        def find(batches: Iterator[pa.RecordBatch], sent=broadcast(shard)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, spans = batch.schema.get_field_index("__dl_spans"), _spans_of(batch)
-                _find_in(batch, spans, sent.value, *limits)
-                yield batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
-
-        found = found.mapInArrow(find, found.schema)
+    waiting, shard = [], ()
+    for following in benchmark_shards(benchmark, shard_words):
+        if shard:
+            waiting.append(broadcast(shard))
+
+            def find(batches: Iterator[pa.RecordBatch], sent=waiting[-1]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    at, spans = batch.schema.get_field_index("__dl_spans"), _spans_of(batch)
+                    _find_in(batch, spans, sent.value, *limits)
+                    yield batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
+
+            found = found.mapInArrow(find, found.schema)
+            if len(waiting) == ROUND:
+                found = written(found, "benchmark-spans")
+                for sent in waiting:
+                    sent.destroy()
+                waiting = []
+        shard = following
     count = isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) if "n_chars" in docs.columns else False
     schema = T.StructType([f for f in found.schema if f.name != "__dl_spans"] + ([T.StructField(flag, T.LongType())] if flag else []))
-    last = broadcast(shards[-1])
+    last = broadcast(shard)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
