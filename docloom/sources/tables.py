@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables of fewer bytes aren't worth a shuffle.
-LEAST_SPREAD = 1 << 20
+LEAST_SPREAD = 64 << 10
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
