@@ -53,6 +53,21 @@ def _counts(words: np.ndarray, first: np.ndarray, terms: np.ndarray) -> tuple[np
     return pairs // len(terms), pairs % len(terms), counts
 
 
+def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and count of each different word of each text, by row and hash; a slice of the texts at a time."""
+    out, base = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for part in text_slices(pa.record_batch([texts], ["text"])):
+        words, first = words_of(part.column(0))
+        row = np.repeat(np.arange(base, base + part.num_rows), np.diff(first))
+        order = np.lexsort([words, row])
+        words, row = words[order], row[order]
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (words[1:] != words[:-1])])) if len(words) else np.zeros(0, np.int64)
+        out.append((row[new], words[new], np.diff(np.append(new, len(words)))))
+        base += part.num_rows
+    row, word, n = (np.concatenate(x) for x in zip(*out))
+    return row, word, n
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... of sizes[0] places, then those of the next."""
     return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
@@ -185,17 +200,12 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 class ToxicityModel:
-    def __init__(self, ids: list[int], texts: list[str], labels: list[int], shares: tuple[float, float], neighbours: int = NEIGHBOURS) -> None:
+    def __init__(self, ids: list[int], texts: list[str] | pa.Array, labels: list[int], shares: tuple[float, float], neighbours: int = NEIGHBOURS) -> None:
         """shares: of the two classes among all labelled rows."""
         self.neighbours = neighbours
         y, ids_ = np.array(labels, np.int64), np.array(ids, np.int64)
-        parts = [words_of(part.column(0)) for part in text_slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]))]
-        words = np.concatenate([np.zeros(0, np.uint64), *[w for w, _ in parts]])
-        first = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[np.diff(f) for _, f in parts]]))])
-        terms, at = np.unique(words, return_inverse=True)
-        row = np.repeat(np.arange(len(texts)), np.diff(first))
-        pair, n = np.unique(row * max(1, len(terms)) + at, return_counts=True)
-        row, at = pair // max(1, len(terms)), pair % max(1, len(terms))
+        row, word, n = _bags(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        terms, at = np.unique(word, return_inverse=True)
         cuts = np.searchsorted(row, np.arange(len(texts) + 1))
         idf = np.log((1 + len(texts)) / (1 + np.bincount(at, minlength=len(terms)))) + 1
 
@@ -248,11 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     by_hash = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 0").orderBy(*by_hash).limit(examples).unionByName(known.where("toxic = 1").orderBy(*by_hash).limit(examples))
     texts = null_safe_columns(docs, {"doc_id": "bigint", "text": "string"}).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()  # 2 * examples rows at most
-    if not rows:
+    # 2 * examples rows at most
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow().combine_chunks()
+    if not rows.num_rows:
         return None
     whole = sum(shares.values())
-    return ToxicityModel([r["doc_id"] for r in rows], [r["text"] for r in rows], [r["toxic"] for r in rows], (shares.get(0, 0) / whole, shares.get(1, 0) / whole), neighbours)
+    ids, texts_, toxic = rows["doc_id"].to_pylist(), rows["text"].combine_chunks(), rows["toxic"].to_pylist()
+    return ToxicityModel(ids, texts_, toxic, (shares.get(0, 0) / whole, shares.get(1, 0) / whole), neighbours)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None, **options) -> DataFrame:
