@@ -19,7 +19,7 @@ from docloom.operators import placeholders as PH
 from docloom.operators import retrieval as R
 from docloom.operators import review as V
 from docloom.operators import section_chunks as SC
-from docloom.operators.lineage import scratch
+from docloom.operators.lineage import cut, scratch
 from docloom.plans import documentation, documentation_sql, oracles
 from docloom.sources import files, html as S
 from docloom.sources.tables import read_table
@@ -140,36 +140,39 @@ def reservoir_sample(spark, sf):
     return P.reservoir(_tags(spark, sf), 50, "page_id", "pos").select("page_id", "pos", "tag")
 
 
-def _found(spark, sf):
-    """Valuable patterns in full, the rest from the sample; those of two letters stay unknown, so that something is missing."""
-    rows = P.pattern_rows(_tags(spark, sf), tags=True)
-    valuable = P.with_value(P.pattern_counts(rows)).where("high_value and pattern_id rlike '[^_]{3,}$'")
-    return P.hybrid_scan(rows, valuable, _sampled_rows(spark, sf).where("not pattern_id rlike '_..$'"), RATIO)
+def _scans(spark, sf):
+    """Counts of all patterns, and a scan: valuable patterns in full, the rest from the sample; those of two letters stay unknown, so that something is missing."""
+    tags = cut(_tags(spark, sf))  # read three times
+    rows = P.pattern_rows(tags, tags=True)
+    counts = cut(P.pattern_counts(rows))
+    valuable = P.with_value(counts).where("high_value and pattern_id rlike '[^_]{3,}$'")
+    sampled = P.pattern_rows(P.hash_sample(tags, RATIO, "page_id"), tags=True).where("not pattern_id rlike '_..$'")
+    return counts, P.hybrid_scan(rows, valuable, sampled, RATIO)
 
 
 @_query
 def combine_scans(spark, sf):
-    return _found(spark, sf)
+    return _scans(spark, sf)[1]
 
 
 @_query
 def coverage_overall(spark, sf):
-    return P.coverage(_counts(spark, sf), _found(spark, sf)).select(F.round("overall_coverage", 6).alias("overall_coverage"), "n_baseline", "n_found")
+    return P.coverage(*_scans(spark, sf)).select(F.round("overall_coverage", 6).alias("overall_coverage"), "n_baseline", "n_found")
 
 
 @_query
 def coverage_by_tier(spark, sf):
-    return P.coverage(_counts(spark, sf), _found(spark, sf)).select(*[F.round(f"{t}_coverage", 6).alias(f"{t}_coverage") for t in ("high", "medium", "low")])
+    return P.coverage(*_scans(spark, sf)).select(*[F.round(f"{t}_coverage", 6).alias(f"{t}_coverage") for t in ("high", "medium", "low")])
 
 
 @_query
 def coverage_by_type(spark, sf):
-    return P.coverage_by_type(_counts(spark, sf), _found(spark, sf)).select("content_type", F.round("coverage", 6).alias("coverage"))
+    return P.coverage_by_type(*_scans(spark, sf)).select("content_type", F.round("coverage", 6).alias("coverage"))
 
 
 @_query
 def missing_patterns(spark, sf):
-    return P.missing_patterns(_counts(spark, sf), _found(spark, sf))
+    return P.missing_patterns(*_scans(spark, sf))
 
 
 def _scored(spark, sf, where=None):
