@@ -108,6 +108,22 @@ def test_analysis_and_hybrid(spark):
         SC.chunk_sections(df, "semantic", "doc")
 
 
+def test_documents_are_streamed(spark):
+    sections = [_section(str(i + 1), "x" * (300 * i % 900), level=1) for i in range(7)] + [_section("1.1", "y", level=2, parent="1"), _section("1.2", "z" * 700, level=2, parent="1")]
+    rows = [(d, pos, *[s[c] for c in ("id", "title", "level", "breadcrumb", "content", "code_blocks", "tables", "parent_id")]) for d in (None, "a", "b") for pos, s in enumerate(sections)]
+    df = spark.createDataFrame(rows[::-1], "doc string, pos int, id string, title string, level int, breadcrumb string, content string, code_blocks array<struct<language:string,content:string>>, tables array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>, parent_id string")
+    made = SC.chunk_sections(df, "hierarchical", "doc")
+    assert "collect_list" not in made._jdf.queryExecution().toString()  # a document is held by one task's worker, not by an aggregate of many
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a document's sections lie in several batches
+    try:
+        got = [(r["doc"], r["section_id"], r["chunk_index"], r["content"]) for r in made.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = [(x["section_id"], x["chunk_index"], x["content"]) for x in SC._with_places(SC.hierarchical_chunks(sections, ChunkConfig()))]
+    for d in (None, "a", "b"):
+        assert [r[1:] for r in got if r[0] == d] == expected
+
+
 def test_config_round_trip(tmp_path):
     conf.save_config(conf.PRESETS["code"], str(tmp_path / "c.json"))
     assert conf.load_config(str(tmp_path / "c.json")) == conf.PRESETS["code"] and '"qa"' in conf.export_presets()
