@@ -128,3 +128,18 @@ def test_catalogue_equals_sql(spark):
         columns = [d[0] for d in result.description]
         expected = sorted(tuple(norm(dict(zip(columns, r))[c]) for c in sorted(columns)) for r in result.fetchall())
         assert got == expected, name
+
+
+def test_quick_trees():
+    """Plain markup has the tree that the standard tokenizer gives; whatever isn't plain is left to that."""
+    import random
+
+    from docloom.functions import markup as M
+
+    same = lambda a, b: type(a) is type(b) and (a == b if isinstance(a, str) else (a.tag, list(a.attrs.items())) == (b.tag, list(b.attrs.items())) and len(a.children) == len(b.children) and all(map(same, a.children, b.children)))
+    assert M._quick('<!DOCTYPE html><p class="a b" ID="x">a &amp; b<br>c</p><script>if (x) y();</script></div>') is not None
+    assert all(M._quick(h) is None for h in ("<p id='q'>", "<title>a</title>", "<script>a < b</script>", "<script>open", "a < b", "end &am", "<!-- open"))
+    bits = '<p>|</p>|<P >|<div class="a b">|</DIV>|<br>|<br/>|<p/>|<a HREF="x" href="y" disabled>|text|a & b|&amp;|&lt|<|> |<!DOCTYPE html>|<!-- c -->|<!-->|<style>|</style>|<script>|</script>|<script/>|x=1;|</ p>|<p\n id="1">|\0|<title>|<p id=z>|<p id="a&amp;b">| |<![CDATA[x]]>|<?pi?>|<!doctype>|<p a="1"b="2">'.split("|")
+    draw = random.Random(1)
+    texts = ["".join(draw.choices(bits, k=draw.randint(1, 8))) for _ in range(4000)]
+    assert sum(M._quick(t) is not None for t in texts) > 500 and all(same(M.parse(t), M.parse_any(t)) for t in texts)

@@ -106,3 +106,26 @@ def test_sessions_and_sliding_windows(spark):
     events = spark.createDataFrame([(1, t(1, 0), "a", 1.0), (1, t(1, 20), "a", 2.0), (1, t(3, 0), "a", 4.0), (2, t(1, 10), "b", 8.0)], "user int, ts timestamp, event_type string, value double")
     assert sorted((r["user"], r["n"], r["total"]) for r in I.event_sessions(events, "user").collect()) == [(1, 1, 4.0), (1, 2, 3.0), (2, 1, 8.0)]
     assert I.event_counts(events, "2 hours", slide="1 hour").agg(F.sum("n")).first()[0] == 8
+
+
+def test_passes_agree_with_joins(spark):
+    """What a document's pass makes of its own sections and nodes is what joins make of them as relations, and neither is broadcast."""
+    some = lambda *ids: "".join(f'<section id="{i}"><h2>T{n} {i}</h2></section><p>Text of section {i}, no {n}.</p><p class="page-breadcrumb">b</p>' for n, i in enumerate(ids))
+    contents = '<h3>Table of Contents</h3><nav><ul><li><a class="toc-h1" href="#1">1 First</a></li><li><a class="toc-h1" href="#1">1 Again</a></li><li><a href="#x.y">x</a></li></ul></nav>'
+    pages = spark.createDataFrame([(1, contents + some("1", "1.1", "1.1.1", "1", "2.1", "2.1.4")), (2, some("x.y", "x", "1..2", "1.", "1.1", ".")), (3, None), (4, "<h1>no sections</h1><p>here</p>")], "k int, html string")
+    found = H.sections(pages)
+    tree = H.with_parents(found, "k")
+    rows = lambda df, *columns: sorted(df.select(*columns).collect(), key=str)
+    assert rows(H.section_trees(pages), "k", "pos", "id", "parent_id", "path") == rows(H.with_paths(tree, "k"), "k", "pos", "id", "parent_id", "path")
+    for depth in (0, 1, 2):
+        assert rows(H.section_trees(pages, depth=depth), "k", "pos", "id", "depth") == rows(H.tree(tree, "k", depth=depth), "k", "pos", "id", "depth")
+    joined = H.with_contents(found, H.table_of_contents(pages).dropDuplicates(["k", "id"]), "k")
+    assert {(r["k"], r["pos"], r["toc_level"]) for r in joined.collect()} == {(r["k"], r["pos"], r["toc_level"]) for r in H.sections_with_contents(pages).collect()}
+    assert {r["toc_title"] for r in H.sections_with_contents(pages).where("id = '1'").collect()} == {"First"}
+    nodes = H.html_nodes(pages)
+    pairs = H.within(nodes.where("tag in ('nav', 'ul', 'body')"), nodes, "k")
+    assert rows(H.nodes_within(pages, "nav", "ul", "body"), "k", "node", "tag", "inner_node", "inner_tag") == rows(pairs, "k", "node", "tag", "inner_node", "inner_tag")
+    for df in (pairs, tree, H.with_children(tree, "k"), H.siblings(tree, "k"), joined, H.tree(tree, "k", depth=1)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert H.sections(pages, columns=("id", "pos")).columns == ["k", "id", "pos"] and rows(H.sections(pages, columns=("id", "pos")), "k", "id", "pos") == rows(found, "k", "id", "pos")
+    assert rows(H.html_nodes(pages, columns=("depth",)), "k", "depth") == rows(nodes, "k", "depth")
