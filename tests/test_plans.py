@@ -25,3 +25,7 @@ def test_one_pass(spark, query):
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
     made = plan[plan.index("MapInArrow") :].split("\n")[0].rsplit("[", 1)[1].split("]")[0]
     assert {x.strip().split("#")[0] for x in made.split(",")} - {"p_partkey", "doc"} == set(ONE_PASS[query].split())
+
+
+def test_snapshot_counts_once(spark):
+    assert "Generate" not in _plan(spark, "snapshot_counts")  # the patterns are counted, and only their counts read thrice
