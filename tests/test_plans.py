@@ -29,3 +29,7 @@ def test_one_pass(spark, query):
 
 def test_snapshot_counts_once(spark):
     assert "Generate" not in _plan(spark, "snapshot_counts")  # the patterns are counted, and only their counts read thrice
+
+
+def test_whole_sample_is_no_pass_of_its_own(spark):
+    assert "Generate" not in _plan(spark, "adaptive_coverage")
