@@ -16,6 +16,7 @@ ONE_PASS = {
     "rag_rows_v1": "id title level section_number breadcrumb content code_blocks tables parent_id path",
     "nodes_within": "node tag inner_node inner_tag",
     "tree_to_depth": "id parent_id depth",
+    "parsed_statistics": "id title level section_number breadcrumb content mixed code_blocks tables pos parent_id path depth",
 }
 
 
