@@ -17,6 +17,7 @@ ONE_PASS = {
     "nodes_within": "node tag inner_node inner_tag",
     "tree_to_depth": "id parent_id depth",
     "parsed_statistics": "id title level section_number breadcrumb content mixed code_blocks tables pos parent_id path depth",
+    "doc_elements": "id mixed",
 }
 
 
