@@ -19,6 +19,7 @@ ONE_PASS = {
     "parsed_statistics": "id title level section_number breadcrumb content mixed code_blocks tables pos parent_id path depth",
     "doc_elements": "id mixed",
     "section_statistics": "mixed code_blocks tables",
+    "class_depth_stats": "depth classes",
 }
 
 
