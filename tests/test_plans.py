@@ -20,6 +20,7 @@ ONE_PASS = {
     "doc_elements": "id mixed",
     "section_statistics": "mixed code_blocks tables",
     "class_depth_stats": "depth classes",
+    "page_sections": "id title level section_number breadcrumb content pos",
 }
 
 
