@@ -21,6 +21,7 @@ ONE_PASS = {
     "section_statistics": "mixed code_blocks tables",
     "class_depth_stats": "depth classes",
     "page_sections": "id title level section_number breadcrumb content pos",
+    "contents_joined": "id toc_title toc_level",
 }
 
 
