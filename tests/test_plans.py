@@ -22,6 +22,7 @@ ONE_PASS = {
     "class_depth_stats": "depth classes",
     "page_sections": "id title level section_number breadcrumb content pos",
     "contents_joined": "id toc_title toc_level",
+    "doc_code": "id code_blocks",
 }
 
 
