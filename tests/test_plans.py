@@ -40,3 +40,8 @@ def test_snapshot_counts_once(spark):
 
 def test_whole_sample_is_no_pass_of_its_own(spark):
     assert "Generate" not in _plan(spark, "adaptive_coverage")
+
+
+def test_point_lookup_parses_one_page(spark):
+    plan = _plan(spark, "point_lookup")
+    assert plan.index("MapInArrow") < plan.index("Filter")  # the filter lies below the parser
