@@ -23,6 +23,7 @@ ONE_PASS = {
     "page_sections": "id title level section_number breadcrumb content pos",
     "contents_joined": "id toc_title toc_level",
     "doc_code": "id code_blocks",
+    "config_of_sections": "id title code_blocks",
 }
 
 
