@@ -127,3 +127,18 @@ def test_documents_are_streamed(spark):
 def test_config_round_trip(tmp_path):
     conf.save_config(conf.PRESETS["code"], str(tmp_path / "c.json"))
     assert conf.load_config(str(tmp_path / "c.json")) == conf.PRESETS["code"] and '"qa"' in conf.export_presets()
+
+
+@pytest.mark.parametrize("strategy", ["section_based", "code_aware"])
+def test_batches_handed_on_are_bounded(strategy):
+    """What a worker holds doesn't grow with the batch that it is sent."""
+    import pyarrow as pa
+    from pyspark.sql.types import _parse_datatype_string
+
+    from docloom import schemas
+
+    sections = [_section(str(i), "A sentence here. " * 300, [("python", "x = 1\n" * 900)]) for i in range(1500)]
+    made = list(SC._rows_to(_parse_datatype_string(f"doc int, {schemas.CHUNKS}"), lambda row: SC._with_places(SC.STRATEGIES[strategy](row["s"], ChunkConfig())))(iter([pa.RecordBatch.from_pylist([{"doc": i, "s": s} for i, s in enumerate(sections)])])))
+    assert len(made) > 2 and all(b.num_rows <= SC.MOST_ROWS and b.nbytes < 2 * SC.MOST_CHARS for b in made)
+    expected = [(i, x["chunk_index"], x["content"]) for i, s in enumerate(sections) for x in SC._with_places(SC.STRATEGIES[strategy](s, ChunkConfig()))]
+    assert [(r["doc"], r["chunk_index"], r["content"]) for b in made for r in b.to_pylist()] == expected

@@ -44,5 +44,4 @@ def test_whole_sample_is_no_pass_of_its_own(spark):
 
 
 def test_point_lookup_parses_one_page(spark):
-    plan = _plan(spark, "point_lookup")
-    assert plan.index("MapInArrow") < plan.index("Filter")  # the filter lies below the parser
+    assert "EqualTo(p_partkey,7)" in _plan(spark, "point_lookup")  # the filter reaches the table, below the parser
