@@ -370,7 +370,8 @@ _QUERIES["advanced_text_chunks"] = _chunked("advanced_text", LINES, prepare=lamb
 
 
 def _paragraphs(spark, sf, *more):
-    return C.chunk_documents(_t(spark, sf, "documents").select("doc_id", *more, "text"), "text", "paragraph_based", LINES)
+    docs = read_table(spark, f"{sf}/documents.parquet", heavy=True)
+    return C.chunk_documents(docs.select("doc_id", *more, "text"), "text", "paragraph_based", LINES)
 
 
 @_query

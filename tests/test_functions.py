@@ -143,3 +143,15 @@ def test_quick_trees():
     draw = random.Random(1)
     texts = ["".join(draw.choices(bits, k=draw.randint(1, 8))) for _ in range(4000)]
     assert sum(M._quick(t) is not None for t in texts) > 500 and all(same(M.parse(t), M.parse_any(t)) for t in texts)
+
+
+def test_heavy_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A table in one file is as many tasks as it has bytes for, beyond the size up to which spread() deals out."""
+    from docloom.sources import tables
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(100_000).selectExpr("id", "md5(cast(id as string)) text").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(tables, "TASK_BYTES", 100 << 10)
+    size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").glob("*.parquet"))
+    made = tables.read_table(spark, path, heavy=True)
+    assert size // (100 << 10) <= made.rdd.getNumPartitions() <= size // (100 << 10) + 2 and made.count() == 100_000
