@@ -155,3 +155,10 @@ def test_heavy_tables_are_dealt_out(spark, tmp_path, monkeypatch):
     size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").glob("*.parquet"))
     made = tables.read_table(spark, path, heavy=True)
     assert size // (100 << 10) <= made.rdd.getNumPartitions() <= size // (100 << 10) + 2 and made.count() == 100_000
+
+
+def test_words_are_sorted_without_comparing_expressions(spark):
+    df = spark.createDataFrame([("bbbb aaaa bbbb Cccc cccc dddd eeee ffff gggg aaaa",), ("",), (None,)], "t string")
+    made = df.select(T.top_words(F.col("t"), 4).alias("w"))
+    assert "array_sort" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["word"], r["n"], r["i"]) for r in made.first()["w"]] == [("bbbb", -2, 0), ("aaaa", -2, 1), ("cccc", -2, 3), ("dddd", -1, 5)]
