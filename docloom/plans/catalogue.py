@@ -353,7 +353,7 @@ def breadcrumb_asof(spark, sf):
 
 def _chunked(kind, config, mode="clean", prepare=lambda c: c):
     def run(spark, sf):
-        docs = _t(spark, sf, "documents").select("doc_id", prepare(F.col("text")).alias("text"))
+        docs = read_table(spark, f"{sf}/documents.parquet", heavy=True).select("doc_id", prepare(F.col("text")).alias("text"))
         made = C.chunk_documents(docs, "text", kind, config, mode=mode)
         return made.select("doc_id", "chunk_index", "total_chunks", "start_char", "end_char", "char_count", F.md5(F.col("content").cast("binary")).alias("digest"))
 
