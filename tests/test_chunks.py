@@ -142,3 +142,27 @@ def test_batches_handed_on_are_bounded(strategy):
     assert len(made) > 2 and all(b.num_rows <= SC.MOST_ROWS and b.nbytes < 2 * SC.MOST_CHARS for b in made)
     expected = [(i, x["chunk_index"], x["content"]) for i, s in enumerate(sections) for x in SC._with_places(SC.STRATEGIES[strategy](s, ChunkConfig()))]
     assert [(r["doc"], r["chunk_index"], r["content"]) for b in made for r in b.to_pylist()] == expected
+
+
+@pytest.mark.parametrize("strategy", ["section_based"])
+def test_long_rows_are_taken_few_at_a_time(spark, strategy):
+    """Nor does it grow with as many long sections as lie in a batch, among short ones."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.types import _parse_datatype_string
+
+    from docloom import schemas
+
+    text = "A sentence here. " * 60_000
+    rows = [{"doc": i, "s": _section(str(i), text if i % 2 else "short", [("python", "x = 1")])} for i in range(64)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    run = SC._rows_to(_parse_datatype_string(f"doc int, {schemas.CHUNKS}"), lambda row: [{"section_id": row["s"]["id"], "content": x["content"][:10]} for x in SC.STRATEGIES[strategy](row["s"], ChunkConfig(overlap=0))[:3]])
+    tracemalloc.start()
+    try:
+        found = [r for b in run(iter([batch])) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r["doc"] for r in found] == sorted(r["doc"] for r in found) and {r["doc"] for r in found} == set(range(64))
+    assert batch.nbytes > 30 * len(text) and peak < 20 * len(text)
