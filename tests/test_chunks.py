@@ -166,3 +166,31 @@ def test_long_rows_are_taken_few_at_a_time(spark, strategy):
         tracemalloc.stop()
     assert [r["doc"] for r in found] == sorted(r["doc"] for r in found) and {r["doc"] for r in found} == set(range(64))
     assert batch.nbytes > 30 * len(text) and peak < 20 * len(text)
+
+
+def test_what_a_worker_holds_follows_neither_batch_nor_table(spark, monkeypatch):
+    """The sections of code_aware_section_chunks in one batch, or in many: the same chunks, and never more than a fixed number of bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from docloom import schemas
+    from docloom.plans import documentation
+
+    most = 2 << 20
+    for name in ("MOST_BYTES", "MOST_CHARS"):
+        monkeypatch.setattr(SC, name, 256 << 10)
+    sections = documentation.code_sections(spark.range(1000).withColumnRenamed("id", "doc_id"))
+    table = sections.select("doc_id", F.struct(*SC._wanted(sections)).alias("s")).toArrow().combine_chunks()
+    schema = SC._beside(sections, ("doc_id",), schemas.CHUNKS)
+    run = SC._rows_to(schema, lambda row: SC._with_places(SC.STRATEGIES["code_aware"](row["s"], ChunkConfig(header=False))))
+    made, peaks = [], []
+    for n in (100, table.num_rows):
+        tracemalloc.start()
+        try:
+            made.append(pa.Table.from_batches(list(run(iter(table.to_batches(max_chunksize=n))))))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+    assert made[0].equals(made[1]) and made[0].num_rows == 5600
+    assert table.nbytes > most > max(peaks), peaks
